@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm import formatdup, leakage, mixing, neardup, reading, terms
+from lexmill.llm import formatdup, leakage, mixing, neardup, pii, reading, terms
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,10 +65,18 @@ def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "copy_no")
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.found(_t(spark, sf_dir, "documents"))
+
+
+def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.redacted(_t(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     found = (
         p1_found, p1_term_frequency, p3_found, p3_classes, p4_found, p4_collapsed, p5_found, p5_levels,
-        p6_found, p7_found, p7_report, p7_mix,
+        p6_found, p7_found, p7_report, p7_mix, p8_found, p8_redacted,
     )
     return {f.__name__: f for f in found}
 

@@ -6,11 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lexmill.operators import packed
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed.unpack(_t(spark, sf_dir, "workbook"), known=_t(spark, sf_dir, "lexicon").select("term"))
+
+
 def queries() -> dict[str, Query]:
-    return {}
+    return {f.__name__: f for f in (p2_found,)}
 
 
 def oracle_sql() -> dict[str, str]:

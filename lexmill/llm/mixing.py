@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.session import written
@@ -161,9 +161,9 @@ def report(sizes: DataFrame, plan_: DataFrame, seed: int = 42) -> DataFrame:
     """The plan with the tokens and share that the mix really reaches."""
     got = repeats(sizes, plan_, seed).groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("n_repeats")).alias("mixed_tokens"))
     out = plan_.join(got, "source", "left").withColumn("mixed_tokens", F.coalesce("mixed_tokens", F.lit(0)))
-    all_ = out.agg(F.sum("mixed_tokens").alias("_all"))
-    # one row on the right side, by construction
-    return out.join(F.broadcast(all_)).withColumn("mixed_share", F.when(F.col("_all") > 0, F.col("mixed_tokens") / F.col("_all")).otherwise(0.0)).drop("_all")
+    # one row for each source with a target: small by the plan's own limit
+    all_ = F.sum("mixed_tokens").over(Window.partitionBy())
+    return out.withColumn("mixed_share", F.when(all_ > 0, F.col("mixed_tokens") / all_).otherwise(0.0))
 
 
 def sized(df: DataFrame, **columns: str) -> DataFrame:

@@ -1,27 +1,435 @@
-"""Queries of the reference's own operators and of packed fields, and their SQL."""
+"""Queries of the core operators over the whole tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lexmill.operators import packed
+from lexmill.functions import fixed, rules, text
+from lexmill.operators import cache, difficulty, enrich, lexicon, packed, patterns, quality, rows, spans, synonyms
+from lexmill.plans import pipelines, vocabulary
+from lexmill.queries import core_sql
+from lexmill.sources import readers, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed.unpack(_t(spark, sf_dir, "workbook"), known=_t(spark, sf_dir, "lexicon").select("term"))
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _lexicon(s: SparkSession, d: str, *kinds: str) -> DataFrame:
+    return _t(s, d, "lexicon").filter(F.col("kind").isin(*kinds) & F.col("term").isNotNull() & ~F.col("term").startswith("#")).select("term")
+
+
+@query
+def p2_found(s: SparkSession, d: str) -> DataFrame:
+    return packed.unpack(_t(s, d, "workbook"), known=_t(s, d, "lexicon").select("term"))
+
+
+@query
+def passage_scan(s: SparkSession, d: str) -> DataFrame:
+    p = readers.passages(_t(s, d, "passages"), text_col="content", order_col="row_id")
+    return p.select("row_id", "id", text.preview(F.col("content")).alias("preview"), F.length("content").alias("n_chars"))
+
+
+def _ngrams(n: int) -> Query:
+    def run(s: SparkSession, d: str) -> DataFrame:
+        return patterns.ngram_counts(_t(s, d, "passages"), lengths=(n,)).select("pattern", "frequency")
+
+    return run
+
+
+for _n in (2, 3, 4, 5):
+    QUERIES[f"ngram_{_n}"] = _ngrams(_n)
+
+
+@query
+def pattern_top(s: SparkSession, d: str) -> DataFrame:
+    top = pipelines.mine_patterns(_t(s, d, "passages"), pos=False)
+    return top.select("length", "pattern", "frequency", "educational_score", "rank", "category")
+
+
+@query
+def pattern_top_pos(s: SparkSession, d: str) -> DataFrame:
+    top = pipelines.mine_patterns(_t(s, d, "passages"))
+    return top.select("length", "pattern", "frequency", "educational_score", "rank", "category", F.array_join("pos_pattern", " -> ").alias("pos_pattern"), "is_important")
+
+
+@query
+def pattern_category_counts(s: SparkSession, d: str) -> DataFrame:
+    return sinks.distribution(pipelines.mine_patterns(_t(s, d, "passages"), pos=False), "category")
+
+
+def _frequencies(s: SparkSession, d: str) -> DataFrame:
+    return lexicon.word_frequencies(_t(s, d, "passages"), "content", "row_id", _lexicon(s, d, "easy"))
+
+
+@query
+def frequency_tiers(s: SparkSession, d: str) -> DataFrame:
+    return lexicon.tiers(_frequencies(s, d)).withColumn("tier", F.round("tier", 6))
+
+
+@query
+def tier_histogram(s: SparkSession, d: str) -> DataFrame:
+    return lexicon.tiers(_frequencies(s, d)).groupBy(F.floor("tier").alias("tier_floor")).agg(F.count("*").alias("n"), F.sum("frequency").alias("frequency"))
+
+
+@query
+def lexicon_split(s: SparkSession, d: str) -> DataFrame:
+    return lexicon.split_lexicon(_t(s, d, "lexicon"))
+
+
+@query
+def lexicon_union(s: SparkSession, d: str) -> DataFrame:
+    own = _t(s, d, "lexicon").filter("term IS NOT NULL").select(F.lower(text.strip(F.col("term"))).alias("term"), F.lit("lexicon").alias("source"))
+    return lexicon.union_lexicons(own, lexicon.basic_words(own))
+
+
+@query
+def idiom_filter(s: SparkSession, d: str) -> DataFrame:
+    return lexicon.idiom_filter(_t(s, d, "part"), "p_name")
+
+
+@query
+def idiom_lines(s: SparkSession, d: str) -> DataFrame:
+    return lexicon.idiom_filter(_t(s, d, "lexicon"), "term", alphabetic=False)
+
+
+@query
+def basic_word_semi(s: SparkSession, d: str) -> DataFrame:
+    return lexicon.members(_frequencies(s, d), lexicon.basic_words(_t(s, d, "lexicon"))).select("lemma", "frequency")
+
+
+@query
+def easy_word_anti(s: SparkSession, d: str) -> DataFrame:
+    words = lexicon.word_frequencies(_t(s, d, "passages"), "content", "row_id")
+    return lexicon.strangers(words, _t(s, d, "lexicon")).select("lemma", "frequency")
+
+
+def _tokens(s: SparkSession, d: str) -> DataFrame:
+    return spans.token_table(_t(s, d, "passages"), "row_id", "content")
+
+
+@query
+def user_word_hits(s: SparkSession, d: str) -> DataFrame:
+    return spans.hits(_tokens(s, d), _lexicon(s, d, "user_word"))
+
+
+@query
+def user_idiom_hits(s: SparkSession, d: str) -> DataFrame:
+    return spans.hits(_tokens(s, d), _lexicon(s, d, "user_idiom", "reference_idiom"))
+
+
+@query
+def span_suppressed(s: SparkSession, d: str) -> DataFrame:
+    found = spans.hits(_tokens(s, d), _lexicon(s, d, "user_word", "user_idiom", "reference_idiom"))
+    return spans.kept_apart(found, 5).select("id", "start", "end", "term")
+
+
+@query
+def sentence_context(s: SparkSession, d: str) -> DataFrame:
+    found = spans.hits(_tokens(s, d), _lexicon(s, d, "user_word"))
+    return spans.with_context(found, _t(s, d, "passages"), "row_id", "content").select("id", "term", "start", "context")
+
+
+@query
+def reference_idiom_first(s: SparkSession, d: str) -> DataFrame:
+    return spans.first_substrings(_t(s, d, "passages"), _lexicon(s, d, "reference_idiom"), "row_id", "content")
+
+
+@query
+def separable_hits(s: SparkSession, d: str) -> DataFrame:
+    pairs = vocabulary.separable_pairs(_lexicon(s, d, "user_idiom", "reference_idiom"))
+    return spans.separable(_tokens(s, d), pairs).select("id", "verb", "particle", "start", "end", "gap", "pattern_type")
+
+
+@query
+def phrasal_class(s: SparkSession, d: str) -> DataFrame:
+    verbs = s.createDataFrame([(v,) for v in sorted({p.split()[0] for p in fixed.OPTIONAL_SEPARABLE} | set(fixed.MANDATORY_SEPARABLE))], "verb string")
+    particles = s.createDataFrame([(p,) for p in sorted({p.split()[1] for p in fixed.OPTIONAL_SEPARABLE} | {"out", "back", "away", "apart", "about"})], "particle string")
+    # all pairs of two fixed lists of about 20 words
+    pairs = verbs.withColumn("k", F.lit(1)).join(particles.withColumn("k", F.lit(1)), "k").drop("k")
+    found = spans.separable(_tokens(s, d), pairs)
+    said = rules.phrasal_class(F.col("verb"), F.col("particle"), F.col("gap") + 1)
+    return found.select("id", "start", said.alias("c")).select("id", "start", "c.*")
+
+
+@query
+def grammar_patterns(s: SparkSession, d: str) -> DataFrame:
+    return spans.grammar_patterns(_t(s, d, "passages"), "row_id", "content")
+
+
+@query
+def known_phrases(s: SparkSession, d: str) -> DataFrame:
+    return spans.known_phrases(_t(s, d, "passages"), "row_id", "content")
+
+
+def _words(s: SparkSession, d: str) -> DataFrame:
+    return _t(s, d, "workbook").select(F.lower(text.strip(F.col("word"))).alias("word")).filter(F.col("word").rlike("^[a-z]+$")).distinct()
+
+
+@query
+def phonetic_complexity(s: SparkSession, d: str) -> DataFrame:
+    return _words(s, d).select("word", F.round(rules.phonetic_complexity(F.col("word")), 4).alias("complexity"))
+
+
+@query
+def word_difficulty(s: SparkSession, d: str) -> DataFrame:
+    return _words(s, d).select("word", rules.word_difficulty(F.col("word")).alias("difficulty"))
+
+
+@query
+def word_pos(s: SparkSession, d: str) -> DataFrame:
+    return _words(s, d).select("word", rules.pos_tag(F.col("word")).alias("pos"))
+
+
+@query
+def difficulty_cascade(s: SparkSession, d: str) -> DataFrame:
+    return difficulty.cascade(_words(s, d), _lexicon(s, d, "user_word"), _lexicon(s, d, "easy"))
+
+
+@query
+def too_easy_words(s: SparkSession, d: str) -> DataFrame:
+    return difficulty.easy(_words(s, d), _lexicon(s, d, "easy"))
+
+
+@query
+def difficult_words(s: SparkSession, d: str) -> DataFrame:
+    """Without a dictionary every word has no senses, so each that passes the first tests is difficult."""
+    easy = _lexicon(s, d, "easy").select(F.lower(text.strip(F.col("term"))).alias("word")).distinct().withColumn("_e", F.lit(True))
+    w = _words(s, d).join(easy, "word", "left")
+    hard = rules.is_difficult(F.col("word"), F.coalesce("_e", F.lit(False)), F.lit(False), F.lit(0), F.lit(0.0))
+    return w.select("word", hard.alias("is_difficult"))
+
+
+@query
+def difficulty_baseline(s: SparkSession, d: str) -> DataFrame:
+    words = _lexicon(s, d, "user_word").select(F.lower(text.strip(F.col("term"))).alias("word"))
+    scores = words.distinct().withColumn("score", F.length("word") + F.lit(0.0))
+    return difficulty.baseline(words, scores)
+
+
+@query
+def vocabulary_level(s: SparkSession, d: str) -> DataFrame:
+    out = difficulty.level(_t(s, d, "workbook"))
+    return out.select(F.round("avg_length", 6).alias("avg_length"), F.round("complex_share", 6).alias("complex_share"), "level")
+
+
+def _candidates(s: SparkSession, d: str) -> DataFrame:
+    """Words of the workbook with the values of their synonym field as candidates."""
+    wb = _t(s, d, "workbook").filter("word IS NOT NULL AND synonyms IS NOT NULL")
+    return wb.select("entry_id", text.strip(F.col("word")).alias("word"), text.to_list(F.col("synonyms")).alias("c"))
+
+
+def _filtered(f) -> Query:
+    def run(s: SparkSession, d: str) -> DataFrame:
+        return _candidates(s, d).select("entry_id", F.array_join(f(F.col("c"), F.col("word")), ",").alias("kept"))
+
+    return run
+
+
+QUERIES["synonym_filter_basic"] = _filtered(synonyms.filter_basic)
+QUERIES["synonym_filter_form"] = _filtered(synonyms.filter_form)
+QUERIES["synonym_filter_strict"] = _filtered(synonyms.filter_strict)
+QUERIES["root_dedup"] = _filtered(lambda c, w: rules.root_dedup(c, w))
+QUERIES["synonym_enhanced"] = _filtered(synonyms.enhanced)
+QUERIES["stem_dedup"] = _filtered(synonyms.stem_dedup)
+
+
+@query
+def word_roots(s: SparkSession, d: str) -> DataFrame:
+    return _words(s, d).select("word", rules.word_root(F.col("word")).alias("root"), rules.short_root(F.col("word")).alias("short_root"))
+
+
+def _pairs(s: SparkSession, d: str) -> DataFrame:
+    c = _candidates(s, d).select(F.lower("word").alias("word"), F.explode("c").alias("candidate"))
+    return c.select("word", F.lower("candidate").alias("candidate")).distinct()
+
+
+@query
+def edit_similarity(s: SparkSession, d: str) -> DataFrame:
+    a, b = F.col("word"), F.col("candidate")
+    return _pairs(s, d).select("word", "candidate", rules.too_similar(a, b).alias("too_similar"), rules.same_root(a, b).alias("same_root"), rules.compound_word(b).alias("compound"))
+
+
+@query
+def high_quality_candidates(s: SparkSession, d: str) -> DataFrame:
+    return _pairs(s, d).filter(rules.high_quality(F.col("candidate"), F.col("word")))
+
+
+@query
+def synonym_record_stats(s: SparkSession, d: str) -> DataFrame:
+    return synonyms.record_stats(_t(s, d, "synonym_records"))
+
+
+@query
+def synonym_sources(s: SparkSession, d: str) -> DataFrame:
+    return sinks.distribution(_t(s, d, "synonym_records"), "source")
+
+
+@query
+def synonym_latest(s: SparkSession, d: str) -> DataFrame:
+    return synonyms.latest(_t(s, d, "synonym_records")).select("cache_key", "record_id", "confidence")
+
+
+@query
+def synonym_keys(s: SparkSession, d: str) -> DataFrame:
+    r = _t(s, d, "synonym_records")
+    return r.select("record_id", text.cache_key(F.col("word"), F.col("context"), F.col("pos")).alias("key"), text.pos_letter(F.col("pos")).alias("pos_letter"))
+
+
+@query
+def refined_workbook(s: SparkSession, d: str) -> DataFrame:
+    return pipelines.refine(_t(s, d, "workbook")).select("entry_id", "synonyms", "antonyms", "synonym_confidence")
+
+
+@query
+def refinement_stats(s: SparkSession, d: str) -> DataFrame:
+    return rows.refinement_stats(pipelines.refinement(_t(s, d, "workbook"))[1])
+
+
+@query
+def quality_duplicates(s: SparkSession, d: str) -> DataFrame:
+    return quality.duplicates(_t(s, d, "workbook")).select("passage_id", "word", "n", F.array_join("entry_ids", ",").alias("entry_ids"))
+
+
+@query
+def quality_conflicts(s: SparkSession, d: str) -> DataFrame:
+    return quality.conflicts(_t(s, d, "workbook"))
+
+
+@query
+def quality_meaning(s: SparkSession, d: str) -> DataFrame:
+    return quality.meaning_issues(_t(s, d, "workbook"))
+
+
+@query
+def quality_synonym(s: SparkSession, d: str) -> DataFrame:
+    return quality.synonym_issues(_t(s, d, "workbook"))
+
+
+@query
+def quality_score(s: SparkSession, d: str) -> DataFrame:
+    return pipelines.check(_t(s, d, "workbook"))
+
+
+@query
+def issue_counts(s: SparkSession, d: str) -> DataFrame:
+    return quality.issue_table(_t(s, d, "workbook")).groupBy("issue_type", "severity").agg(F.count("*").alias("n"))
+
+
+@query
+def repair_conflicts(s: SparkSession, d: str) -> DataFrame:
+    return quality.repair_conflicts(_t(s, d, "workbook")).select("entry_id", "word", "passage_id")
+
+
+@query
+def repair_duplicates(s: SparkSession, d: str) -> DataFrame:
+    return quality.repair_duplicates(_t(s, d, "workbook")).select("entry_id", "word", "passage_id")
+
+
+@query
+def repair_candidates(s: SparkSession, d: str) -> DataFrame:
+    return quality.repair_candidates(_t(s, d, "workbook"))
+
+
+@query
+def clean_meanings(s: SparkSession, d: str) -> DataFrame:
+    wb = _t(s, d, "workbook").filter("word IS NOT NULL AND meaning_ko IS NOT NULL")
+    return wb.select("entry_id", text.clean_meaning(F.col("word"), F.col("meaning_ko")).alias("meaning"))
+
+
+@query
+def confidence_buckets(s: SparkSession, d: str) -> DataFrame:
+    return rows.confidence_buckets(_t(s, d, "workbook"))
+
+
+@query
+def match_counts(s: SparkSession, d: str) -> DataFrame:
+    return sinks.distribution(_t(s, d, "workbook"), "match_type")
+
+
+@query
+def passage_entry_counts(s: SparkSession, d: str) -> DataFrame:
+    return rows.entry_counts(_t(s, d, "workbook"))
+
+
+@query
+def verdict_sample(s: SparkSession, d: str) -> DataFrame:
+    return quality.sample_for_verdict(_t(s, d, "workbook"), 50).select("entry_id", "word")
+
+
+@query
+def coercions(s: SparkSession, d: str) -> DataFrame:
+    e = _t(s, d, "workbook")
+    flag = F.col("is_separated").cast("string")
+    return e.select("entry_id", text.to_bool(flag).alias("flag"), text.to_int(F.col("passage_id")).alias("as_int"), text.to_float(F.col("word"), -1.0).alias("as_float"), F.size(text.to_list(F.col("synonyms"))).alias("n_values"))
+
+
+def _kv(s: SparkSession, d: str) -> DataFrame:
+    e = _t(s, d, "events")
+    return e.select(F.col("event_type").alias("namespace"), F.col("user_id").cast("string").alias("key"), F.col("event_id").cast("string").alias("value_json"), F.col("ts").alias("created_at"))
+
+
+@query
+def cache_latest(s: SparkSession, d: str) -> DataFrame:
+    return cache.latest(_kv(s, d)).select("namespace", "key", "value_json")
+
+
+@query
+def cache_merge(s: SparkSession, d: str) -> DataFrame:
+    kv = _kv(s, d)
+    odd = F.col("value_json").cast("bigint") % 2 == 1
+    return cache.merge(kv.filter(~odd), kv.filter(odd)).select("namespace", "key", "value_json")
+
+
+@query
+def cache_expire(s: SparkSession, d: str) -> DataFrame:
+    kv = _kv(s, d)
+    now = kv.agg(F.max("created_at")).first()[0]
+    return cache.unexpired(kv, F.lit(now)).select("namespace", "key", "value_json")
+
+
+@query
+def cache_stats(s: SparkSession, d: str) -> DataFrame:
+    return cache.stats(_kv(s, d))
+
+
+@query
+def usage_cost(s: SparkSession, d: str) -> DataFrame:
+    log = _t(s, d, "documents").select(F.col("n_chars").alias("prompt_tokens"), F.col("textbook_id").cast("bigint").alias("completion_tokens"))
+    return enrich.cost(log).withColumn("cost", F.round("cost", 6))
+
+
+@query
+def phrase_corpus(s: SparkSession, d: str) -> DataFrame:
+    local = _lexicon(s, d, "user_idiom", "reference_idiom").select(F.lower(text.strip(F.col("term"))).alias("idiom"))
+    remote = readers.phrases_of(_t(s, d, "documents"), "en", lang_col="lang", text_col="text")
+    return pipelines.phrase_corpus(local, remote).select("phrase", "source")
+
+
+@query
+def vocabulary_workbook_lexicon(s: SparkSession, d: str) -> DataFrame:
+    return vocabulary.workbook(_t(s, d, "passages"), _t(s, d, "lexicon"))
+
+
+@query
+def vocabulary_workbook_full(s: SparkSession, d: str) -> DataFrame:
+    return vocabulary.workbook(_t(s, d, "passages"), _t(s, d, "lexicon"), profile="full")
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found,)}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return core_sql.oracle_sql()

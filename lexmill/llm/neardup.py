@@ -74,6 +74,16 @@ def records(df: DataFrame, id_col: str, text_col: str, shingle: int, min_words:
     return source.mapInArrow(lambda b: _records(b, shingle, min_words), "row_id bigint, sig binary, words array<bigint>")
 
 
+def _one_for_each_id(recs: DataFrame, limit: int) -> DataFrame:
+    """Of rows with the same id the one with the smallest ``sig``; only such rows are shuffled with their words."""
+    repeated = written(recs.groupBy("row_id").agg(F.count("*").alias("n")).filter("n > 1").select("row_id"), "repeated")
+    if repeated.isEmpty():
+        return recs
+    ids = _sized(repeated, limit)
+    chosen = recs.join(ids, "row_id", "left_semi").groupBy("row_id").agg(F.min("sig").alias("sig"), F.min_by("words", "sig").alias("words"))
+    return written(recs.join(ids, "row_id", "left_anti").unionByName(chosen), "records")
+
+
 def copies_of(recs: DataFrame) -> DataFrame:
     """(row_id, rep) of the members of each group of equal sets; ``rep`` is the smallest id."""
     groups = recs.groupBy("sig").agg(F.min("row_id").alias("rep"), F.count("*").alias("n")).filter("n > 1").select("sig", "rep")
@@ -263,7 +273,8 @@ def links(
 
     Links name the representative (smallest id) of each group of copies; every link between
     different texts is there, however long the lists. Null and empty texts and those of fewer than
-    ``min_words`` words are in neither result; nor are texts of fewer words than a shingle. Repeated rows (equal ids) count as one. Very long
+    ``min_words`` words are in neither result; nor are texts of fewer words than a shingle. Ids are unique: of rows
+    with the same id one is kept, so repeated rows count as one. Very long
     texts count whole; an empty table gives empty results; no other columns are read.
 
     2^bits bytes are broadcast as the order of n-grams; lists of ids only up to ``broadcast_rows``
@@ -271,8 +282,8 @@ def links(
     as often as the mean slot of the table are keyed in pairs.
     """
     spark = df.sparkSession
-    recs = written(records(df, id_col, text_col, shingle, max(min_words, shingle)), "records")
-    copies = written(copies_of(recs).distinct(), "copies")
+    recs = _one_for_each_id(written(records(df, id_col, text_col, shingle, max(min_words, shingle)), "records"), broadcast_rows)
+    copies = written(copies_of(recs), "copies")
     others = copies.filter("row_id <> rep").select("row_id")
     reps = recs.join(_sized(others, broadcast_rows), "row_id", "left_anti")
     table, mean = order_table(reps, shingle, bits)

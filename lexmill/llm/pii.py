@@ -48,50 +48,55 @@ _DOT_RE = re.compile(rf"{_OPEN}dot{_CLOSE}|\s+dot\s+", re.I)
 
 
 class Plain(NamedTuple):
-    """A rewritten text. ``starts``/``sources``: from output place starts[i] on, the source is sources[i] + distance."""
+    """A rewritten text in pieces: piece i begins at ``starts[i]`` and comes from ``sources[i]`` on.
+
+    ``stops[i]`` is -1 for a piece taken over as it was; a piece put in stands for the source up to there.
+    """
 
     text: str
     starts: list[int]
     sources: list[int]
-    inserted: list[bool]
+    stops: list[int]
 
-    def source(self, place: int) -> int:
+    def begin(self, place: int) -> int:
         i = bisect_right(self.starts, place) - 1
-        return self.sources[i] if self.inserted[i] else self.sources[i] + place - self.starts[i]
+        return self.sources[i] if self.stops[i] >= 0 else self.sources[i] + place - self.starts[i]
+
+    def end(self, place: int) -> int:
+        """Where the character before ``place`` ends in the source."""
+        i = bisect_right(self.starts, place - 1) - 1
+        return self.stops[i] if self.stops[i] >= 0 else self.sources[i] + place - self.starts[i]
 
 
 def _rewrite(plain: Plain, edits: list[tuple[int, int, str]]) -> Plain:
     """Apply edits (begin, end, new text), sorted and apart, and carry the places along."""
     if not edits:
         return plain
-    out, starts, sources, inserted = [], [], [], []
+    out, starts, sources, stops = [], [], [], []
     length = at = 0
 
-    def keep(begin: int, end: int) -> None:
+    def put(piece: str, source: int, stop: int) -> None:
         nonlocal length
+        starts.append(length)
+        sources.append(source)
+        stops.append(stop)
+        out.append(piece)
+        length += len(piece)
+
+    def keep(begin: int, end: int) -> None:
         while begin < end:
             i = bisect_right(plain.starts, begin) - 1
             stop = min(end, plain.starts[i + 1] if i + 1 < len(plain.starts) else end)
-            starts.append(length)
-            sources.append(plain.source(begin))
-            inserted.append(plain.inserted[i])
-            out.append(plain.text[begin:stop])
-            length += stop - begin
+            put(plain.text[begin:stop], plain.begin(begin), plain.stops[i])
             begin = stop
 
     for begin, end, new in edits:
         keep(at, begin)
         if new:
-            starts.append(length)
-            sources.append(plain.source(begin))
-            inserted.append(True)
-            out.append(new)
-            length += len(new)
+            put(new, plain.begin(begin), plain.end(end))
         at = end
     keep(at, len(plain.text))
-    if not starts:
-        starts, sources, inserted = [0], [0], [False]
-    return Plain("".join(out), starts, sources, inserted)
+    return Plain("".join(out), starts or [0], sources or [0], stops or [-1])
 
 
 def _lower(text: str) -> str:
@@ -129,7 +134,7 @@ def _disguised(text: str, low: str) -> list[tuple[int, int, str]]:
 
 def plain(text: str) -> Plain:
     """The text without disguises, with the way back to its characters."""
-    p = Plain(text if text.isascii() else text.translate(LOOK_ALIKE), [0], [0], [False])
+    p = Plain(text if text.isascii() else text.translate(LOOK_ALIKE), [0], [0], [-1])
     if not text.isascii():
         p = _rewrite(p, [(m.start(), m.end(), "") for m in INVISIBLE.finditer(p.text)])
     low = _lower(p.text)
@@ -294,7 +299,7 @@ def detect(text: str) -> list[Hit]:
     for begin, end, kind in spans:
         if all(end <= a or begin >= b for a, b, _ in taken):
             taken.append((begin, end, kind))
-    return sorted((Hit(kind, p.source(a), p.source(b - 1) + 1 if b > a else p.source(a)) for a, b, kind in taken), key=lambda h: h.start)
+    return sorted((Hit(kind, p.begin(a), p.end(b)) for a, b, kind in taken), key=lambda h: h.start)
 
 
 PLACEHOLDER = {k: f"[{k.upper()}]" for k in KINDS}

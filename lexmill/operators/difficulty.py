@@ -37,15 +37,15 @@ def decisions(analysis: DataFrame, json_col: str = "response") -> DataFrame:
 
 
 def first_candidates(tokens: DataFrame, stopwords: DataFrame, most: int = 10, min_lemma: int = 5) -> DataFrame:
-    """(id, pos, word): of each text the first ``most`` candidates (a feature of the word choice), of those the long ones.
+    """(id, pos, start, end, word): of each text the first ``most`` candidates (a feature of the word choice), of those the long ones.
 
-    ``tokens`` has id, pos and token as written; capitalised ones count as names and are left out.
+    ``tokens`` has id, pos, token as written, start and end; capitalised ones count as names and are left out.
     """
     rows = tokens.filter(F.col("token").rlike(r"^\p{L}{3,}$") & ~F.col("token").rlike(r"^\p{Lu}")).withColumn("word", F.lower("token"))
     stop = stopwords.select(F.lower(text.strip(F.col(stopwords.columns[0]))).alias("word")).filter("word IS NOT NULL").distinct()
     rows = rows.join(stop, "word", "left_anti")
     n = F.row_number().over(Window.partitionBy("id").orderBy("pos"))
-    return rows.withColumn("_n", n).filter(F.col("_n") <= most).filter(F.length("word") >= min_lemma).select("id", "pos", "word")
+    return rows.withColumn("_n", n).filter(F.col("_n") <= most).filter(F.length("word") >= min_lemma).select("id", "pos", "start", "end", "word")
 
 
 def baseline(words: DataFrame, scores: DataFrame | None = None, most: int = 15, seed: int = 42) -> DataFrame:

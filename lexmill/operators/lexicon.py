@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import fixed, text
-from lexmill.session import written
+from lexmill.session import spread, written
 
 
 def split_lexicon(df: DataFrame, term_col: str = "term", lower: bool = True) -> DataFrame:
@@ -40,7 +40,8 @@ def union_lexicons(*parts: DataFrame) -> DataFrame:
 
 def word_frequencies(df: DataFrame, text_col: str, id_col: str, stopwords: DataFrame | None = None) -> DataFrame:
     """(lemma, frequency, first_id, first_pos) of words of three letters or more that are no stop words."""
-    words = df.select(F.col(id_col).alias("_id"), F.posexplode(text.tokens(F.col(text_col))).alias("_pos", "lemma")).filter(F.length("lemma") >= 3)
+    rows = spread(df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")))
+    words = rows.select("_id", F.posexplode(text.tokens(F.col("_t"))).alias("_pos", "lemma")).filter(F.length("lemma") >= 3)
     if stopwords is not None:
         words = words.join(stopwords.select(F.col(stopwords.columns[0]).alias("lemma")), "lemma", "left_anti")
     first = F.min(F.struct("_id", "_pos"))

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.session import spread
+
 #: What divides values (fixed values); a dash does so between spaces only.
 DIVIDER = re.compile(r"[,;|/\t\r\n·、，；／｜•]|(?<=\s)[-–—](?=\s)")
 MAY_DIVIDE = re.compile(r"[,;|/\t\r\n·、，；／｜•\[(]|\s[-–—]\s|\b1[.)]\s")
@@ -181,4 +183,4 @@ def unpack(
             )
 
     source = df.select(F.col(id_col).cast("bigint"), *[F.col(f).cast("string") for f in fields])
-    return source.mapInArrow(cut, OUT)
+    return spread(source).mapInArrow(cut, OUT)

@@ -2,31 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.functions import fixed, rules, text
+from lexmill.functions import fixed, rules, words
+from lexmill.session import spread
+
+
+def _count(batches: Iterator[pa.RecordBatch], lengths: tuple[int, ...], flush_at: int) -> Iterator[pa.RecordBatch]:
+    counts: Counter[str] = Counter()
 
+    def flush() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["pattern", "n"])
 
-def ngram_counts(df: DataFrame, text_col: str = "content", lengths=(2, 3, 4, 5), min_frequency: dict[int, int] | None = None) -> DataFrame:
-    """(length, pattern, frequency): texts are tokenised once, counts are combined before the shuffle.
+    for batch in batches:
+        for body in batch.column(0).to_pylist():
+            clean = words.clean_text(body)
+            if len(clean) < 5:
+                continue
+            toks = words.split_clean(clean)
+            for n in lengths:
+                counts.update(map(" ".join, zip(*(toks[i:] for i in range(n)))))
+            if len(counts) >= flush_at:
+                yield flush()
+                counts.clear()
+    yield flush()
+
+
+def ngram_counts(
+    df: DataFrame, text_col: str = "content", lengths=(2, 3, 4, 5), min_frequency: dict[int, int] | None = None, flush_at: int = 1_000_000
+) -> DataFrame:
+    """(length, pattern, frequency): texts are tokenised once, counts are combined in each task before the shuffle.
 
     Texts of fewer than five characters once cleaned are left out; n-grams that begin or end with an
     article too; frequencies below the limit of their length are dropped.
     """
     limits = min_frequency or fixed.MIN_FREQUENCY
-    toks = df.select(F.col(text_col).alias("_t")).filter(F.length(text.clean_text(F.col("_t"))) >= 5).select(text.tokens(F.col("_t")).alias("_w"))
-    def of_length(n: int) -> Column:
-        return F.transform(text.ngrams(F.col("_w"), n), lambda g: F.struct(F.lit(n).alias("length"), g.alias("pattern")))
-
-    made = [of_length(n) for n in lengths]
-    grams = toks.select(F.explode(F.concat(*made)).alias("g")).select("g.*")
-    ends = r"^(a|an|the) | (a|an|the)$"
+    source = df.select(F.col(text_col).cast("string").alias("t")).filter("t IS NOT NULL")
+    partial = spread(source).mapInArrow(lambda b: _count(b, tuple(lengths), flush_at), "pattern string, n bigint")
+    length = F.length("pattern") - F.length(F.replace("pattern", F.lit(" "))) + 1
     least = F.lit(1)
     for n in lengths:
         least = F.when(F.col("length") == n, limits.get(n, 1)).otherwise(least)
-    counted = grams.filter(~F.col("pattern").rlike(ends)).groupBy("length", "pattern").agg(F.count("*").alias("frequency"))
-    return counted.filter(F.col("frequency") >= least)
+    counted = partial.filter(~F.col("pattern").rlike(r"^(a|an|the) | (a|an|the)$")).groupBy("pattern").agg(F.sum("n").alias("frequency"))
+    return counted.select(length.alias("length"), "pattern", "frequency").filter(F.col("frequency") >= least)
 
 
 def with_pos(counts: DataFrame) -> DataFrame:

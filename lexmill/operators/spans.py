@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,64 +11,96 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions import fixed, rules, text
+from lexmill.session import spread
 
 TOKEN = re.compile(r"\w+")
-TOKENS = "id bigint, words array<string>, starts array<int>, ends array<int>"
-SPAN = "struct<start:int,end:int,term:string,original:string>"
+STOP = re.compile(r"[.!?;:]")
+
+
+def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return spread(df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).filter("text IS NOT NULL"))
 
 
 def _tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        words, starts, ends = [], [], []
+        words, starts, ends, stops = [], [], [], []
         for body in batch.column(1).to_pylist():
             found = list(TOKEN.finditer(body))
+            marks = [m.start() for m in STOP.finditer(body)]
             words.append([m[0].lower() for m in found])
             starts.append([m.start() for m in found])
             ends.append([m.end() for m in found])
+            stops.append([bisect_left(marks, m.start()) for m in found])
+        ints = pa.list_(pa.int32())
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(words, pa.list_(pa.string())), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())), batch.column(1)],
-            names=["id", "words", "starts", "ends", "text"],
+            [batch.column(0), pa.array(words, pa.list_(pa.string())), pa.array(starts, ints), pa.array(ends, ints), pa.array(stops, ints)],
+            names=["id", "words", "starts", "ends", "stops"],
         )
 
 
 def token_table(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, words, starts, ends, text): runs of letters, digits and underscores with their places from 0; null texts are left out."""
-    rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).filter("text IS NOT NULL")
-    return rows.mapInArrow(_tokenise, TOKENS + ", text string")
+    """(id, words, starts, ends, stops): runs of letters, digits and underscores with their places from 0.
+
+    ``stops`` counts the sentence marks before each. Null texts are left out.
+    """
+    return _rows(df, id_col, text_col).mapInArrow(_tokenise, "id bigint, words array<string>, starts array<int>, ends array<int>, stops array<int>")
+
+
+def _one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [(i, k, m[0], m.start(), m.end()) for i, body in enumerate(batch.column(1).to_pylist()) for k, m in enumerate(TOKEN.finditer(body))]
+        i, k, token, start, end = zip(*rows) if rows else ((),) * 5
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0).take(pa.array(i, pa.int64())), pa.array(k, pa.int32()), pa.array(token, pa.string()), pa.array(start, pa.int32()), pa.array(end, pa.int32())],
+            names=["id", "pos", "token", "start", "end"],
+        )
+
+
+def tokens(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, pos, token, start, end), one row for each token as written."""
+    return _rows(df, id_col, text_col).mapInArrow(_one_by_one, "id bigint, pos int, token string, start int, end int")
 
 
-def _term_tokens(terms: DataFrame, term_col: str) -> DataFrame:
+def _surfaces(batches: Iterator[pa.RecordBatch], lengths: list[int]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids, terms, starts, ends = [], [], [], []
+        for i, body in enumerate(batch.column(1).to_pylist()):
+            places = [m.span() for m in TOKEN.finditer(body)]
+            low = body.lower()
+            same = len(low) == len(body)
+            for n in lengths:
+                for (a, _), (_, b) in zip(places, places[n - 1 :]):
+                    terms.append(low[a:b] if same else body[a:b].lower())
+                    starts.append(a)
+                    ends.append(b)
+                ids += [i] * max(0, len(places) - n + 1)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0).take(pa.array(ids, pa.int64())), pa.array(terms, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())],
+            names=["id", "term", "start", "end"],
+        )
+
+
+def _terms(terms: DataFrame, term_col: str) -> DataFrame:
     t = F.lower(text.strip(F.col(term_col)))
-    rows = terms.select(t.alias("term")).filter(F.length("term") > 0).distinct()
-    parts = F.regexp_extract_all("term", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    return rows.select("term", F.array_join(parts, " ").alias("key"), F.size(parts).alias("n")).filter("n > 0")
+    word = r"[\p{L}\p{N}_]"
+    rows = terms.select(t.alias("term")).filter(F.col("term").rlike(f"^{word}") & F.col("term").rlike(f"{word}$")).distinct()
+    return rows.withColumn("n", F.size(F.regexp_extract_all("term", F.lit(f"{word}+"), F.lit(0))))
 
 
-def hits(tokens: DataFrame, terms: DataFrame, term_col: str = "term", max_words: int = 8) -> DataFrame:
-    """(id, term, start, end, original): every whole-word occurrence of every term, case aside.
+def hits(df: DataFrame, terms: DataFrame, id_col: str = "row_id", text_col: str = "content", term_col: str = "term", max_words: int = 8) -> DataFrame:
+    """(id, term, start, end): every whole-word occurrence of every term, case aside.
 
-    The lengths that occur among the terms (at most ``max_words``) decide which n-grams are made;
-    those are joined with the terms by equality, and a match must read like the term character by
-    character. Longer terms are refused.
+    The numbers of words that occur among the terms (at most ``max_words``, more are refused) decide
+    which runs of tokens are made; those are joined with the terms by equality of what stands there, so
+    that the work doesn't grow with the number of terms. Terms that begin or end with a mark never
+    stand as whole words.
     """
-    keyed = _term_tokens(terms, term_col)
-    lengths = sorted(r["n"] for r in keyed.select("n").distinct().limit(max_words + 1).collect())
+    wanted = _terms(terms, term_col)
+    lengths = sorted(r["n"] for r in wanted.select("n").distinct().limit(max_words + 1).collect())
     if lengths and lengths[-1] > max_words:
         raise ValueError(f"a term has more than {max_words} words")
-
-    def grams(n: int) -> Column:
-        def made(i: Column) -> Column:
-            key = F.array_join(F.slice("words", i, n), " ") if n > 1 else F.get("words", i - 1)
-            return F.struct(key.alias("key"), F.get("starts", i - 1).alias("start"), F.get("ends", i + (n - 2)).alias("end"))
-
-        count = F.size("words") - (n - 1)
-        return F.when(count >= 1, F.transform(F.sequence(F.lit(1), count), made)).otherwise(F.array().cast("array<struct<key:string,start:int,end:int>>"))
-
-    made = F.concat(*[grams(n) for n in lengths]) if lengths else F.array().cast("array<struct<key:string,start:int,end:int>>")
-    places = tokens.select("id", "text", F.explode(made).alias("g")).select("id", "text", "g.*")
-    matched = places.join(keyed.select("key", "term"), "key")
-    original = F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start"))
-    return matched.select("id", "term", "start", "end", original.alias("original")).filter(F.lower("original") == F.col("term"))
+    places = _rows(df, id_col, text_col).mapInArrow(lambda b: _surfaces(b, lengths), "id bigint, term string, start int, end int")
+    return places.join(wanted.select("term"), "term").select("id", "term", "start", "end")
 
 
 def kept_apart(found: DataFrame, gap: int = 5) -> DataFrame:
@@ -75,8 +108,8 @@ def kept_apart(found: DataFrame, gap: int = 5) -> DataFrame:
 
     The matches of one text are folded in one row; their number is bounded by the text's length.
     """
-    order = F.struct((-F.length("term")).alias("_o"), "term", "start", "end", "original")
-    spans = F.transform(F.array_sort(F.collect_list(order)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["term"].alias("term"), s["original"].alias("original")))
+    order = F.struct((-F.length("term")).alias("_o"), "term", "start", "end")
+    spans = F.transform(F.array_sort(F.collect_list(order)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["term"].alias("term")))
     folded = found.groupBy("id").agg(spans.alias("_s"))
     return folded.select("id", F.explode(rules.keep_apart(F.col("_s"), gap)).alias("s")).select("id", "s.*")
 
@@ -98,24 +131,26 @@ def first_substrings(df: DataFrame, idioms: DataFrame, id_col: str, text_col: st
 
 
 def separable(tokens: DataFrame, idioms: DataFrame, max_gap: int = 6, verb_col: str = "verb", particle_col: str = "particle") -> DataFrame:
-    """(id, verb, particle, start, end, original, gap, pattern_type): verb and its nearest particle, ``max_gap`` tokens between at most.
+    """(id, verb, particle, start, end, gap, pattern_type): verb and its nearest particle, ``max_gap`` tokens between at most.
 
-    No sentence mark may stand between them. The tokens of each text are looked through with a
-    bounded window, so the work is linear in the text and no regex with nested repeats is run.
+    No sentence mark may stand between them. Each token goes with a bounded window of what follows, so
+    the work is linear in the text and no regex with nested repeats is run.
     """
-    at = F.posexplode("words").alias("i", "verb")
-    verbs = tokens.select("id", "text", "words", "starts", "ends", at)
+    size = max_gap + 1
+
+    def around(word: Column, i: Column) -> Column:
+        return F.struct(
+            word.alias("verb"), F.get("starts", i).alias("start"), F.get("stops", i).alias("stop"),
+            F.slice("words", i + 2, size).alias("next"), F.slice("ends", i + 2, size).alias("ends"), F.slice("stops", i + 2, size).alias("stops"),
+        )
+
+    verbs = tokens.select("id", F.explode(F.transform("words", around)).alias("v")).select("id", "v.*")
     pairs = idioms.select(F.lower(F.col(verb_col)).alias("verb"), F.lower(F.col(particle_col)).alias("particle")).distinct()
-    joined = verbs.join(pairs, "verb")
-    window = F.slice("words", F.col("i") + 2, max_gap + 1)
-    gap = F.array_position(window, F.col("particle")).cast("int") - 1
-    rows = joined.withColumn("gap", gap).filter("gap >= 0")
-    rows = rows.withColumn("start", F.get("starts", F.col("i"))).withColumn("end", F.get("ends", F.col("i") + F.col("gap") + 1))
-    rows = rows.withColumn("original", F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start")))
-    rows = rows.filter(~F.col("original").rlike("[.!?;:]"))
-    pronoun = (F.col("gap") == 1) & F.get("words", F.col("i") + 1).isin(*fixed.GAP_PRONOUNS)
+    gap = F.array_position("next", F.col("particle")).cast("int") - 1
+    rows = verbs.join(pairs, "verb").withColumn("gap", gap).filter("gap >= 0 AND stop = get(stops, gap)")
+    pronoun = (F.col("gap") == 1) & F.get("next", F.lit(0)).isin(*fixed.GAP_PRONOUNS)
     kind = F.when(F.col("gap") == 0, "continuous").when(pronoun, "separated_pronoun").when(F.col("gap") >= 3, "separated_long_noun").otherwise("separated_noun")
-    return rows.select("id", "verb", "particle", "start", "end", "original", "gap", kind.alias("pattern_type"))
+    return rows.select("id", "verb", "particle", "start", F.get("ends", F.col("gap")).alias("end"), "gap", kind.alias("pattern_type"))
 
 
 def separable_table(analysis: DataFrame, json_col: str = "response") -> DataFrame:

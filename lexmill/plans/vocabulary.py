@@ -21,36 +21,33 @@ def separable_pairs(idioms: DataFrame) -> DataFrame:
     return two.select(parts[0].alias("verb"), parts[1].alias("particle"), t.alias("term")).distinct()
 
 
-def matches(tokens: DataFrame, lexicon: DataFrame, max_gap: int = 6) -> DataFrame:
-    """(id, start, end, original, base_form, kind, is_separated, confidence): separable idioms, other idioms, single words."""
-    idioms = _kind(lexicon, "user_idiom")
+def _shaped(found: DataFrame, kind: int, base: Column, separated: Column, confidence: float) -> DataFrame:
+    return found.select("id", "start", "end", base.alias("base_form"), F.lit(kind).alias("kind"), separated.alias("is_separated"), F.lit(confidence).alias("confidence"))
+
+
+def matches(passages: DataFrame, lexicon: DataFrame, max_gap: int = 6) -> DataFrame:
+    """(id, start, end, base_form, kind, is_separated, confidence): separable idioms, other idioms, single words."""
+    idioms, no = _kind(lexicon, "user_idiom"), F.lit(False)
     pairs = separable_pairs(idioms)
-    sep = spans.separable(tokens, pairs, max_gap)
-    sep = sep.select("id", F.concat_ws(" ", "verb", "particle").alias("term"), "start", "end", "original", "pattern_type")
-    apart = spans.kept_apart(sep.select("id", "term", "start", "end", "original"), 6)
-    shown = F.concat_ws(" ~ ", F.split("term", " ")[0], F.split("term", " ")[1])
-    is_apart = F.lower("original") != F.col("term")
-    first = apart.select("id", "start", "end", "original", F.when(is_apart, shown).otherwise(F.col("term")).alias("base_form"), F.lit(1).alias("kind"), is_apart.alias("is_separated"), F.lit(0.9).alias("confidence"))
+    sep = spans.separable(spans.token_table(passages, "row_id", "content"), pairs, max_gap)
+    sep = spans.kept_apart(sep.select("id", F.concat_ws(" ", "verb", "particle").alias("term"), "start", "end"), 6)
+    # longer than the idiom itself: something stands between
+    apart = (F.col("end") - F.col("start")) > F.length("term")
+    parts = F.split("term", " ")
+    first = _shaped(sep, 1, F.when(apart, F.concat_ws(" ~ ", parts[0], parts[1])).otherwise(F.col("term")), apart, 0.9)
     plain = idioms.select(F.lower(text.strip(F.col("term"))).alias("term")).distinct().join(pairs.select("term"), "term", "left_anti")
-    idiom_hits = spans.kept_apart(spans.hits(tokens, plain), 5)
-    word_hits = spans.kept_apart(spans.hits(tokens, _kind(lexicon, "user_word")), 3)
-    second = idiom_hits.select("id", "start", "end", "original", F.col("term").alias("base_form"), F.lit(2).alias("kind"), F.lit(False).alias("is_separated"), F.lit(0.95).alias("confidence"))
-    third = word_hits.select("id", "start", "end", "original", F.col("term").alias("base_form"), F.lit(3).alias("kind"), F.lit(False).alias("is_separated"), F.lit(1.0).alias("confidence"))
+    second = _shaped(spans.kept_apart(spans.hits(passages, plain), 5), 2, F.col("term"), no, 0.95)
+    third = _shaped(spans.kept_apart(spans.hits(passages, _kind(lexicon, "user_word")), 3), 3, F.col("term"), no, 1.0)
     return first.unionByName(second).unionByName(third)
 
 
-def extra_matches(tokens: DataFrame, lexicon: DataFrame, passages: DataFrame, stopwords: DataFrame) -> DataFrame:
+def extra_matches(passages: DataFrame, lexicon: DataFrame, stopwords: DataFrame) -> DataFrame:
     """What the full profile adds: reference idioms (first places, ten characters apart) and difficult words."""
+    no = F.lit(False)
     reference = spans.first_substrings(passages, _kind(lexicon, "reference_idiom"), "row_id", "content")
-    reference = reference.withColumn("end", F.col("start") + F.length("term")).withColumn("original", F.col("term"))
-    ref = spans.kept_apart(reference, 10).select("id", "start", "end", "original", F.col("term").alias("base_form"), F.lit(4).alias("kind"), F.lit(False).alias("is_separated"), F.lit(0.9).alias("confidence"))
-    places = tokens.select("id", "starts", "ends", "text", F.posexplode("words").alias("pos", "low"))
-    original = F.substring(F.col("text"), F.get("starts", F.col("pos")) + 1, F.get("ends", F.col("pos")) - F.get("starts", F.col("pos")))
-    toks = places.select("id", "pos", original.alias("token"), F.get("starts", F.col("pos")).alias("start"), F.get("ends", F.col("pos")).alias("end"))
-    chosen = difficulty.first_candidates(toks, stopwords)
-    hard = chosen.join(toks.select("id", "pos", "token", "start", "end"), ["id", "pos"])
-    words = hard.select("id", "start", "end", F.col("token").alias("original"), F.col("word").alias("base_form"), F.lit(5).alias("kind"), F.lit(False).alias("is_separated"), F.lit(0.8).alias("confidence"))
-    return ref.unionByName(words)
+    ref = _shaped(spans.kept_apart(reference.withColumn("end", F.col("start") + F.length("term")), 10), 4, F.col("term"), no, 0.9)
+    one = spans.tokens(passages, "row_id", "content")
+    return ref.unionByName(_shaped(difficulty.first_candidates(one, stopwords), 5, F.col("word"), no, 0.8))
 
 
 MATCH_TYPES = {1: "separable", 2: "idiom_exact", 3: "word_exact", 4: "reference_idiom", 5: "difficult_word"}
@@ -63,10 +60,9 @@ def workbook(passages: DataFrame, lexicon: DataFrame, profile: str = "lexicon",
     words. Meanings come from ``meanings`` (key, response), else the generic one stands.
     """
     usable = passages.filter(F.length(text.strip(F.col("content"))) >= 10)
-    tokens = spans.token_table(usable, "row_id", "content")
-    found = matches(tokens, lexicon)
+    found = matches(usable, lexicon)
     if profile == "full":
-        found = found.unionByName(extra_matches(tokens, lexicon, usable, _kind(lexicon, "easy")))
+        found = found.unionByName(extra_matches(usable, lexicon, _kind(lexicon, "easy")))
     body = usable.select(F.col("row_id").alias("id"), "content", "textbook_id", "book_title", "textbook_studio_passage_id", "studio_title", "textbook_unit_id")
     joined = found.join(body, "id")
     w = Window.partitionBy("id").orderBy("kind", "start", "end", "base_form")
@@ -74,6 +70,7 @@ def workbook(passages: DataFrame, lexicon: DataFrame, profile: str = "lexicon",
     for k, name in MATCH_TYPES.items():
         kind = F.when(F.col("kind") == k, name).otherwise(kind)
     made = joined.withColumn("seq", F.row_number().over(w)).withColumn("match_type", kind)
+    made = made.withColumn("original", F.substring(F.col("content"), F.col("start") + 1, F.col("end") - F.col("start")))
     made = made.withColumn("context", text.sentence_context(F.col("content"), F.col("start"), F.col("end")))
     out = rows.workbook_rows(made)
     if meanings is not None:

@@ -121,23 +121,23 @@ def _tokens(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def user_word_hits(s: SparkSession, d: str) -> DataFrame:
-    return spans.hits(_tokens(s, d), _lexicon(s, d, "user_word"))
+    return spans.hits(_t(s, d, "passages"), _lexicon(s, d, "user_word"))
 
 
 @query
 def user_idiom_hits(s: SparkSession, d: str) -> DataFrame:
-    return spans.hits(_tokens(s, d), _lexicon(s, d, "user_idiom", "reference_idiom"))
+    return spans.hits(_t(s, d, "passages"), _lexicon(s, d, "user_idiom", "reference_idiom"))
 
 
 @query
 def span_suppressed(s: SparkSession, d: str) -> DataFrame:
-    found = spans.hits(_tokens(s, d), _lexicon(s, d, "user_word", "user_idiom", "reference_idiom"))
+    found = spans.hits(_t(s, d, "passages"), _lexicon(s, d, "user_word", "user_idiom", "reference_idiom"))
     return spans.kept_apart(found, 5).select("id", "start", "end", "term")
 
 
 @query
 def sentence_context(s: SparkSession, d: str) -> DataFrame:
-    found = spans.hits(_tokens(s, d), _lexicon(s, d, "user_word"))
+    found = spans.hits(_t(s, d, "passages"), _lexicon(s, d, "user_word"))
     return spans.with_context(found, _t(s, d, "passages"), "row_id", "content").select("id", "term", "start", "context")
 
 

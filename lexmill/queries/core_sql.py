@@ -101,7 +101,7 @@ placed AS (SELECT id, text, ts, i, lower(t) AS w, t, (sum(length(t) + length(g))
 def hits(kinds: str) -> str:
     return rf"""{PLACES}, lex AS (SELECT term, regexp_extract_all(term, '[\p{{L}}\p{{N}}_]+') AS parts FROM {kinds}),
     first AS (SELECT * FROM lex WHERE len(parts) > 0),
-    hit AS (SELECT a.id, term, a.s AS start, a.s + length(term) AS "end", substring(a.text, a.s + 1, length(term)) AS original
+    hit AS (SELECT a.id, term, a.s AS start, a.s + length(term) AS "end"
             FROM placed a JOIN first ON a.w = parts[1]
             WHERE lower(substring(a.text, a.s + 1, length(term))) = term
               AND list_transform(a.ts[a.i:a.i + len(parts) - 1], lambda x: lower(x)) = parts)"""
@@ -226,7 +226,7 @@ def oracle_sql() -> dict[str, str]:
     )
     out["sentence_context"] = (
         f"WITH {hits(terms('user_word'))} SELECT hit.id, term, start, "
-        + strip("regexp_extract(left(p.content, start), '[^.]*$') || original || regexp_extract(substring(p.content, \"end\" + 1), '^[^.]*')")
+        + strip("regexp_extract(left(p.content, start), '[^.]*$') || substring(p.content, start + 1, \"end\" - start) || regexp_extract(substring(p.content, \"end\" + 1), '^[^.]*')")
         + " AS context FROM hit JOIN passages p ON p.row_id = hit.id"
     )
     out["reference_idiom_first"] = (

@@ -65,3 +65,13 @@ def written(df: DataFrame, name: str, codec: str = "zstd", partition_by: tuple[s
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, if it would come in fewer partitions than there are cores.
+
+    A table of one small file is read by one task, and all that follows would run there. Larger
+    inputs have at least as many partitions as cores and are left as they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.session import spread
+
 NOT_ALNUM = r"[^\p{L}\p{N}]+"
 PART = r"\p{L}+\p{N}+"
 
@@ -60,11 +62,11 @@ def members(
     the shuffle, and a hot key in the joins back is split by adaptive execution, as the other side
     has one row for each key.
     """
-    rows = df.select(
+    rows = spread(df.select(
         F.col(id_col).cast("bigint").alias("entry_id"),
         bare(F.col(word_col)).alias("_w"),
         bare(F.col(passage_col)).alias("_p"),
-    ).filter("_w IS NOT NULL AND _p IS NOT NULL")
+    ).filter("_w IS NOT NULL AND _p IS NOT NULL"))
     rows = rows.withColumn("_k", cheap_key([F.col("_w"), F.col("_p")]))
     classes = rows.groupBy("_k").agg(F.count("*").alias("_n")).filter("_n > 1").select("_k")
     inside = rows.join(classes, "_k", "left_semi").select("entry_id", "_w", sorted_parts(F.col("_p")).alias("_p"))

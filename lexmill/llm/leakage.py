@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.words import WordHasher, flat_hashes, ngram_hashes, starts_in_text
-from lexmill.session import written
+from lexmill.session import spread, written
 
 K = 6
 
@@ -76,7 +76,7 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str, run: int, k: int = K
     ``wanted``: broadcast bit map of the leading ``bits`` bits; other fingerprints are left out at once.
     """
     source = df.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string")).filter(F.col(text_col).isNotNull())
-    return source.mapInArrow(lambda b: _fingerprints(b, run, k, wanted.value if wanted else None, bits), FP_SCHEMA)
+    return spread(source).mapInArrow(lambda b: _fingerprints(b, run, k, wanted.value if wanted else None, bits), FP_SCHEMA)
 
 
 def _bit_map(fps: DataFrame, bits: int) -> np.ndarray:

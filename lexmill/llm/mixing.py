@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.session import written
+from lexmill.session import spread, written
 
 #: A rank file as described in the folder's README; the pattern belongs to it (fixed value).
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -57,7 +57,7 @@ def token_counts(
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], names=["doc_id", "source", "n_tokens"])
 
     columns = [F.col(id_col).cast("bigint").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text")]
-    return df.select(*columns).mapInArrow(count, "doc_id bigint, source string, n_tokens bigint")
+    return spread(df.select(*columns)).mapInArrow(count, "doc_id bigint, source string, n_tokens bigint")
 
 
 @dataclass

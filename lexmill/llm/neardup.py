@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.words import WordHasher, flat_hashes, mix, ngram_hashes, starts_in_text
-from lexmill.session import written
+from lexmill.session import spread, written
 
 #: Entries of one piece of the count table.
 PIECE_BITS = 16
@@ -71,7 +71,7 @@ def _records(batches: Iterator[pa.RecordBatch], shingle: int, min_words: int) ->
 def records(df: DataFrame, id_col: str, text_col: str, shingle: int, min_words: int) -> DataFrame:
     """(row_id, sig, words) of each text long enough; ``sig`` is a 128-bit hash of its n-gram set."""
     source = df.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string")).filter(F.col(text_col).isNotNull())
-    return source.mapInArrow(lambda b: _records(b, shingle, min_words), "row_id bigint, sig binary, words array<bigint>")
+    return spread(source).mapInArrow(lambda b: _records(b, shingle, min_words), "row_id bigint, sig binary, words array<bigint>")
 
 
 def _one_for_each_id(recs: DataFrame, limit: int) -> DataFrame:

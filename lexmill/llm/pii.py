@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.session import spread
+
 KINDS = ("email", "phone", "id_number", "address", "name")
 
 
@@ -336,7 +338,7 @@ def occurrences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     however long, each by itself, so there is no shuffle; no other columns are read.
     """
     source = df.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string")).filter(F.col(text_col).isNotNull())
-    return source.mapInArrow(_find, "doc_id bigint, kind string, start_pos int, n_chars int")
+    return spread(source).mapInArrow(_find, "doc_id bigint, kind string, start_pos int, n_chars int")
 
 
 def _mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,7 +354,7 @@ def _mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def redacted(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, n_found): every row, its text with placeholders such as [EMAIL]; a null text stays null."""
     source = df.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string"))
-    return source.mapInArrow(_mask, "doc_id bigint, text string, n_found int")
+    return spread(source).mapInArrow(_mask, "doc_id bigint, text string, n_found int")
 
 
 def found(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.words import words
-from lexmill.session import written
+from lexmill.session import spread, written
 
 #: Weight of a rating against the estimate, prior precision of a document, least spread of a word.
 ANCHOR, PRIOR, LEAST_VAR, SHRINK = 0.7, 0.5, 0.02, 1.0
@@ -59,7 +59,7 @@ def _slots(batches: Iterator[pa.RecordBatch], min_words: int, bits: int) -> Iter
 def word_slots(df: DataFrame, id_col: str, text_col: str, min_words: int, bits: int) -> DataFrame:
     """Distinct words of each text as slots of a table of fixed size (2^bits), with their counts."""
     source = df.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string")).filter(F.col(text_col).isNotNull())
-    return source.mapInArrow(lambda b: _slots(b, min_words, bits), DOCS)
+    return spread(source).mapInArrow(lambda b: _slots(b, min_words, bits), DOCS)
 
 
 @dataclass

@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.session import written
+from lexmill.session import spread, written
 
 _ASCII_TERM = re.compile(r"[a-z]+")
 _TERM = regex.compile(r"\p{L}+")
@@ -69,7 +69,7 @@ def _count(batches: Iterator[pa.RecordBatch], flush_at: int) -> Iterator[pa.Reco
 
 def partial_counts(df: DataFrame, text_col: str, flush_at: int = 500_000) -> DataFrame:
     """Counts per task: (term, n_occurrences, n_rows); a row with a null term holds the number of texts."""
-    return df.select(F.col(text_col).cast("string")).mapInArrow(lambda b: _count(b, flush_at), PARTIAL)
+    return spread(df.select(F.col(text_col).cast("string"))).mapInArrow(lambda b: _count(b, flush_at), PARTIAL)
 
 
 _DUCK: list[duckdb.DuckDBPyConnection] = []

@@ -71,7 +71,11 @@ def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores, if it would come in fewer partitions than there are cores.
 
     A table of one small file is read by one task, and all that follows would run there. Larger
-    inputs have at least as many partitions as cores and are left as they are, without a shuffle.
+    inputs have at least as many partitions as cores and are left as they are, without a shuffle; so
+    is what comes out of a shuffle, whose partitions could only be counted by running it.
     """
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    if "AdaptiveSparkPlan" in plan or "Exchange" in plan:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

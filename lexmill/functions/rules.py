@@ -255,3 +255,13 @@ def keep_apart(spans: Column, gap: int, inclusive: bool = False) -> Column:
         return d <= gap if inclusive else d < gap
 
     return F.aggregate(spans, F.filter(spans, lambda _: F.lit(False)), lambda acc, s: F.when(F.exists(acc, lambda a: near(a, s)), acc).otherwise(F.concat(acc, F.array(s))))
+
+
+def database_filter(word: Column, user: Column, cached: Column, decided: Column) -> Column:
+    """STRUCT<ok, reason>: a user word, a word with a space, hyphen or tilde, what the cache says, else the decision."""
+    pattern = word.rlike("[ ~-]")
+    return (
+        F.when(user, F.struct(F.lit(True).alias("ok"), F.lit("사용자DB").alias("reason")))
+        .when(pattern, F.struct(F.lit(True).alias("ok"), F.lit("숙어패턴").alias("reason")))
+        .otherwise(F.coalesce(cached, decided))
+    )

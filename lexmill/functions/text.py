@@ -123,3 +123,21 @@ def cache_key(word: Column, context: Column, pos: Column | None = None, n: int =
     """word:context[:n]:pos, nulls as blanks."""
     parts = [word, F.substring(F.coalesce(context, F.lit("")), 1, n)] + ([F.coalesce(pos, F.lit(""))] if pos is not None else [])
     return F.concat_ws(":", *parts)
+
+
+def parse_json(c: Column, fields: dict[str, str]) -> Column:
+    """STRUCT of the fields (name to type) of a JSON answer, fenced or not; if it is broken, simple fields are read one by one."""
+    body = fenced_json(c)
+    parsed = F.from_json(body, ", ".join(f"{k} {t}" for k, t in fields.items()))
+
+    def salvaged(name: str, kind: str) -> Column:
+        if kind == "string":
+            found = F.regexp_extract(body, rf'"{name}"\s*:\s*"([^"]*)"', 1)
+        elif kind.startswith("array"):
+            inside = F.regexp_extract(body, rf'"{name}"\s*:\s*\[([^\]]*)\]', 1)
+            return F.filter(F.transform(F.split(inside, ","), lambda w: strip(F.regexp_replace(w, '"', ""))), lambda w: F.length(w) > 0)
+        else:
+            found = F.regexp_extract(body, rf'"{name}"\s*:\s*([-\w.]+)', 1)
+        return F.nullif(found, F.lit("")).try_cast(kind)
+
+    return F.struct(*[F.coalesce(parsed[k], salvaged(k, t)).alias(k) for k, t in fields.items()])

@@ -164,3 +164,9 @@ def repair(wb: DataFrame, meanings: DataFrame | None = None) -> DataFrame:
     """Meanings, then conflicts, then duplicates."""
     out = repair_meanings(wb, meanings) if meanings is not None else wb
     return repair_duplicates(repair_conflicts(out))
+
+
+def bulk_candidates(wb: DataFrame, max_items: int) -> tuple[DataFrame, DataFrame]:
+    """Entries whose meanings and whose synonyms are to be made in one run: half of ``max_items`` each, in order of entry."""
+    half = max_items // 2
+    return meaning_issues(wb).orderBy("entry_id").limit(half), repair_candidates(wb, half)

@@ -158,10 +158,11 @@ def separable_table(analysis: DataFrame, json_col: str = "response") -> DataFram
     schema = "is_separable boolean, verb string, particle string, display_form string, examples array<string>, reason string, confidence double"
     parsed = analysis.withColumn("_a", F.from_json(text.fenced_json(F.col(json_col)), schema))
     words = F.split("idiom", " ")
+    verb, particle = F.get(words, F.lit(0)), F.get(words, F.lit(1))
     rows = parsed.filter(F.coalesce(F.col("_a.is_separable"), F.lit(False)) & (F.size(words) == 2))
-    shown = F.coalesce(F.nullif(F.col("_a.display_form"), F.lit("")), F.concat_ws(" ~ ", words[0], words[1]))
+    shown = F.coalesce(F.nullif(F.col("_a.display_form"), F.lit("")), F.concat_ws(" ~ ", verb, particle))
     return rows.select(
-        "idiom", words[0].alias("verb"), words[1].alias("particle"), shown.alias("display_form"), F.coalesce("_a.confidence", F.lit(0.9)).alias("confidence"),
+        "idiom", verb.alias("verb"), particle.alias("particle"), shown.alias("display_form"), F.coalesce("_a.confidence", F.lit(0.9)).alias("confidence"),
         F.coalesce("_a.examples", F.array().cast("array<string>")).alias("examples"), F.coalesce("_a.reason", F.lit("")).alias("reason"),
     )
 

@@ -105,3 +105,13 @@ def to_refine(wb: DataFrame) -> DataFrame:
     some = wb.filter(~text.missing(F.col("synonyms")) | ~text.missing(F.col("antonyms")))
     return some if not some.isEmpty() else wb
 
+
+
+def attach(wb: DataFrame, records: DataFrame, key_col: str = "word") -> DataFrame:
+    """Workbook rows with the lists of the last record of their word; synonym_confidence is 0.8 with synonyms, else 0."""
+    newest = F.max_by(F.struct("synonyms", "antonyms"), F.struct("created_at", "record_id"))
+    last = records.groupBy(F.lower("word").alias("_w")).agg(newest.alias("_r"))
+    joined = wb.join(last, F.lower(F.col(key_col)) == F.col("_w"), "left")
+    syn, ant = F.array_join("_r.synonyms", ","), F.array_join("_r.antonyms", ",")
+    out = joined.withColumn("synonyms", F.coalesce(syn, "synonyms")).withColumn("antonyms", F.coalesce(ant, "antonyms"))
+    return out.withColumn("synonym_confidence", F.when(text.missing(F.col("synonyms")), 0.0).otherwise(0.8)).drop("_w", "_r")

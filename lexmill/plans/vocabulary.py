@@ -17,8 +17,9 @@ def separable_pairs(idioms: DataFrame) -> DataFrame:
     """(verb, particle, term) of two-word idioms that end in a particle: the offline stand-in for the analysis."""
     t = F.lower(text.strip(F.col("term")))
     parts = F.split(t, " ")
-    two = idioms.filter((F.size(parts) == 2) & parts[1].isin(*fixed.PARTICLES))
-    return two.select(parts[0].alias("verb"), parts[1].alias("particle"), t.alias("term")).distinct()
+    verb, particle = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
+    two = idioms.filter((F.size(parts) == 2) & particle.isin(*fixed.PARTICLES))
+    return two.select(verb.alias("verb"), particle.alias("particle"), t.alias("term")).distinct()
 
 
 def _shaped(found: DataFrame, kind: int, base: Column, separated: Column, confidence: float) -> DataFrame:
@@ -33,8 +34,7 @@ def matches(passages: DataFrame, lexicon: DataFrame, max_gap: int = 6) -> DataFr
     sep = spans.kept_apart(sep.select("id", F.concat_ws(" ", "verb", "particle").alias("term"), "start", "end"), 6)
     # longer than the idiom itself: something stands between
     apart = (F.col("end") - F.col("start")) > F.length("term")
-    parts = F.split("term", " ")
-    first = _shaped(sep, 1, F.when(apart, F.concat_ws(" ~ ", parts[0], parts[1])).otherwise(F.col("term")), apart, 0.9)
+    first = _shaped(sep, 1, F.when(apart, F.replace("term", F.lit(" "), F.lit(" ~ "))).otherwise(F.col("term")), apart, 0.9)
     plain = idioms.select(F.lower(text.strip(F.col("term"))).alias("term")).distinct().join(pairs.select("term"), "term", "left_anti")
     second = _shaped(spans.kept_apart(spans.hits(passages, plain), 5), 2, F.col("term"), no, 0.95)
     third = _shaped(spans.kept_apart(spans.hits(passages, _kind(lexicon, "user_word")), 3), 3, F.col("term"), no, 1.0)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.functions import fixed, rules, text
-from lexmill.operators import cache, difficulty, enrich, lexicon, packed, patterns, quality, rows, spans, synonyms
+from lexmill.operators import annotate, cache, difficulty, enrich, lexicon, packed, patterns, quality, rows, spans, synonyms
 from lexmill.plans import pipelines, vocabulary
 from lexmill.queries import core_sql
 from lexmill.sources import readers, sinks
@@ -192,6 +192,24 @@ def word_pos(s: SparkSession, d: str) -> DataFrame:
     return _words(s, d).select("word", rules.pos_tag(F.col("word")).alias("pos"))
 
 
+@query
+def word_lemmas(s: SparkSession, d: str) -> DataFrame:
+    return _words(s, d).select("word", annotate.lemma(F.col("word")).alias("lemma"))
+
+
+@query
+def stop_and_names(s: SparkSession, d: str) -> DataFrame:
+    """Annotated tokens of the passages, counted by what they are."""
+    one = annotate.annotated(spans.tokens(_t(s, d, "passages"), "row_id", "content"), _lexicon(s, d, "easy"))
+    return one.groupBy("tag", "is_stop", "is_name").agg(F.count("*").alias("n"))
+
+
+@query
+def attached_synonyms(s: SparkSession, d: str) -> DataFrame:
+    out = synonyms.attach(_t(s, d, "workbook"), _t(s, d, "synonym_records"))
+    return out.select("entry_id", "synonyms", "antonyms", "synonym_confidence")
+
+
 @query
 def difficulty_cascade(s: SparkSession, d: str) -> DataFrame:
     return difficulty.cascade(_words(s, d), _lexicon(s, d, "user_word"), _lexicon(s, d, "easy"))

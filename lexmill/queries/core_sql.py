@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lexmill.functions import fixed
+from lexmill.operators.annotate import IRREGULAR_LEMMAS
 
 STRIP = r"regexp_replace({0}, '^[\s\x{{00A0}}\x{{3000}}]+|[\s\x{{00A0}}\x{{3000}}]+$', '', 'g')"
 
@@ -256,6 +257,23 @@ def oracle_sql() -> dict[str, str]:
     )
     out["word_difficulty"] = f"WITH {WORDS} SELECT word, CASE WHEN p <= 2 THEN 'elementary' WHEN p <= 4 THEN 'intermediate' ELSE 'advanced' END AS difficulty FROM (SELECT word, {points} AS p FROM words)"
     out["word_pos"] = f"WITH {WORDS} SELECT word, {pos_case('word')} AS pos FROM words"
+    undo = "CASE WHEN regexp_matches({0}, '(bb|dd|gg|mm|nn|pp|rr|tt)$') THEN left({0}, length({0}) - 1) ELSE {0} END"
+    out["word_lemmas"] = (
+        f"WITH {WORDS} SELECT word, coalesce(CASE word {' '.join(f'WHEN {chr(39)}{a}{chr(39)} THEN {chr(39)}{b}{chr(39)}' for a, b in IRREGULAR_LEMMAS.items())} END, "
+        "CASE WHEN regexp_matches(word, '[^aeiou]ies$') THEN left(word, length(word) - 3) || 'y' WHEN regexp_matches(word, '(s|x|z|ch|sh)es$') THEN left(word, length(word) - 2) "
+        "WHEN regexp_matches(word, '[^su]s$') AND length(word) > 3 THEN left(word, length(word) - 1) WHEN regexp_matches(word, '[^aeiou]ied$') THEN left(word, length(word) - 3) || 'y' "
+        f"WHEN regexp_matches(word, '[aeiouy][^aeiou]+ed$') AND length(word) > 4 THEN {undo.format('left(word, length(word) - 2)')} "
+        f"WHEN regexp_matches(word, '[aeiouy][^aeiou]*ing$') AND length(word) > 5 THEN {undo.format('left(word, length(word) - 3)')} ELSE word END) AS lemma FROM words"
+    )
+    out["stop_and_names"] = (
+        rf"WITH raw AS (SELECT regexp_extract_all(content, '[\p{{L}}\p{{N}}_]+') AS ts FROM passages WHERE content IS NOT NULL), one AS (SELECT unnest(ts) AS t, generate_subscripts(ts, 1) AS i FROM raw) "
+        rf"SELECT {pos_case('lower(t)')} AS tag, lower(t) IN (SELECT term FROM {terms('easy')}) AS is_stop, regexp_matches(t, '^\p{{Lu}}\p{{L}}+') AND i > 1 AS is_name, count(*) AS n FROM one GROUP BY 1, 2, 3"
+    )
+    out["attached_synonyms"] = (
+        "WITH r AS (SELECT lower(word) AS w, arg_max({'s': synonyms, 'a': antonyms}, {'t': created_at, 'i': record_id}) AS r FROM synonym_records GROUP BY 1), "
+        "j AS (SELECT entry_id, coalesce(array_to_string(r.s, ','), synonyms) AS synonyms, coalesce(array_to_string(r.a, ','), antonyms) AS antonyms FROM workbook LEFT JOIN r ON lower(workbook.word) = w) "
+        f"SELECT *, CASE WHEN {MISSING} THEN 0.0 ELSE 0.8 END AS synonym_confidence FROM j"
+    )
     user, easy = f"word IN (SELECT term FROM {terms('user_word')})", f"word IN (SELECT term FROM {terms('easy')})"
     basic = f"word IN ({quoted(fixed.BASIC_WORDS)})"
     out["difficulty_cascade"] = (

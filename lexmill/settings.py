@@ -1,0 +1,17 @@
+"""Default settings of the programs (fixed values)."""
+
+DEFAULTS = {
+    "difficulty_least": 7.0,
+    "difficulty_score_above": 0.6,
+    "call_limit": 1000,
+    "synonym_call_limit": 500,
+    "min_word_length": 4,
+    "separable_max_gap": 6,
+    "pattern_top": 200,
+    "verdict_contexts": 50,
+    "verdict_meanings": 30,
+    "repair_most": 20,
+    "phrase_limit": 30_000,
+    "cache_days": 7,
+    "master_more_than": 15_000,
+}

@@ -28,8 +28,11 @@ def educational_score(pattern: Column, frequency: Column, n: Column) -> Column:
     for length, w in fixed.LENGTH_WEIGHTS.items():
         weight = F.when(n == length, w).otherwise(weight)
     bonus = F.when(F.lit(False), 0.0)
+    padded = F.concat(F.lit(" "), pattern, F.lit(" "))
     for regex, value in fixed.PATTERN_BONUSES:
-        bonus = bonus.when(pattern.rlike(regex), value)
+        phrase = regex.removeprefix("(^| )").removesuffix("( |$)")
+        # a fixed phrase needs no regex
+        bonus = bonus.when(pattern.rlike(regex) if "[" in phrase else padded.contains(f" {phrase} "), value)
     return (frequency + F.when(has_preposition, 1.5).otherwise(0.0)) * F.coalesce(weight, F.lit(1.0)) + bonus.otherwise(0.0)
 
 

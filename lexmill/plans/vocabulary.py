@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import fixed, text
 from lexmill.operators import difficulty, enrich, quality, rows, spans
+from lexmill.session import written
 
 
 def _kind(lexicon: DataFrame, *kinds: str) -> DataFrame:
@@ -76,4 +77,5 @@ def workbook(passages: DataFrame, lexicon: DataFrame, profile: str = "lexicon",
     if meanings is not None:
         out = enrich.with_answers(out.drop("meaning_ko"), meanings, "base_form", "meaning_ko", enrich.generic_meaning(F.col("word")))
     out = out.withColumn("entry_id", F.xxhash64("row_id", "seq"))
-    return (quality.repair(out) if check else out).select("row_id", *fixed.WORKBOOK_NAMES)
+    # the repairs read the rows several times: the matches are made once
+    return (quality.repair(written(out, "workbook")) if check else out).select("row_id", *fixed.WORKBOOK_NAMES)

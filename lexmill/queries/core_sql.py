@@ -272,7 +272,7 @@ def oracle_sql() -> dict[str, str]:
     out["attached_synonyms"] = (
         "WITH r AS (SELECT lower(word) AS w, arg_max({'s': synonyms, 'a': antonyms}, {'t': created_at, 'i': record_id}) AS r FROM synonym_records GROUP BY 1), "
         "j AS (SELECT entry_id, coalesce(array_to_string(r.s, ','), synonyms) AS synonyms, coalesce(array_to_string(r.a, ','), antonyms) AS antonyms FROM workbook LEFT JOIN r ON lower(workbook.word) = w) "
-        f"SELECT *, CASE WHEN {MISSING} THEN 0.0 ELSE 0.8 END AS synonym_confidence FROM j"
+        f"SELECT *, CASE WHEN {MISSING} THEN 0.0::DOUBLE ELSE 0.8::DOUBLE END AS synonym_confidence FROM j"
     )
     user, easy = f"word IN (SELECT term FROM {terms('user_word')})", f"word IN (SELECT term FROM {terms('easy')})"
     basic = f"word IN ({quoted(fixed.BASIC_WORDS)})"

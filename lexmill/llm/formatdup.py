@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from lexmill.session import spread
 
 NOT_ALNUM = r"[^\p{L}\p{N}]+"
-PART = r"\p{L}+\p{N}+"
+PART = r"^\p{L}+\p{N}+$"
 
 
 def bare(col: Column) -> Column:
@@ -41,8 +41,9 @@ def cheap_key(fields: Sequence[Column]) -> Column:
 
 def sorted_parts(bare_col: Column) -> Column:
     """The identifier with its letter-and-number parts sorted; left as it is if it has no three such parts."""
-    parts = F.regexp_extract_all(bare_col, F.lit(PART), F.lit(0))
-    whole = (F.size(parts) == 3) & (F.array_join(parts, "") == bare_col)
+    # cut where a number ends, so that very long identifiers take linear time
+    parts = F.split(bare_col, r"(?<=\p{N})(?=\p{L})")
+    whole = (F.size(parts) == 3) & F.forall(parts, lambda p: p.rlike(PART))
     return F.when(whole, F.array_join(F.array_sort(parts), "-")).otherwise(bare_col)
 
 
@@ -62,11 +63,8 @@ def members(
     the shuffle, and a hot key in the joins back is split by adaptive execution, as the other side
     has one row for each key.
     """
-    rows = spread(df.select(
-        F.col(id_col).cast("bigint").alias("entry_id"),
-        bare(F.col(word_col)).alias("_w"),
-        bare(F.col(passage_col)).alias("_p"),
-    ).filter("_w IS NOT NULL AND _p IS NOT NULL"))
+    raw = df.select(F.col(id_col).cast("bigint").alias("entry_id"), F.col(word_col).alias("_w"), F.col(passage_col).alias("_p"))
+    rows = spread(raw.filter("_w IS NOT NULL AND _p IS NOT NULL")).select("entry_id", bare(F.col("_w")).alias("_w"), bare(F.col("_p")).alias("_p"))
     rows = rows.withColumn("_k", cheap_key([F.col("_w"), F.col("_p")]))
     classes = rows.groupBy("_k").agg(F.count("*").alias("_n")).filter("_n > 1").select("_k")
     inside = rows.join(classes, "_k", "left_semi").select("entry_id", "_w", sorted_parts(F.col("_p")).alias("_p"))

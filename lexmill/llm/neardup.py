@@ -312,29 +312,39 @@ def all_pairs(links_: DataFrame, copies: DataFrame) -> DataFrame:
     return between.unionByName(same.select("row_id_a", "row_id_b", F.lit(1.0).alias("similarity")))
 
 
-def classes(df: DataFrame, rounds: int = 30, **options) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
+    """(a, l): each node of the edges (a, b) with the smallest id of its component.
+
+    Large star and small star in turn (Kiveris et al. 2014), until every node hangs on the smallest
+    one. A turn that does not end so lowers some end of an edge, so the loop ends by itself; the number of
+    turns is at most in the order of the squared logarithm of the nodes, also for long chains.
+    """
+    tree = edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).filter("hi > lo").distinct()
+    while True:
+        # large star: larger neighbours of a node go to the smallest of it and its neighbours
+        near = tree.groupBy(F.col("lo").alias("u")).agg(F.min("lo").alias("m")).unionByName(tree.groupBy(F.col("hi").alias("u")).agg(F.min("lo").alias("m")))
+        least = near.groupBy("u").agg(F.min("m").alias("m"))
+        large = written(tree.join(least.withColumnRenamed("u", "lo"), "lo").select("hi", F.col("m").alias("lo")).distinct(), "large_star")
+        # small star: a node and its smaller neighbours go to the smallest of these
+        joined = large.join(large.groupBy("hi").agg(F.min("lo").alias("m")), "hi")
+        tree = written(joined.select(F.explode(F.array("hi", "lo")).alias("hi"), F.col("m").alias("lo")).filter("hi > lo").distinct(), "small_star")
+        # done when no node has two edges down, or edges both down and up
+        roots = tree.select("lo").distinct()
+        if tree.select("hi").unionAll(roots).groupBy("hi").count().filter("count > 1").isEmpty():
+            return tree.toDF("a", "l").unionAll(roots.select("lo", "lo"))
+
+
+def classes(df: DataFrame, **options) -> DataFrame:
     """(row_id, class_id, n_links) of every record that has a near duplicate or a copy.
 
-    ``class_id`` is the smallest id that can be reached over links and copies; ``n_links`` counts the
-    links to different texts, those of all members of a group of copies alike. Minimum labels are
-    handed on over the links, with jumps to the label's own label, until nothing changes.
+    ``class_id`` is the smallest id that can be reached over links and copies, however long the chain;
+    ``n_links`` counts the links to different texts, those of all members of a group of copies alike.
     """
     found_, copies = links(df, **options)
     edges = written(found_.select("a", "b"), "edges")
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    label = written(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("l")), "labels")
-    for _ in range(rounds):
-        heard = both.join(label.toDF("b", "l"), "b").select("a", "l").unionByName(label)
-        new = heard.groupBy("a").agg(F.min("l").alias("l"))
-        jump = new.join(new.toDF("l", "ll"), "l", "left").select("a", F.least("l", F.coalesce("ll", "l")).alias("l"))
-        jumped = written(jump, "labels")
-        if jumped.join(label.toDF("a", "old"), "a").filter("l <> old").isEmpty():
-            break
-        label = jumped
-    else:
-        raise RuntimeError(f"labels still change after {rounds} rounds")
     n_links = both.groupBy("a").agg(F.count("*").alias("n_links"))
-    linked = label.join(n_links, "a").select(F.col("a").alias("rep"), F.col("l").alias("class_id"), "n_links")
+    linked = components(edges).join(n_links, "a").select(F.col("a").alias("rep"), F.col("l").alias("class_id"), "n_links")
     member = copies.select("rep", "row_id")
     single = linked.join(member, "rep", "left").select(F.coalesce("row_id", "rep").alias("row_id"), "class_id", "n_links")
     alone = member.join(linked, "rep", "left_anti").select("row_id", F.col("rep").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))

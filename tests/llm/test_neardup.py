@@ -88,3 +88,27 @@ def test_classes(spark):
     got = {r["row_id"]: (r["class_id"], r["n_links"]) for r in neardup.classes(df, threshold=0.8, bits=14).collect()}
     assert {k: v[0] for k, v in got.items()} == {10: 10, 11: 10, 12: 10, 13: 10, 20: 10, 30: 30, 31: 30}
     assert got[10][1] == 1 and got[20] == got[13] and got[30] == (30, 0)
+
+
+def test_a_long_chain_is_one_class(spark):
+    """Successive edits with ids in any order: each text is linked to the one before and after it only."""
+    ids = list(range(100, 400))
+    random.Random(1).shuffle(ids)
+    rows = [(i, " ".join(f"w{j}" for j in range(3 * k, 3 * k + 40))) for k, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "row_id bigint, content string")
+    got = {r["row_id"]: (r["class_id"], r["n_links"]) for r in neardup.classes(df, threshold=0.8, bits=14).collect()}
+    assert got == {i: (100, 1 if i in (ids[0], ids[-1]) else 2) for i in ids}
+
+
+def test_components(spark):
+    rng = random.Random(2)
+    edges = [(rng.randrange(150), rng.randrange(150)) for _ in range(90)]
+    edges += [(1000 + i, 999) for i in range(50)]
+    label = {n: n for e in edges for n in e if e[0] != e[1]}
+    for _ in label:
+        for a, b in edges:
+            if a != b:
+                label[a] = label[b] = min(label[a], label[b])
+    got = neardup.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()
+    assert len(got) == len(label) and {r["a"]: r["l"] for r in got} == label
+    assert neardup.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0

@@ -43,6 +43,7 @@ _AT = rf"(?:\s?@\s?|{_OPEN}at{_CLOSE}|\s+at\s+)"
 _DOT = rf"(?:\.|{_OPEN}dot{_CLOSE}|\s+dot\s+)"
 _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
 AT = re.compile(_AT, re.I)
+DISGUISE = re.compile(r"[\[({<]\s*(?:at|dot)\s*[\])}>]|\sdot\s")
 DOMAIN = re.compile(rf"{_LABEL}(?:{_DOT}{_LABEL})+", re.I)
 #: Before the at; a local part has 64 characters by its standard, and up to LOCAL_MAX are looked at.
 LOCAL_END, LOCAL_MAX = re.compile(r"(?<![\w.+-])[\w+-]+(?:\.[\w+-]+)*$"), 256
@@ -116,7 +117,8 @@ def _spelled(text: str) -> list[tuple[int, int, str]]:
 
 
 def _disguised(text: str, low: str) -> list[tuple[int, int, str]]:
-    if not ("@" in text or " dot " in low or "at]" in low or "at)" in low or "at}" in low or "at>" in low):
+    # implied by the patterns: what holds none of these holds no edit
+    if not ("@" in text or DISGUISE.search(low)):
         return []
     edits: list[tuple[int, int, str]] = []
     done = 0

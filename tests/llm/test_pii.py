@@ -62,3 +62,9 @@ def test_redaction(spark):
     masked = {r["doc_id"]: r["n_found"] for r in pii.redacted(df).collect()}
     assert masked == {1: 3, 2: 0, 3: 0, 4: 1, 5: 0} and pii.redacted(df).count() == 6
     assert pii.found(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("address", ["j.lee at site (dot) com", "j.lee at site[dot]com", "j.lee [ at ] site.com", "j.lee (at ) site.com", "j.lee at site\ndot\tcom", "J.LEE { AT\n} SITE.COM"])
+def test_a_disguise_needs_no_other_trigger(address):
+    assert found(f"Write to {address}, please.") == [("email", address)]
+    assert found(f"See @home. Write to {address}, please.") == [("email", address)]

@@ -3,7 +3,8 @@
 From every window of ``window`` successive k-grams the smallest hash is kept (the last of equal
 ones). Two texts that share ``k + window - 1`` words in a row share a whole window and so a kept
 hash: no such span is missed. Kept hashes of both sides are joined, and each hit is extended word by
-word to both sides to see how long the shared run is.
+word to both sides, up to ``run - 1`` words. Hits in a shared run stand at most ``window`` words
+apart, so what they cover overlaps, and chained it is the whole run.
 """
 
 from __future__ import annotations
@@ -12,7 +13,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.llm.words import WordHasher, flat_hashes, ngram_hashes, starts_in_text
@@ -56,22 +58,28 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], run: int, k: int, wanted: n
         signed = flat.view(np.int64)
         before = [signed[a:b] for a, b in zip(begin, at)]
         after = [signed[a:b] for a, b in zip(at + k, end)]
+        # texts that share an id are told apart by their words
+        sigs = {i: xxhash.xxh3_64_intdigest(flat[offsets[i] : offsets[i + 1]].tobytes()) for i in np.unique(text)}
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0).take(pa.array(text)),
+                pa.array(np.array([sigs[i] for i in text], dtype=np.uint64).view(np.int64)),
+                pa.array(at - offsets[text]),
                 pa.array(grams[at].view(np.int64)),
                 pa.array(before, pa.list_(pa.int64())),
                 pa.array(after, pa.list_(pa.int64())),
             ],
-            names=["id", "fp", "before", "after"],
+            names=["id", "sig", "place", "fp", "before", "after"],
         )
 
 
-FP_SCHEMA = "id bigint, fp bigint, before array<bigint>, after array<bigint>"
+FP_SCHEMA = "id bigint, sig bigint, place bigint, fp bigint, before array<bigint>, after array<bigint>"
 
 
 def fingerprints(df: DataFrame, id_col: str, text_col: str, run: int, k: int = K, wanted=None, bits: int = 22) -> DataFrame:
-    """(id, fp, before, after): kept k-grams with up to ``run - 1`` word hashes on both sides.
+    """(id, sig, place, fp, before, after): kept k-grams with up to ``run - 1`` word hashes on both sides.
+
+    ``sig`` is a hash of the text's words, ``place`` counts its words before the k-gram.
 
     ``wanted``: broadcast bit map of the leading ``bits`` bits; other fingerprints are left out at once.
     """
@@ -104,7 +112,7 @@ def leaks(
 ) -> DataFrame:
     """(doc_id, item_id, run_words): documents that hold ``run`` or more words in a row that stand in a row in an item.
 
-    ``run_words`` is the longest run seen from any hit, up to ``2 * run - 2 + k`` words. Null texts and
+    ``run_words`` is the length of the longest run they share, however long. Null texts and
     texts of fewer than ``run`` words match nothing; repeated documents and items each count;
     an empty table on either side gives an empty result; no other columns are read.
 
@@ -118,16 +126,24 @@ def leaks(
     theirs = written(fingerprints(items, item_id, item_text, run, k), "fingerprints")
     wanted = spark.sparkContext.broadcast(_bit_map(theirs, bits))
     ours = fingerprints(documents, doc_id, doc_text, run, k, wanted, bits)
+    back, ahead = _shared(F.reverse("d.before"), F.reverse("t.before")), _shared(F.col("d.after"), F.col("t.after"))
     hits = ours.alias("d").join(theirs.alias("t"), "fp").select(
         F.col("d.id").alias("doc_id"),
         F.col("t.id").alias("item_id"),
-        (
-            F.lit(k)
-            + _shared(F.reverse("d.before"), F.reverse("t.before"))
-            + _shared(F.col("d.after"), F.col("t.after"))
-        ).alias("run_words"),
+        F.col("d.sig").alias("_ds"),
+        F.col("t.sig").alias("_ts"),
+        (F.col("d.place") - F.col("t.place")).alias("_shift"),
+        (F.col("d.place") - back).alias("_begin"),
+        (F.col("d.place") + k + ahead).alias("_end"),
     )
-    return hits.filter(F.col("run_words") >= run).groupBy("doc_id", "item_id").agg(F.max("run_words").alias("run_words"))
+    # of one alignment of two texts, what hits cover is chained where it overlaps
+    line = ["doc_id", "item_id", "_ds", "_ts", "_shift"]
+    order = Window.partitionBy(*line).orderBy("_begin", "_end")
+    reached = F.max("_end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    new = (F.col("_begin") > F.col("_reached")).cast("int")
+    spans = hits.withColumn("_reached", reached).withColumn("_chain", F.sum(F.coalesce(new, F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = spans.groupBy(*line, "_chain").agg((F.max("_end") - F.min("_begin")).cast("int").alias("run_words"))
+    return runs.filter(F.col("run_words") >= run).groupBy("doc_id", "item_id").agg(F.max("run_words").alias("run_words"))
 
 
 def _shared(a, b):

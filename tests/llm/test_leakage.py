@@ -52,3 +52,20 @@ def test_grams_stay_in_their_text():
     other, _ = flat_hashes(["x b c d"], WordHasher())
     assert ngram_hashes(flat, 3)[1] == ngram_hashes(other, 3)[1]
     assert len(starts_in_text(np.array([0]), 2)) == 0
+
+
+def test_whole_length_of_a_run(spark):
+    a, b = [f"a{i}" for i in range(200)], [f"b{i}" for i in range(60)]
+    items = [(1, " ".join(a)), (2, " ".join(b)), (3, "same " * 50)]
+    docs = [
+        (1, "x " + " ".join(a) + " y"),
+        (2, " ".join(a[:28])),
+        (3, " ".join(a[:90] + ["x"] + a[91:])),  # two runs beside each other
+        (4, " ".join(b[20:] + b[:20])),
+        (5, " ".join(b[:30])),
+        (5, " ".join(["x"] * 25 + b[25:])),  # another text under the same id
+        (6, "same " * 70),
+    ]
+    df, it = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]): r["run_words"] for r in leakage.leaks(df, it).collect()}
+    assert got == {(1, 1): 200, (2, 1): 28, (3, 1): 109, (4, 2): 40, (5, 2): 35, (6, 3): 50}

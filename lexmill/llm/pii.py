@@ -3,7 +3,8 @@
 A chain of small transducers rewrites a text into a plainer one: look-alike letters and full-width
 digits, invisible characters, digits spelled as words, and the disguises of at and dot. Each rewrite
 keeps, for every character of its output, the place it came from. Identifiers are found in the plain
-text, and their spans are mapped back to the characters of the source.
+text, and their spans are mapped back to the characters of the source. Names are told by a model of
+names (:mod:`lexmill.llm.names`) that is fitted to the collection itself.
 """
 
 from __future__ import annotations
@@ -13,14 +14,18 @@ from bisect import bisect_right
 from collections.abc import Iterator
 from typing import NamedTuple
 
-import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.llm import names
 from lexmill.session import spread
 
 KINDS = ("email", "phone", "id_number", "address", "name")
+#: Also found and masked, but asked for by no kind above: payment cards and bank accounts, told by their check digits.
+ACCOUNTS = ("card", "iban")
+#: Of overlapping finds the first stays.
+RANK = {k: i for i, k in enumerate(("email", "iban", "card", "phone", "id_number", "address", "name"))}
 
 
 # --- transducers -----------------------------------------------------------------------------
@@ -45,8 +50,6 @@ _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
 AT = re.compile(_AT, re.I)
 DISGUISE = re.compile(r"[\[({<]\s*(?:at|dot)\s*[\])}>]|\sdot\s")
 DOMAIN = re.compile(rf"{_LABEL}(?:{_DOT}{_LABEL})+", re.I)
-#: Before the at; a local part has 64 characters by its standard, and up to LOCAL_MAX are looked at.
-LOCAL_END, LOCAL_MAX = re.compile(r"(?<![\w.+-])[\w+-]+(?:\.[\w+-]+)*$"), 256
 _DOT_RE = re.compile(rf"{_OPEN}dot{_CLOSE}|\s+dot\s+", re.I)
 
 
@@ -116,6 +119,18 @@ def _spelled(text: str) -> list[tuple[int, int, str]]:
     return edits
 
 
+def _local_start(text: str, at: int, floor: int) -> int:
+    """Where the local part of an address that ends at ``at`` begins, however long, or -1."""
+    i = at
+    while i > floor and (text[i - 1].isalnum() or text[i - 1] in "_+%-."):
+        i -= 1
+    if text[i:at].endswith("."):
+        return -1
+    i = max(i, text.rfind("..", i, at) + 2) if ".." in text[i:at] else i
+    i += text[i:at].startswith(".")
+    return i if i < at else -1
+
+
 def _disguised(text: str, low: str) -> list[tuple[int, int, str]]:
     # implied by the patterns: what holds none of these holds no edit
     if not ("@" in text or DISGUISE.search(low)):
@@ -124,7 +139,7 @@ def _disguised(text: str, low: str) -> list[tuple[int, int, str]]:
     done = 0
     for m in AT.finditer(text):
         domain = DOMAIN.match(text, m.end())
-        if m.start() < done or not domain or not LOCAL_END.search(text, max(done, m.start() - LOCAL_MAX), m.start()):
+        if m.start() < done or not domain or _local_start(text, m.start(), done) < 0:
             continue
         dots = [(m.end() + d.start(), m.end() + d.end(), ".") for d in _DOT_RE.finditer(domain[0])]
         if not dots and m[0].strip().lower() == "at":
@@ -151,7 +166,6 @@ def plain(text: str) -> Plain:
 
 # --- detection -------------------------------------------------------------------------------
 
-LOCAL = re.compile(r"(?<![\w.+%-])[\w+%-]+(?:\.[\w+%-]+)*$")
 HOST = re.compile(rf"{_LABEL}(?:\.{_LABEL})*\.[A-Za-z]{{2,}}(?![\w@])")
 
 _N = r"(?<![\w.:/@-])(?<!\d[ .-])"
@@ -162,7 +176,7 @@ PHONE = re.compile(
     r"|\(0?\d{2,3}\) ?\d{3,4}[ .-]\d{4}"  # area in brackets
     r"|01[016789](?P<a>[ .-]?)\d{3,4}(?P=a)\d{4}"  # mobile
     r"|0\d{1,2}(?P<b>[ .-])\d{3,4}(?P=b)\d{4}"  # area, national prefix
-    r"|[2-9]\d{2}(?P<c>[ .-])\d{3}(?P=c)\d{4}"  # area, seven digits
+    r"|(?:1[ .-])?[2-9]\d{2}(?P<c>[ .-])\d{3}(?P=c)\d{4}"  # area, seven digits, perhaps after the country's 1
     rf"){_E}"
 )
 _MONTH_DAY = r"(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])"
@@ -179,50 +193,7 @@ ADDRESS = re.compile(
     rf"(?:(?:[A-Z][a-z]+ ){{1,3}}{_SUFFIX}|(?:[A-Z]+ ){{1,3}}{_SUFFIX.upper()})\b\.?"
     rf"(?:, ?(?:Apt|Flat|Unit|APT|FLAT|UNIT)\.? ?\d{{1,4}}[A-Z]?)?(?:(?:, ?|\n)[A-Z][A-Za-z]+(?: \d{{5}}\b)?)?"
 )
-ADDRESS_KO = re.compile(r"(?<!\w)(?:[가-힣]{1,6}(?:시|도) )(?:[가-힣]{1,6}(?:시|군|구) )?(?:[가-힣]{1,6}(?:읍|면|동) )?[가-힣0-9]{1,10}(?:로|길) ?\d{1,5}(?:-\d{1,4})?(?!\d)")
-
-_G = r"[A-ZÀ-Þ][a-zß-ÿ]+(?:['’][A-Z]?[a-z]+)?"
-_GG = rf"{_G}(?:-{_G})?"
-_U = r"[A-Z]{2,}(?:-[A-Z]{2,})?"
-#: Family name first, initials, full names, capitals.
-LATIN_NAME = rf"(?:{_GG}, {_GG}|[A-Z]\. ?(?:[A-Z]\. ?)?{_GG}|{_GG} (?:[A-Z]\. ?)?{_GG}|{_U}, {_U}|{_U} (?:[A-Z]\. )?{_U})"
-KO_NAME = r"[가-힣]{2,5}"
-ANY_NAME = rf"(?:{LATIN_NAME}|{KO_NAME})"
-TITLE = r"(?:(?:Mr|Mrs|Ms|Miss|Mx|Dr|Prof|Sir)\.?|Teacher|Coach|Professor|Doctor|Tutor|Principal)"
-
-#: What stands right before a name (fixed values), in lower case; those of the second list only at the start of a word.
-BEFORE = (
-    "name is |name=|name: |name = |이름: |이름은 |my partner |my friend |my tutor |my classmate |first row, |second row, |third row, |fourth row, |last row, |"
-    "front row, |back row, |담당 교사 |학생 |thanks to |absent: |absent today: |marked by |written by |signed by |reviewed by |prepared by |checked by |"
-    "proofread by |proofread once by |proofread twice by |graded by |submitted by |submitted: |(signed |regards,\n|regards, |sincerely,\n|sincerely, |"
-    "yours,\n|yours, |cheers,\n|cheers, |wishes,\n|wishes, "
-).split("|")
-BEFORE_WORD = "dear |reviewer |ring |mr. |mr |mrs. |mrs |ms. |ms |miss |dr. |dr |prof. |prof |professor |doctor |teacher |coach |tutor |principal ".split("|")
-NO_TITLE = ("Dear", "Ring", "Reviewer")
-#: What stands right after a name.
-AFTER = " handed in|] agreed with| agreed with| wrote in| wrote that| asked about| left a note| moved to| 의 연락처|의 연락처|, 전화| 전화".split("|")
-
-CUES = ahocorasick.Automaton()
-for _words, _kind in ((BEFORE, "before"), (BEFORE_WORD, "word"), (AFTER, "after")):
-    for _w in _words:
-        CUES.add_word(_w, (_kind, len(_w)))
-CUES.make_automaton()
-
-NAME_HERE = re.compile(rf"\s?(?:{TITLE} )?(?P<n>{ANY_NAME})(?![A-Za-z])")
-NAME_OF_TITLE = re.compile(rf"(?P<n>{ANY_NAME}|{_G}|{_U})(?![A-Za-z])")
-NAME_LIST = re.compile(rf"; ?(?:{TITLE} )?(?P<n>{ANY_NAME})(?![A-Za-z])")
-NAME_END = re.compile(rf"(?<![\w.@-])(?P<n>{LATIN_NAME}|(?:(?<=\n)|(?<=\[)|(?<=[.!?] )|(?<=As )|(?<=학생 )){KO_NAME})$")
-#: The first line of a signature or card, before what else it holds.
-NAME_ALONE = re.compile(rf"(?:^|(?<=\n)|(?<=[.!?:] )|(?<=[.!?:]  ))(?P<n>{ANY_NAME})(?:\s{{1,3}}|, | ?[|(/;] ?| - )$")
-NAME_MAX = 120
-
-#: Words of places, schools, publishers and books (fixed values): what holds one of them is no person.
-NO_PERSON = frozenset(
-    "press school library street road avenue lane court drive blvd valley reading set unit room section level book books edition publisher publishing "
-    "academy college university institute center centre club society house harbor question questions the this that read choose answer answers grade class "
-    "part chapter lesson exam test number item dear address tel call contact send return mail lost follow".split()
-)
-
+ADDRESS_KO = re.compile(r"(?<!\w)(?:[가-힣]{1,12}(?:시|도) )(?:[가-힣]{1,12}(?:시|군|구) )?(?:[가-힣]{1,12}(?:읍|면|동) )?[가-힣0-9]{1,20}(?:로|길) ?\d{1,5}(?:-\d{1,4})?(?!\d)")
 
 class Hit(NamedTuple):
     kind: str
@@ -230,6 +201,30 @@ class Hit(NamedTuple):
     end: int
 
 
+#: Streets whose number comes last, or whose kind comes first.
+ADDRESS_EU = re.compile(
+    r"(?<![\w.:/-])(?:[A-ZÄÖÜ][a-zäöüß]*(?:straße|strasse|str\.|weg|platz|allee|gasse|damm|ufer) \d{1,4}[a-z]?"
+    r"|(?:[A-ZÄÖÜ][a-zäöüß]+[ -]){1,3}(?:Straße|Strasse|Str\.|Weg|Platz|Allee|Gasse) \d{1,4}[a-z]?"
+    r"|\d{1,4},? (?:rue|avenue|boulevard|place|quai) (?:d[eu]s? )?(?:la )?(?:l['’])?[A-ZÀ-Þ][\w'’-]+(?: [A-ZÀ-Þ][\w'’-]+)*"
+    r"|(?:Via|Viale|Calle|Avenida|Plaza|Rua) (?:d[aeo]l? )?[A-ZÀ-Þ][\w'’-]+(?: [A-ZÀ-Þ][\w'’-]+)*,? \d{1,4})(?!\w)"
+    r"(?:, (?:\d{4,5} )?[A-ZÄÖÜ][a-zäöüß]+)?"
+)
+CARD = re.compile(r"(?<![\w.:/-])(?<!\d[ .-])(?:[3-6]\d{3}(?P<s>[ -]?)\d{4}(?P=s)\d{4}(?P=s)\d{4}(?:(?P=s)\d{1,3})?|3[0-9]\d{2}(?P<t>[ -]?)\d{6}(?P=t)\d{4,5})(?![\w@]|[ .:/-]\d)")
+IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
+
+
+def luhn(number: str) -> bool:
+    """Whether the last digit is the check digit of the others."""
+    digits = [int(c) for c in number if c.isdigit()][::-1]
+    return sum(d if i % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(digits)) % 10 == 0
+
+
+def mod97(account: str) -> bool:
+    """Whether the two check digits of a bank account number are right."""
+    plain_ = account.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in plain_[4:] + plain_[:4])) % 97 == 1
+
+
 DIGIT_RUN = re.compile(r"\d+")
 UNIT_BEFORE = re.compile(r"(?<!\w)(?:Flat|Apt|Apartment|Unit|FLAT|APT|UNIT)\.? ?$")
 
@@ -237,13 +232,19 @@ UNIT_BEFORE = re.compile(r"(?<!\w)(?:Flat|Apt|Apartment|Unit|FLAT|APT|UNIT)\.? ?
 def _numbers(p: Plain) -> list[tuple[int, int, str]]:
     text = p.text
     spans: list[tuple[int, int, str]] = []
-    at = text.find("@")
+    at, floor = text.find("@"), 0
     while at >= 0:
-        host, local = HOST.match(text, at + 1), LOCAL.search(text, max(0, at - LOCAL_MAX), at)
-        if host and local:
-            spans.append((local.start(), host.end(), "email"))
-        at = text.find("@", at + 1)
+        host, local = HOST.match(text, at + 1), _local_start(text, at, floor)
+        if host and local >= 0:
+            spans.append((local, host.end(), "email"))
+        at, floor = text.find("@", at + 1), at + 1
     # all the others hold digits: looked for only where digits are
+    if DIGIT_RUN.search(text):
+        spans += [(m.start(), m.end(), "card") for m in CARD.finditer(text) if luhn(m[0])]
+        spans += [(m.start(), m.end(), "iban") for m in IBAN.finditer(text) if mod97(m[0])]
+        spans += [(m.start(), m.end(), "address") for m in ADDRESS_EU.finditer(text)]
+        if "로" in text or "길" in text:
+            spans += [(m.start(), m.end(), "address") for m in ADDRESS_KO.finditer(text)]
     done = {"id_number": 0, "phone": 0, "address": 0}
     for run in DIGIT_RUN.finditer(text):
         i, long = run.start(), run.end() - run.start() > 1
@@ -252,61 +253,35 @@ def _numbers(p: Plain) -> list[tuple[int, int, str]]:
         mark = before != "" and before in "+("
         if long:
             tries.append(("id_number", ID_NUMBER, i - 1 if before.isalpha() else i))
-        if long or mark:
+        if long or mark or run[0] == "1":
             tries.append(("phone", PHONE, i - 1 if mark else i))
-        unit = UNIT_BEFORE.search(text, max(0, i - 12), i)
+        unit = UNIT_BEFORE.search(text, max(0, i - 12), i)  # matches 11 characters at most, and one is looked at before
         tries.append(("address", ADDRESS, unit.start() if unit else i))
         for kind, pattern, begin in tries:
             if begin >= done[kind] and (m := pattern.match(text, begin)):
                 spans.append((m.start(), m.end(), kind))
                 done[kind] = m.end()
-        if i and (text[i - 1] in "로길" or text[i - 2 : i] in ("로 ", "길 ")):
-            m = ADDRESS_KO.search(text, max(done["address"], i - 60))
-            if m and m.start() < i < m.end():
-                spans.append((m.start(), m.end(), "address"))
-                done["address"] = m.end()
     return spans
 
 
-def _is_person(name: str) -> bool:
-    return not any(w in NO_PERSON for w in re.findall(r"[a-z]+", name.lower()))
-
-
-def _names(p: Plain, near: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    text, out = p.text, []
-
-    def take(m: re.Match | None) -> None:
-        while m and _is_person(m["n"]):
-            out.append((m.start("n"), m.end("n"), "name"))
-            m = NAME_LIST.match(text, m.end("n"))  # a list of names goes on after a semicolon
-
-    for end, (kind, length) in CUES.iter(_lower(text)):
-        begin = end + 1 - length
-        if kind == "after":
-            take(NAME_END.search(text, max(0, begin - NAME_MAX), begin))
-        elif kind == "before":
-            take(NAME_HERE.match(text, end + 1))
-        elif text[begin:end].istitle() and not text[begin - 1 : begin].isalnum():
-            take((NAME_HERE if text[begin:end] in NO_TITLE else NAME_OF_TITLE).match(text, end + 1))
-    for begin, _, _ in near:
-        take(NAME_ALONE.search(text, max(0, begin - NAME_MAX), begin))
-    return out
-
-
-def detect(text: str) -> list[Hit]:
-    """Everything found in one text, by place; of overlapping finds the first kind of :data:`KINDS` stays."""
+def detect(text: str, model: names.NameModel = names.EMPTY) -> list[Hit]:
+    """Everything found in one text, by place; of overlapping finds the first kind of :data:`RANK` stays."""
     p = plain(text)
     spans = _numbers(p)
-    spans += _names(p, spans)
-    spans.sort(key=lambda s: (KINDS.index(s[2]), s[0], -s[1]))
+    spans += [(a, b, "name") for a, b in names.find(p.text, model, [(a, b) for a, b, _ in spans])]
+    spans.sort(key=lambda s: (RANK[s[2]], s[0], -s[1]))
+    begins: list[int] = []  # of the spans taken, which lie apart, in order
     taken: list[tuple[int, int, str]] = []
     for begin, end, kind in spans:
-        if all(end <= a or begin >= b for a, b, _ in taken):
-            taken.append((begin, end, kind))
-    return sorted((Hit(kind, p.begin(a), p.end(b)) for a, b, kind in taken), key=lambda h: h.start)
+        i = bisect_right(begins, begin)
+        if (i and taken[i - 1][1] > begin) or (i < len(taken) and begins[i] < end):
+            continue
+        begins.insert(i, begin)
+        taken.insert(i, (begin, end, kind))
+    return [Hit(kind, p.begin(a), p.end(b)) for a, b, kind in taken]
 
 
-PLACEHOLDER = {k: f"[{k.upper()}]" for k in KINDS}
+PLACEHOLDER = {k: f"[{k.upper()}]" for k in RANK}
 
 
 def redact(text: str, hits: list[Hit]) -> str:
@@ -318,11 +293,11 @@ def redact(text: str, hits: list[Hit]) -> str:
     return "".join([*out, text[at:]])
 
 
-def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _find(batches: Iterator[pa.RecordBatch], model: names.NameModel) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at, kind, start, length = [], [], [], []
         for i, text in enumerate(batch.column(1).to_pylist()):
-            for h in detect(text) if text else ():
+            for h in detect(text, model) if text else ():
                 at.append(i)
                 kind.append(h.kind)
                 start.append(h.start + 1)
@@ -333,32 +308,35 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def occurrences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def occurrences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: names.NameModel | None = None) -> DataFrame:
     """(doc_id, kind, start_pos, n_chars): one row for each find, places counted in characters from 1.
 
-    Null and empty texts hold nothing; repeated rows each give their rows; texts are read whole,
-    however long, each by itself, so there is no shuffle; no other columns are read.
+    The model of names is fitted to ``df`` itself unless one is given. Null and empty texts hold nothing;
+    repeated rows each give their rows; texts are read whole, however long, each by itself, so
+    nothing but word counts of the fit is shuffled; no other columns are read. An empty table gives an empty result.
     """
     source = df.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string")).filter(F.col(text_col).isNotNull())
-    return spread(source).mapInArrow(_find, "doc_id bigint, kind string, start_pos int, n_chars int")
+    shared = df.sparkSession.sparkContext.broadcast(model or names.fit(df, text_col))
+    return spread(source).mapInArrow(lambda b: _find(b, shared.value), "doc_id bigint, kind string, start_pos int, n_chars int")
 
 
-def _mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _mask(batches: Iterator[pa.RecordBatch], model: names.NameModel) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, counts = [], []
         for text in batch.column(1).to_pylist():
-            hits = detect(text) if text else []
+            hits = detect(text, model) if text else []
             texts.append(redact(text, hits) if hits else text)
             counts.append(len(hits))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int32())], names=["doc_id", "text", "n_found"])
 
 
-def redacted(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def redacted(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: names.NameModel | None = None) -> DataFrame:
     """(doc_id, text, n_found): every row, its text with placeholders such as [EMAIL]; a null text stays null."""
     source = df.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string"))
-    return spread(source).mapInArrow(_mask, "doc_id bigint, text string, n_found int")
+    shared = df.sparkSession.sparkContext.broadcast(model or names.fit(df, text_col))
+    return spread(source).mapInArrow(lambda b: _mask(b, shared.value), "doc_id bigint, text string, n_found int")
 
 
-def found(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, kind, start_pos) of each find."""
-    return occurrences(df, id_col, text_col).select("doc_id", "kind", "start_pos")
+def found(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: names.NameModel | None = None) -> DataFrame:
+    """(doc_id, kind, start_pos) of each find of the kinds of :data:`KINDS`."""
+    return occurrences(df, id_col, text_col, model).filter(F.col("kind").isin(*KINDS)).select("doc_id", "kind", "start_pos")

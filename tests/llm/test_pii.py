@@ -1,6 +1,9 @@
+import random
+import time
+
 import pytest
 
-from lexmill.llm import pii
+from lexmill.llm import names, pii
 
 
 def found(text):
@@ -68,3 +71,73 @@ def test_redaction(spark):
 def test_a_disguise_needs_no_other_trigger(address):
     assert found(f"Write to {address}, please.") == [("email", address)]
     assert found(f"See @home. Write to {address}, please.") == [("email", address)]
+
+
+@pytest.mark.parametrize(
+    "text, name",
+    [
+        ("Corrected by Kellan Vintermoss.", ["Kellan Vintermoss"]),
+        ("In the fifth row, Jastla Hastosham raised a hand.", ["Jastla Hastosham"]),
+        ("Ilvaro Inglevik turned in this essay.", ["Ilvaro Inglevik"]),
+        ("Brisowin Morvandish helped; I met John Smith yesterday.", ["Brisowin Morvandish", "John Smith"]),
+        ("My neighbour 묭도람 waved.", ["묭도람"]),
+        ("담임 선생님 Ilvaro Inglevik 께", ["Ilvaro Inglevik"]),
+        ("We heard from O'Brien, Sean that J. R. Tolland's dog ran.", ["O'Brien, Sean", "J. R. Tolland"]),
+        ("The Hague is in Holland. Monday Morning Press printed Oak Valley School news.", []),
+        ("전화 010-1111-2222", []),
+    ],
+)
+def test_names_in_other_frames(text, name):
+    assert [t for k, t in found(text) if k == "name"] == name
+
+
+def test_other_identifiers():
+    text = "Card 4111 1111 1111 1111, not 4111 1111 1111 1112; IBAN DE89 3704 0044 0532 0130 00, not DE88 3704 0044 0532 0130 00. Call 1-800-555-0199 at Hauptstraße 12, 10115 Berlin or Via Roma 12."
+    assert found(text) == [
+        ("card", "4111 1111 1111 1111"), ("iban", "DE89 3704 0044 0532 0130 00"), ("phone", "1-800-555-0199"), ("address", "Hauptstraße 12, 10115 Berlin"), ("address", "Via Roma 12"),
+    ]
+
+
+def test_no_windows_and_linear_time():
+    local = "a" * 3000
+    assert found(f"Write {local}@b.test or {local} at b dot test") == [("email", f"{local}@b.test"), ("email", f"{local} at b dot test")]
+    address = "가" * 11 + "시 " + "나" * 10 + "구 " + "다" * 18 + "로 12"
+    assert found(f"주소: {address}") == [("address", address)]
+    took = []
+    for n in (2_000, 20_000):
+        text = "".join(f"u{i}@b.test, Kellan Vintermoss; " for i in range(n))
+        began = time.time()
+        assert len(pii.detect(text)) == 2 * n
+        took.append(time.time() - began)
+    assert took[1] < 40 * took[0] + 0.5
+
+
+#: Frames that share no words with those of the test tables.
+FRAMES = (
+    "Yesterday {} walked across town without a coat.", "The prize went to {} after a long vote.", "Nobody believed {} at first.", "A letter from {} arrived on time.",
+    "{} plays the cello.", "According to {}, rain is likely.", "We elected {} last spring.", "Her cousin, {}, bakes bread.",
+)
+
+
+def test_names_of_the_collection_in_held_out_frames(spark):
+    """Fitted to the documents, the model finds new combinations of names in frames that it never saw, and no places or ordinary words."""
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = names.fit(documents)
+    rng = random.Random(5)
+    given = "Ilvaro Jastla Kellan Brisowin Marivek Oskaro Dawn Mark Will Nolwina Sariko".split()
+    family = "Inglevik Hastosham Vintermoss Morvandish Grelkine Skelforth Rastequist Brindvik".split()
+    asked = right = said = 0
+    for _ in range(400):
+        g, f = rng.choice(given), rng.choice(family)
+        name = rng.choice([f"{g} {f}", f"{g} {rng.choice('ABKT')}. {f}", f"{g[0]}. {f}", f"{f}, {g}"])
+        text = rng.choice(FRAMES).format(name)
+        got = [text[h.start : h.end] for h in pii.detect(text, model) if h.kind == "name"]
+        asked, said, right = asked + 1, said + len(got), right + (name in got)
+    assert right / asked > 0.95 and right / said > 0.95
+    others = "The old bridge in Orugallen fell. According to the harbor, Silver Harbor Press and Green Valley library closed. 학생들은 예문을 적어 왔다."
+    assert [h for h in pii.detect(others, model) if h.kind == "name"] == []
+
+
+def test_fit_of_nothing(spark):
+    empty = names.fit(spark.createDataFrame([(None,), ("",)], "text string"))
+    assert not empty.common and not empty.openers and not empty.weights.any()

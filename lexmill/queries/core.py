@@ -32,7 +32,7 @@ def _lexicon(s: SparkSession, d: str, *kinds: str) -> DataFrame:
 
 @query
 def p2_found(s: SparkSession, d: str) -> DataFrame:
-    return packed.unpack(_t(s, d, "workbook"), known=_t(s, d, "lexicon").select("term"))
+    return packed.unpack(_t(s, d, "workbook"), lists=_t(s, d, "synonym_records"))
 
 
 @query

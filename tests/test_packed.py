@@ -1,8 +1,9 @@
 import random
+import re
 
 import pytest
 
-from lexmill.operators.packed import automaton, split_values, unpack
+from lexmill.operators.packed import automaton, folded, given, learned, split_values, unpack
 
 
 @pytest.mark.parametrize(
@@ -61,5 +62,51 @@ def test_unpack(spark):
     ]
     assert unpack(df).filter("entry_id = 3").count() == 20_000
     assert unpack(df.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        unpack(df, known=spark.createDataFrame([("a",), ("b",)], "t string"), max_known=1)
+
+
+def test_a_capital_of_two_letters_keeps_the_dictionary():
+    """The lower case of some capitals is longer; places are mapped, so nothing is switched off."""
+    assert "İ".lower() != "i" and len("İ".lower()) == 2
+    known = automaton(["salt, pepper"])
+    assert split_values("salt, pepper; sugar", known) == ["salt, pepper", "sugar"]
+    assert split_values("salt, pepper; sugar; İ", known) == ["salt, pepper", "sugar", "İ"]
+    assert split_values("İ; Salt,  pepper; sugar", known) == ["İ", "Salt,  pepper", "sugar"]
+    low, at = folded("aİ  B")
+    assert [("aİ  B"[i]) for i in at] == ["a", "İ", "İ", " ", "B"] and low.endswith(" b")
+
+
+def rows_of(df):
+    return sorted((r["entry_id"], r["field_name"], r["item_no"], r["item"]) for r in df.collect())
+
+
+def test_the_dictionary_is_learned_from_the_collection(spark):
+    """A value in quotes here is kept whole without quotes there; by automaton and by join alike."""
+    rows = [(i, '"bright, clear"; cow', None) for i in range(5)] + [(10, "dog; Bright, clear; ox", "x/y"), (11, "bright, clear", "and/or | up"), (12, "cow, dog", "ox, up, cow, dog")]
+    # often side by side, seldom whole: the atoms are likelier
+    rows += [(20 + i, "cow, dog, hen", None) for i in range(60)] + [(90, '"cow, dog" | ox', None)]
+    df = spark.createDataFrame([(*r, "z") for r in rows], "entry_id bigint, synonyms string, antonyms string, value string")
+    lists = spark.createDataFrame([(["And/or"], None), (["and/or", None], ["up"])], "synonyms array<string>, antonyms array<string>")
+    dictionary = {r["value"]: r["support"] for r in learned(df, lists=lists).collect()}
+    assert dictionary == {"bright, clear": 5, "and/or": 2}
+    got = rows_of(unpack(df, lists=lists))
+    assert [r[3] for r in got if r[0] == 10 and r[1] == "synonyms"] == ["dog", "Bright, clear", "ox"]
+    assert [r[3] for r in got if r[0] == 11] == ["and/or", "up"]
+    assert [r[3] for r in got if r[0] == 12 and r[1] == "synonyms"] == ["cow", "dog"]
+    assert got == rows_of(unpack(df, lists=lists, broadcast_known=0))
+    none = rows_of(unpack(df, known=given(spark.createDataFrame([(None,), (" ",)], "t string"))))
+    assert [r[3] for r in none if r[0] == 10 and r[1] == "synonyms"] == ["dog", "Bright", "clear", "ox"]
+    assert learned(df.limit(0)).count() == 0
+
+
+def test_planted_values_without_quotes(spark):
+    """The workbook with the quotes taken from some fields: the values learned from the others come back whole."""
+    wb = spark.read.parquet("/root/testdata/sf0.01/workbook.parquet").filter("synonyms IS NOT NULL").select("entry_id", "synonyms", "antonyms")
+    value = r'"(bright, clear|open, as of a door|large, of a crowd|hot/cold|to move; to stir)"'
+    hit = wb.filter(f"synonyms rlike '{value}'").collect()
+    planted = spark.createDataFrame([(-r["entry_id"], re.sub(value, r"\1", r["synonyms"]), None) for r in hit], wb.schema)
+    dictionary = learned(wb)
+    want = {(r["entry_id"], r["item_no"], r["item"]) for r in unpack(wb, known=dictionary).filter("field_name = 'synonyms'").join(wb.filter(f"synonyms rlike '{value}'"), "entry_id", "left_semi").collect()}
+    got = {(-r["entry_id"], r["item_no"], r["item"]) for r in unpack(planted, known=dictionary).collect()}
+    plain = {(-r["entry_id"], r["item_no"], r["item"]) for r in unpack(planted, known=dictionary.limit(0)).collect()}
+    assert len(hit) > 50 and got == want
+    assert len({i for i, _, _ in plain - want}) == len(hit)

@@ -18,6 +18,7 @@ and a table of ``2^GRAM_BITS`` weights.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -151,8 +152,11 @@ def candidates(text: str, model: NameModel = EMPTY) -> list[Candidate]:
     pending: tuple[int, int, str, bool] | None = None  # a single word that a comma may join to the next
     for run in _runs(text):
         full = len(run)
-        titled = bool(TITLE_BEFORE.search(text, max(0, run[0][0] - TITLE_MAX), run[0][0]))
         first = run[0]
+        titled = "." in text[max(0, first[0] - 2) : first[0]] and bool(TITLE_BEFORE.search(text, max(0, first[0] - TITLE_MAX), first[0]))
+        if full == 1 and not titled and not (pending and text[pending[1] : first[0]] == ", "):
+            pending = None if _initial(first[2]) or first[2] in TITLES or first[2].lower() in OPENERS else (*first, False)
+            continue
         while run and run[0][2] in TITLES:
             run, titled = run[1:], True
         opened = False
@@ -206,7 +210,7 @@ def _alone(text: str, start: int, end: int) -> bool:
 
 
 #: What may be an address of mail or a file name: its words say nothing about how names are written.
-JOINED = re.compile(r"\S*(?:@|[^\W\d][._+]\w)\S*")
+JOINED = re.compile(r"@|[^\W\d][._+]\w")
 #: A Hangul word that occurs this often, and hardly ever with a title, is no name.
 KO_OFTEN, KO_TITLED_SHARE = 20, 0.02
 NEXT_WORD = re.compile(r" ?([^\W\d_]+)")
@@ -231,7 +235,7 @@ def score(text: str, c: Candidate, model: NameModel, beside: bool) -> float:
     total += SHAPE
     total += COMMON_FAMILY if any(map(model.is_common, c.family)) else 0.0
     total += COMMON_GIVEN if c.given and all(map(model.is_common, c.given)) else 0.0
-    if PLACE_BEFORE.search(text, max(0, c.start - PLACE_MAX), c.start):
+    if c.start and text[c.start - 1].isspace() and PLACE_BEFORE.search(text, max(0, c.start - PLACE_MAX), c.start):
         total += PLACE
     return total
 
@@ -260,14 +264,19 @@ COUNTS = "word string, n_all bigint, n_candidate bigint, n_titled bigint, n_open
 
 def _count(batches: Iterator[pa.RecordBatch], flush_at: int) -> Iterator[pa.RecordBatch]:
     table: dict[str, list[int]] = {}
+    chunks: Counter[str] = Counter()  # what stands between spaces; cut into words once for each distinct one
 
-    def add(word: str, at: int) -> None:
+    def add(word: str, at: int, n: int = 1) -> None:
         got = table.get(word)
         if got is None:
             got = table[word] = [0, 0, 0, 0]
-        got[at] += 1
+        got[at] += n
 
     def flush() -> pa.RecordBatch:
+        for chunk, n in chunks.items():
+            if not JOINED.search(chunk):
+                for word in WORD.findall(chunk):
+                    add(word, 0, n)
         columns = list(zip(*table.values())) or [()] * 4
         return pa.RecordBatch.from_arrays([pa.array(list(table), pa.string()), *(pa.array(c, pa.int64()) for c in columns)], names=["word", "n_all", "n_candidate", "n_titled", "n_opening"])
 
@@ -275,8 +284,7 @@ def _count(batches: Iterator[pa.RecordBatch], flush_at: int) -> Iterator[pa.Reco
         for text in batch.column(0).to_pylist():
             if not text:
                 continue
-            for word in WORD.findall(JOINED.sub(" ", text).lower()):
-                add(word, 0)
+            chunks.update(text.lower().split())
             for c in candidates(text):
                 parts = c.family + c.given
                 if any(p in NO_PERSON for p in parts):
@@ -292,10 +300,11 @@ def _count(batches: Iterator[pa.RecordBatch], flush_at: int) -> Iterator[pa.Reco
             for run in _runs(text):
                 if len(run) > 2:
                     add(run[0][2].lower(), 3)
-            if len(table) >= flush_at:
+            if len(table) + len(chunks) >= flush_at:
                 yield flush()
                 table.clear()
-    if table:
+                chunks.clear()
+    if table or chunks:
         yield flush()
 
 

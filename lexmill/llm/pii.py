@@ -201,18 +201,35 @@ class Hit(NamedTuple):
     end: int
 
 
-#: Streets whose number comes last, or whose kind comes first.
+#: Streets whose number comes last.
 ADDRESS_EU = re.compile(
     r"(?<![\w.:/-])(?:[A-ZÄÖÜ][a-zäöüß]*(?:straße|strasse|str\.|weg|platz|allee|gasse|damm|ufer) \d{1,4}[a-z]?"
     r"|(?:[A-ZÄÖÜ][a-zäöüß]+[ -]){1,3}(?:Straße|Strasse|Str\.|Weg|Platz|Allee|Gasse) \d{1,4}[a-z]?"
-    r"|\d{1,4},? (?:rue|avenue|boulevard|place|quai) (?:d[eu]s? )?(?:la )?(?:l['’])?[A-ZÀ-Þ][\w'’-]+(?: [A-ZÀ-Þ][\w'’-]+)*"
     r"|(?:Via|Viale|Calle|Avenida|Plaza|Rua) (?:d[aeo]l? )?[A-ZÀ-Þ][\w'’-]+(?: [A-ZÀ-Þ][\w'’-]+)*,? \d{1,4})(?!\w)"
     r"(?:, (?:\d{4,5} )?[A-ZÄÖÜ][a-zäöüß]+)?"
 )
+ADDRESS_FR = re.compile(r"\d{1,4}(?:bis|ter)?,? (?:rue|avenue|boulevard|place|quai) (?:d[eu]s? )?(?:la )?(?:l['’])?[A-ZÀ-Þ][\w'’-]+(?: [A-ZÀ-Þ][\w'’-]+)*")
 CARD = re.compile(r"(?<![\w.:/-])(?<!\d[ .-])(?:[3-6]\d{3}(?P<s>[ -]?)\d{4}(?P=s)\d{4}(?P=s)\d{4}(?:(?P=s)\d{1,3})?|3[0-9]\d{2}(?P<t>[ -]?)\d{6}(?P=t)\d{4,5})(?![\w@]|[ .:/-]\d)")
 IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 
 
+def _capitalised_before(text: str, at: int, floor: int) -> int:
+    """Where the capitalised words (and da, del and the like between them) before ``at`` begin."""
+    begin = end = at - 1
+    while end > floor:
+        i = max(text.rfind(" ", floor, end) + 1, floor)
+        i = max(i, text.rfind("\n", i, end) + 1)
+        word = text[i:end]
+        if word[:1].isupper():
+            begin = i
+        elif word not in ("do", "da", "dal", "del", "dol"):
+            break
+        if i == 0 or text[i - 1] == "\n":
+            break
+        end = i - 1
+    return begin if begin < at - 1 else at
+
+
 def luhn(number: str) -> bool:
     """Whether the last digit is the check digit of the others."""
     digits = [int(c) for c in number if c.isdigit()][::-1]
@@ -239,12 +256,8 @@ def _numbers(p: Plain) -> list[tuple[int, int, str]]:
             spans.append((local, host.end(), "email"))
         at, floor = text.find("@", at + 1), at + 1
     # all the others hold digits: looked for only where digits are
-    if DIGIT_RUN.search(text):
-        spans += [(m.start(), m.end(), "card") for m in CARD.finditer(text) if luhn(m[0])]
-        spans += [(m.start(), m.end(), "iban") for m in IBAN.finditer(text) if mod97(m[0])]
-        spans += [(m.start(), m.end(), "address") for m in ADDRESS_EU.finditer(text)]
-        if "로" in text or "길" in text:
-            spans += [(m.start(), m.end(), "address") for m in ADDRESS_KO.finditer(text)]
+    if "로" in text or "길" in text:
+        spans += [(m.start(), m.end(), "address") for m in ADDRESS_KO.finditer(text)]
     done = {"id_number": 0, "phone": 0, "address": 0}
     for run in DIGIT_RUN.finditer(text):
         i, long = run.start(), run.end() - run.start() > 1
@@ -257,6 +270,18 @@ def _numbers(p: Plain) -> list[tuple[int, int, str]]:
             tries.append(("phone", PHONE, i - 1 if mark else i))
         unit = UNIT_BEFORE.search(text, max(0, i - 12), i)  # matches 11 characters at most, and one is looked at before
         tries.append(("address", ADDRESS, unit.start() if unit else i))
+        if before == " " and text[i - 2 : i - 1].isalpha() or text[i - 2 : i] == ". ":
+            begin = _capitalised_before(text, i, done["address"])
+            if begin < i and (m := ADDRESS_EU.search(text, begin)) and m.start() < i < m.end():
+                spans.append((m.start(), m.end(), "address"))
+                done["address"] = m.end()
+        if (m := ADDRESS_FR.match(text, i)) and i >= done["address"]:
+            spans.append((m.start(), m.end(), "address"))
+            done["address"] = m.end()
+        if run.end() - i >= 4 and (m := CARD.match(text, i)) and luhn(m[0]):
+            spans.append((m.start(), m.end(), "card"))
+        if run.end() - i == 2 and i > 1 and text[i - 2 : i].isupper() and (m := IBAN.match(text, i - 2)) and mod97(m[0]):
+            spans.append((m.start(), m.end(), "iban"))
         for kind, pattern, begin in tries:
             if begin >= done[kind] and (m := pattern.match(text, begin)):
                 spans.append((m.start(), m.end(), kind))

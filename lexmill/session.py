@@ -65,7 +65,18 @@ def written(df: DataFrame, name: str, codec: str = "zstd", partition_by: tuple[s
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the folder of a table that :func:`written` made and nothing reads any more; other tables are left alone."""
+    path = getattr(df, "_written_at", None)
+    if path:
+        spark = df.sparkSession
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def spread(df: DataFrame) -> DataFrame:

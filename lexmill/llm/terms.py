@@ -1,31 +1,37 @@
 """Frequency of every distinct term: recursive radix spilling (problem 1).
 
 Terms are counted per task first, so a term leaves a task a few times at most however often it
-occurs. The partial counts are put on disk by the leading bits of the term's hash. Partitions with
-more rows than ``leaf_rows`` are split by further bits, again and again, until all are small or the
-bits are used up; each leaf is then summed out-of-core by DuckDB in a task of its own.
+occurs, and the partial counts are written to disk. They are partitioned by the leading bits of the
+term's hash, as many as the number of distinct terms asks for; partitions with more than ``leaf_rows``
+distinct terms are split by further bits, again and again, until none is too large. Each leaf is then
+summed out-of-core by DuckDB, which reads it as a stream and spills beyond its memory, in a task of its own.
 """
 
 from __future__ import annotations
 
+import math
 import re
+import shutil
+import uuid
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import duckdb
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.session import spread, written
+from lexmill.session import scratch_root, spread, written
 
 _ASCII_TERM = re.compile(r"[a-z]+")
 _TERM = regex.compile(r"\p{L}+")
 
 PARTIAL = "term string, n_occurrences bigint, n_rows bigint"
-#: Bits of the hash used at each level, and in all.
-LEVEL_BITS, ALL_BITS = 4, 60
+#: Most bits of the hash used at one level, and in all.
+LEVEL_BITS, ALL_BITS = 12, 60
+DUCK_MEMORY = "256MB"
 
 
 def terms(text: str) -> list[str]:
@@ -72,43 +78,73 @@ def partial_counts(df: DataFrame, text_col: str, flush_at: int = 500_000) -> Dat
     return spread(df.select(F.col(text_col).cast("string"))).mapInArrow(lambda b: _count(b, flush_at), PARTIAL)
 
 
-_DUCK: list[duckdb.DuckDBPyConnection] = []
-
-
-def _duck_sum(table: pa.Table) -> pa.Table:
-    if not _DUCK:  # one for each Python worker
-        _DUCK.append(duckdb.connect(config={"threads": 1, "memory_limit": "512MB"}))
-    con = _DUCK[0].cursor()
-    con.register("leaf", table)
+def _duck_sum(batches: Iterator[pa.RecordBatch], spill: str) -> Iterator[pa.RecordBatch]:
+    """Sum by term what comes in, as a stream; all rows of a term are in this task."""
+    first = next(batches, None)
+    if first is None:
+        return
+    folder = f"{spill}/{uuid.uuid4().hex}" if spill else ""
+    con = duckdb.connect(config={"threads": 1, "memory_limit": DUCK_MEMORY, "temp_directory": folder, "preserve_insertion_order": False})
     try:
-        return con.sql(
+        con.register("leaf", pa.RecordBatchReader.from_batches(first.schema, chain([first], batches)))
+        yield from con.sql(
             "SELECT term, sum(n_occurrences)::BIGINT AS n_occurrences, sum(n_rows)::BIGINT AS n_rows FROM leaf GROUP BY term"
-        ).to_arrow_table()
+        ).to_arrow_reader(50_000)
     finally:
-        con.unregister("leaf")
+        con.close()
+        if folder:
+            shutil.rmtree(folder, ignore_errors=True)
 
 
-def _prefix(bits: int) -> Column:
-    return F.shiftrightunsigned("h", 64 - bits)
+def _spill_folder(spark: SparkSession) -> str:
+    """Folder of DuckDB's spill files: in the shared folder where that is a mounted one, else none, and DuckDB keeps to its memory."""
+    root = scratch_root(spark)
+    return re.sub("^file:(//)?", "", root) + "/duckdb" if root.startswith(("file:", "/")) else ""
 
 
-def radix_sum(partial: DataFrame, leaf_rows: int = 1_000_000) -> DataFrame:
-    """Sum partial counts by term. ``partial``: a table already written, with the term's hash ``h``."""
-    rest, bits, leaves = partial, LEVEL_BITS, None
-    while True:
-        # At most 2^LEVEL_BITS sizes for each partition that was too large a level before.
-        big = []
-        if bits < ALL_BITS:
-            sizes = rest.groupBy(_prefix(bits).alias("p")).agg(F.count("*").alias("n"))
-            big = [r["p"] for r in sizes.filter(F.col("n") > leaf_rows).collect()]
-        small = rest.filter(~_prefix(bits).isin(big)) if big else rest
-        small = small.withColumn("leaf", F.concat_ws("-", F.lit(bits), _prefix(bits)))
-        leaves = small if leaves is None else leaves.unionByName(small)
-        if not big:
+def _prefix(bits: int | Column) -> Column:
+    # a shift by 64 is one by 0
+    return F.when(F.lit(bits) == 0, F.lit(0).cast("bigint")).otherwise(F.call_function("shiftrightunsigned", F.col("h"), (64 - F.lit(bits)).cast("int")))
+
+
+def leaves(partial: DataFrame, leaf_rows: int, level_bits: int = LEVEL_BITS) -> tuple[DataFrame, int]:
+    """(``partial`` with the column ``leaf``, number of leaves): the leading bits of ``h``, as many as each part of the table needs.
+
+    Sizes are distinct hashes (estimated, so that a leaf may be some percent larger), as the many partial
+    counts of a hot term can be split by no bits and need no room. Only the hashes are read again for
+    a further level, and only those of partitions that were too large; what is known of the
+    partitions stays in tables.
+    """
+    n_terms = partial.agg(F.approx_count_distinct("h")).first()[0] or 0
+    bits = min(level_bits, max(0, math.ceil(math.log2(max(n_terms, 1) / leaf_rows))))
+    n_leaves, done = 1 << bits, partial.withColumn("bits", F.lit(bits))
+    rest = partial.select("h")
+    while bits < ALL_BITS and n_terms > leaf_rows:
+        # one row for each partition that is too large
+        sizes = rest.groupBy(_prefix(bits).alias("p")).agg(F.approx_count_distinct("h").alias("n")).filter(F.col("n") > leaf_rows)
+        big = written(sizes, "oversized")
+        n_big, largest = big.agg(F.count("*"), F.max("n")).first()
+        if not n_big:
             break
-        rest = rest.filter(_prefix(bits).isin(big))
-        bits += LEVEL_BITS
-    return leaves.select("leaf", "term", "n_occurrences", "n_rows").groupBy("leaf").applyInArrow(_duck_sum, PARTIAL)
+        step = min(level_bits, ALL_BITS - bits, max(1, math.ceil(math.log2(largest / leaf_rows))))
+        n_leaves += n_big << step
+        prefix = big.select("p", F.lit(True).alias("big"))
+        done = done.withColumn("p", F.when(F.col("bits") == bits, _prefix(bits))).join(prefix, "p", "left")
+        done = done.withColumn("bits", F.when(F.col("big"), bits + step).otherwise(F.col("bits"))).drop("p", "big")
+        rest = rest.withColumn("p", _prefix(bits)).join(prefix, "p", "left_semi").drop("p")
+        bits += step
+    return done.withColumn("leaf", F.struct("bits", _prefix(F.col("bits")).alias("prefix"))).drop("bits"), n_leaves
+
+
+def radix_sum(partial: DataFrame, leaf_rows: int = 1_000_000, level_bits: int = LEVEL_BITS) -> DataFrame:
+    """Sum partial counts by term. ``partial``: a table already written, with the term's hash ``h``."""
+    spark = partial.sparkSession
+    placed, n_leaves = leaves(partial, leaf_rows, level_bits)
+    n_parts = min(max(n_leaves, spark.sparkContext.defaultParallelism), 1 << 17)
+    spill = _spill_folder(spark)
+    # a task gets whole leaves; while there are fewer leaves than cores, the next bits of the hash give every core its share
+    key = "leaf" if n_leaves >= n_parts else "h"
+    return placed.repartition(n_parts, key).select("term", "n_occurrences", "n_rows").mapInArrow(lambda b: _duck_sum(b, spill), PARTIAL)
 
 
 def term_frequencies(
@@ -118,6 +154,7 @@ def term_frequencies(
     common_above: float = 0.30,
     leaf_rows: int = 1_000_000,
     flush_at: int = 500_000,
+    level_bits: int = LEVEL_BITS,
 ) -> DataFrame:
     """(term, n_occurrences, n_rows, mark) of every distinct term of ``text_col``.
 
@@ -129,11 +166,8 @@ def term_frequencies(
     Terms are counted in bounded tables per task (``flush_at`` distinct terms), so no group, however
     hot, has more rows than there are flushes.
     """
-    partial = written(
-        partial_counts(df, text_col, flush_at).withColumn("h", F.xxhash64("term")).withColumn("radix", _prefix(LEVEL_BITS)).repartition("radix"),
-        "terms",
-    )
+    partial = written(partial_counts(df, text_col, flush_at).withColumn("h", F.xxhash64("term")), "terms")
     n_texts = partial.filter("term IS NULL").agg(F.sum("n_rows")).first()[0] or 0
-    summed = radix_sum(partial.filter("term IS NOT NULL").drop("radix"), leaf_rows)
+    summed = radix_sum(partial.filter("term IS NOT NULL"), leaf_rows, level_bits)
     mark = F.when(F.col("n_rows") < rare_below, "rare").when(F.col("n_rows") > common_above * n_texts, "common")
     return summed.withColumn("mark", mark)

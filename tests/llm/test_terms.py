@@ -1,7 +1,9 @@
 import random
 from collections import Counter
 
+import pyarrow as pa
 import regex
+from pyspark.sql import functions as F
 
 from lexmill.llm import terms
 
@@ -30,9 +32,38 @@ def test_against_brute_force_with_many_splits(spark):
     assert table(terms.term_frequencies(df)) == want
     # flushes after few terms and leaves of a few rows: splits over several levels, and a term that can't be split
     assert table(terms.term_frequencies(df, leaf_rows=3, flush_at=20)) == want
+    assert table(terms.term_frequencies(df, leaf_rows=40, flush_at=20, level_bits=1)) == want
 
 
 def test_empty(spark):
     df = spark.createDataFrame([], "content string")
     assert terms.term_frequencies(df).count() == 0
     assert terms.term_frequencies(spark.createDataFrame([(None,), ("",), ("12 !",)], "content string")).count() == 0
+
+
+def test_leaves_follow_the_number_of_terms(spark):
+    """As many leaves as distinct terms ask for; the many partial counts of a hot term ask for none."""
+    rows = spark.range(4000).select(F.xxhash64("id").alias("h"), F.col("id").cast("string").alias("term"))
+    hot = spark.range(5000).select(F.xxhash64(F.lit("the")).alias("h"), F.lit("the").alias("term"))
+    placed, n = terms.leaves(rows.unionByName(hot), leaf_rows=100, level_bits=3)
+    sizes = placed.groupBy("leaf").agg(F.count_distinct("h").alias("n")).collect()
+    assert len(sizes) <= n and max(r["n"] for r in sizes) < 200 and placed.count() == 9000
+    assert placed.groupBy("h").agg(F.count_distinct("leaf").alias("n")).filter("n > 1").isEmpty()
+    _, one = terms.leaves(hot, leaf_rows=100, level_bits=3)
+    assert one == 1
+
+
+def test_a_leaf_is_summed_beyond_memory(tmp_path):
+    """DuckDB reads a stream and spills; the folder is gone afterwards."""
+    def batches():
+        for k in range(40):
+            ids = range(k * 5000, k * 5000 + 20_000)
+            yield pa.RecordBatch.from_arrays([pa.array([f"term number {i:09d}" * 3 for i in ids]), pa.array([2] * 20_000), pa.array([1] * 20_000)], names=["term", "n_occurrences", "n_rows"])
+
+    memory, terms.DUCK_MEMORY = terms.DUCK_MEMORY, "60MB"
+    try:
+        out = list(terms._duck_sum(batches(), str(tmp_path)))
+    finally:
+        terms.DUCK_MEMORY = memory
+    assert sum(b.num_rows for b in out) == 215_000 and sum(b.column(1).to_numpy().sum() for b in out) == 1_600_000
+    assert not list(tmp_path.iterdir())

@@ -1,6 +1,8 @@
 import random
 import re
 
+import pyarrow as pa
+
 from lexmill.llm import formatdup
 
 SCHEMA = "entry_id bigint, word string, passage_id string, n_copies string, _k int"
@@ -46,3 +48,27 @@ def test_collapse(spark):
     assert {(r["entry_id"], r["_k"], r["n_copies"]) for r in out.collect()} == {(1, 2, 2), (2, 3, 1), (4, 4, 1)}
     assert out.columns == ["entry_id", "word", "passage_id", "_k", "n_copies"]
     assert formatdup.collapse(df.limit(0)).count() == 0 and formatdup.found(df.limit(0)).count() == 0
+
+
+def test_the_invariant_holds_for_all_that_the_key_calls_equal():
+    """Whatever has the same bare text, or another order of parts, has the same sum; other letters have another."""
+    rng = random.Random(9)
+    alphabet = "aAbBzZ019 .-_/“”·éÉßİıΣσςЖж가힣²Ⅷ①́ "
+    for _ in range(300):
+        text = "".join(rng.choices(alphabet, k=rng.randint(0, 14)))
+        bare = formatdup.bare(text)
+        shuffled = "".join(rng.sample(bare, len(bare)))
+        got = formatdup.histogram_sums(pa.array([text, bare, shuffled, bare + "a", "x"]))
+        assert got[0] == got[1] == got[2] != got[3]
+    sliced = pa.array(["ab", "", "c-D", "dc", "é!"]).slice(2)
+    sums = formatdup.histogram_sums(sliced)
+    assert sums[0] == sums[1] and (formatdup.histogram_sums(pa.array(["É"])) == sums[2]).all()
+    assert not len(formatdup.histogram_sums(pa.array([], pa.string())))
+
+
+def test_joins_by_shuffle_give_the_same(spark):
+    rows = [(i, f"w{i % 40}", f"B1-U1-P{i % 3}") for i in range(300)]
+    df = spark.createDataFrame(rows, "entry_id bigint, word string, passage_id string")
+    want = sorted(map(tuple, formatdup.members(df).collect()))
+    assert sorted(map(tuple, formatdup.members(df, broadcast_rows=0).collect())) == want
+    assert formatdup.collapse(df, broadcast_rows=0).count() == 120 == formatdup.collapse(df).count()

@@ -39,6 +39,17 @@ MOST_PAIRED = 48
 EPS = 1e-9
 
 
+def _by_text(grams: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Order by text, then n-gram; by one sort of 64-bit keys where the leading bits of the n-grams tell them apart."""
+    if text[-1] < 1 << 16:
+        key = (text.astype(np.uint64) << np.uint64(48)) | (grams >> np.uint64(16))
+        order = np.argsort(key)
+        same = np.diff(key[order]) == 0
+        if not (same & (np.diff(grams[order]) != 0)).any():
+            return order
+    return np.lexsort((grams, text))
+
+
 def _gram_sets(flat: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """(distinct n-grams of each text, sorted within it, flat; offsets)."""
     at = starts_in_text(offsets, shingle)
@@ -46,7 +57,7 @@ def _gram_sets(flat: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.
         return np.empty(0, dtype=np.uint64), np.zeros(len(offsets), dtype=np.int64)
     grams = ngram_hashes(flat, shingle)[at]
     text = np.searchsorted(offsets, at, side="right") - 1
-    order = np.lexsort((grams, text))
+    order = _by_text(grams, text)
     grams, text = grams[order], text[order]
     new = np.ones(len(grams), dtype=bool)
     new[1:] = (grams[1:] != grams[:-1]) | (text[1:] != text[:-1])
@@ -173,7 +184,8 @@ class TableOrder:
             codes = table[(grams >> np.uint64(64 - bits)).astype(np.int64)]
             sizes = np.diff(ends)
             record = np.repeat(np.arange(len(sizes)), sizes)
-            order = np.lexsort((grams, codes, record))
+            # n-grams of a record are sorted already, so a stable sort by code is enough
+            order = np.argsort((record << 8) | codes, kind="stable")
             place = np.arange(len(grams)) - np.repeat(ends[:-1], sizes)
             return grams[order], codes[order], record, place, sizes[record]
 
@@ -301,16 +313,15 @@ def candidates(order: TableOrder | JoinedOrder, threshold: float) -> DataFrame:
     )
     # where both prefixes hold frequent n-grams one key is enough, unless it is that of a single frequent one
     weight = F.when((both.bitwiseAND(HOT) > 0) & (both.bitwiseAND(BY_ONE) == 0), 2).otherwise(1)
-    partial = x.join(y, ["fragment", "key"]).filter(fits).select("a", "b", weight.alias("w"))
+    partial = x.join(y, ["key", "fragment"]).filter(fits).select("a", "b", weight.alias("w"))
     return partial.groupBy("a", "b").agg(F.sum("w").alias("w")).filter(F.col("w") >= least).select("a", "b")
 
 
 def _segments(batches, read, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        # in global order, so each fragment of a record is one stretch
         grams, codes, record, _, size = read(batch)
         fragment = np.searchsorted(cuts, codes, side="left")
-        order = np.lexsort((grams, fragment, record))
-        grams, fragment, record, size = grams[order], fragment[order], record[order], size[order]
         begin = np.nonzero(np.diff(record * 256 + fragment, prepend=-1))[0]
         end = np.append(begin[1:], len(grams))
         yield pa.RecordBatch.from_arrays(

@@ -9,6 +9,8 @@ apart, so what they cover overlaps, and chained it is the whole run.
 
 from __future__ import annotations
 
+import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -87,18 +89,47 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str, run: int, k: int = K
     return spread(source).mapInArrow(lambda b: _fingerprints(b, run, k, wanted.value if wanted else None, bits), FP_SCHEMA)
 
 
+PIECE_BITS = 20
+
+
+def _set_bits(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """The map of one task in pieces, packed; only pieces with a bit are held."""
+    pieces: dict[int, np.ndarray] = {}
+    width = min(PIECE_BITS, bits)
+    for batch in batches:
+        slots = np.unique(batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - bits))
+        which = (slots >> np.uint64(width)).astype(np.int64)
+        for i in np.unique(which):
+            piece = pieces.setdefault(int(i), np.zeros(1 << width, dtype=bool))
+            piece[(slots[which == i] & np.uint64((1 << width) - 1)).astype(np.int64)] = True
+    for i, piece in pieces.items():
+        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(np.packbits(piece, bitorder="little").tobytes(), 1)], pa.binary())], names=["piece", "data"])
+
+
+def _join_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    pieces: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for i, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            piece = np.frombuffer(zlib.decompress(data), dtype=np.uint8)
+            pieces[i] = pieces[i] | piece if i in pieces else piece
+    for i, piece in pieces.items():
+        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(piece.tobytes(), 1)], pa.binary())], names=["piece", "data"])
+
+
 def _bit_map(fps: DataFrame, bits: int) -> np.ndarray:
-    """2^bits bits; at most 2^bits/8 slots come to the driver, whatever the size of ``fps``."""
-    slots = fps.select(F.shiftrightunsigned("fp", 64 - bits).alias("s")).select(
-        F.shiftright("s", 3).cast("int").alias("byte"), F.expr("shiftleft(1, CAST(s % 8 AS INT))").alias("bit")
-    )
-    table = np.zeros(1 << (bits - 3), dtype=np.uint8)
-    packed = slots.groupBy("byte").agg(F.bit_or("bit").alias("v")).toArrow()
-    if packed.num_rows:
-        table[packed.column("byte").to_numpy()] = packed.column("v").to_numpy().astype(np.uint8)
+    """2^bits bits, piece by piece."""
+    pieces = fps.select("fp").mapInArrow(lambda b: _set_bits(b, bits), "piece int, data binary").repartition("piece").mapInArrow(_join_bits, "piece int, data binary")
+    table, width = np.zeros(1 << (bits - 3), dtype=np.uint8), 1 << (min(PIECE_BITS, bits) - 3)
+    for row in pieces.toLocalIterator():
+        table[row["piece"] * width : (row["piece"] + 1) * width] = np.frombuffer(zlib.decompress(row["data"]), dtype=np.uint8)
     return table
 
 
+def map_bits(n: int, max_bits: int) -> int:
+    """Sixteen bits for each fingerprint, so that one slot in sixteen at most is taken, up to 2^max_bits."""
+    return min(max_bits, max(16, math.ceil(math.log2(16 * max(n, 1)))))
+
+
 def leaks(
     documents: DataFrame,
     items: DataFrame,
@@ -108,7 +139,7 @@ def leaks(
     item_id: str = "item_id",
     item_text: str = "text",
     k: int = K,
-    bits: int = 22,
+    max_bits: int = 30,
 ) -> DataFrame:
     """(doc_id, item_id, run_words): documents that hold ``run`` or more words in a row that stand in a row in an item.
 
@@ -116,14 +147,22 @@ def leaks(
     texts of fewer than ``run`` words match nothing; repeated documents and items each count;
     an empty table on either side gives an empty result; no other columns are read.
 
-    The documents' side is cut down by a bit map of the items' fingerprints (2^bits bits, whatever
-    the number of items), so that only hits are shuffled. The items' side is joined by size: Spark
+    The documents' side is cut down by a bit map of the items' fingerprints (sized by their number, 2^max_bits
+    bits at most), so that only hits are shuffled. The items' side is joined by size: Spark
     broadcasts it only under its threshold. A frequent fingerprint is split by adaptive execution.
+    Items of the same text are searched once, and given their own rows at the end.
     """
     spark = documents.sparkSession
     if not k <= run:
         raise ValueError("k must not exceed run")
-    theirs = written(fingerprints(items, item_id, item_text, run, k), "fingerprints")
+    each = items.select(F.col(item_id).cast("bigint").alias("item"), F.col(item_text).cast("string").alias("body")).filter("body IS NOT NULL").distinct()
+    each = written(each.withColumn("same", F.sha2("body", 256)), "items")
+    # the smallest id of each text stands for all that have it
+    texts = each.groupBy("same").agg(F.min("item").alias("first_item"), F.first("body").alias("body"))
+    # one id may have several texts: numbers of texts, not ids, are searched for
+    texts = written(texts.withColumn("number", F.xxhash64("same", "first_item")), "texts")
+    theirs = written(fingerprints(texts, "number", "body", run, k), "fingerprints")
+    bits = map_bits(theirs.count(), max_bits)
     wanted = spark.sparkContext.broadcast(_bit_map(theirs, bits))
     ours = fingerprints(documents, doc_id, doc_text, run, k, wanted, bits)
     back, ahead = _shared(F.reverse("d.before"), F.reverse("t.before")), _shared(F.col("d.after"), F.col("t.after"))
@@ -143,7 +182,9 @@ def leaks(
     new = (F.col("_begin") > F.col("_reached")).cast("int")
     spans = hits.withColumn("_reached", reached).withColumn("_chain", F.sum(F.coalesce(new, F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     runs = spans.groupBy(*line, "_chain").agg((F.max("_end") - F.min("_begin")).cast("int").alias("run_words"))
-    return runs.filter(F.col("run_words") >= run).groupBy("doc_id", "item_id").agg(F.max("run_words").alias("run_words"))
+    longest = runs.filter(F.col("run_words") >= run).groupBy("doc_id", "item_id").agg(F.max("run_words").alias("run_words"))
+    members = texts.select("number", "same").join(each.select("same", "item"), "same").select(F.col("number").alias("item_id"), F.col("item").alias("_item"))
+    return longest.join(members, "item_id").groupBy("doc_id", F.col("_item").alias("item_id")).agg(F.max("run_words").alias("run_words"))
 
 
 def _shared(a, b):

@@ -10,10 +10,9 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.session import spread, written
@@ -60,54 +59,12 @@ def token_counts(
     return spread(df.select(*columns)).mapInArrow(count, "doc_id bigint, source string, n_tokens bigint")
 
 
-@dataclass
-class Share:
-    source: str
-    weight: float
-    max_repeats: int
-    n_docs: int = 0
-    available: int = 0
-    target: float = 0.0
-    allotted: float = 0.0
-
-    @property
-    def cap(self) -> int:
-        return self.available * self.max_repeats
-
-    @property
-    def misses(self) -> bool:
-        return self.cap < self.target
-
-
-def fill(shares: list[Share], total: float) -> list[Share]:
-    """Set target and allotted size of each source (capped water-filling)."""
-    weights = sum(s.weight for s in shares)
-    for s in shares:
-        s.target = total * s.weight / weights if weights else 0.0
-        s.allotted = 0.0
-    open_, left = [s for s in shares if s.weight > 0], total
-    while open_:
-        weight = sum(s.weight for s in open_)
-        full = [s for s in open_ if s.cap < left * s.weight / weight]
-        if not full:
-            for s in open_:
-                s.allotted = left * s.weight / weight
-            break
-        for s in full:
-            s.allotted = float(s.cap)
-        left -= sum(s.cap for s in full)
-        open_ = [s for s in open_ if s not in full]
-    return shares
-
-
-def shares_of(sizes: DataFrame, targets: DataFrame, total: float | None = None, max_sources: int = 100_000) -> list[Share]:
-    """Shares of the sources in ``targets``, from the table of :func:`token_counts`.
-
-    The plan is made on the driver: it has one row for each source with a target, and more than
-    ``max_sources`` of them are refused. Targets with a null source or weight are left out, negative
-    weights count as 0, a null ``max_repeats`` as 1 and a negative one as 0; where a source stands twice its weights are
-    added and the larger ``max_repeats`` holds. ``total`` is the size of all documents of those
-    sources unless given.
+def shares_of(sizes: DataFrame, targets: DataFrame) -> DataFrame:
+    """(source, weight, max_repeats, n_docs, available, cap) of the sources in ``targets``, from the table of :func:`token_counts`.
+
+    Targets with a null source or weight are left out, negative weights count as 0, a null
+    ``max_repeats`` as 1 and a negative one as 0; where a source stands twice its weights are
+    added and the larger ``max_repeats`` holds.
     """
     wanted = (
         targets.filter("source IS NOT NULL AND target_weight IS NOT NULL")
@@ -118,52 +75,72 @@ def shares_of(sizes: DataFrame, targets: DataFrame, total: float | None = None,
         )
     )
     there = sizes.filter("source IS NOT NULL").groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("available"))
-    rows = wanted.join(there, "source", "left").limit(max_sources + 1).collect()
-    if len(rows) > max_sources:
-        raise ValueError(f"more than {max_sources} sources have a target")
-    shares = [Share(r["source"], r["weight"], r["max_repeats"], r["n_docs"] or 0, r["available"] or 0) for r in rows]
-    shares.sort(key=lambda s: s.source)
-    return fill(shares, float(sum(s.available for s in shares)) if total is None else total)
+    joined = wanted.join(there, "source", "left").withColumn("n_docs", F.coalesce("n_docs", F.lit(0))).withColumn("available", F.coalesce("available", F.lit(0)))
+    return joined.select("source", "weight", "max_repeats", "n_docs", "available", (F.col("available") * F.col("max_repeats")).alias("cap"))
+
 
+def water_level(shares: DataFrame, total: float) -> float:
+    """Tokens for each unit of weight of the sources that are not clamped; infinite where all are.
 
-PLAN = (
-    "source string, n_docs bigint, available_tokens bigint, max_repeats bigint, target_share double, target_tokens double, "
-    "allotted_tokens double, epochs double, misses_target boolean"
-)
+    At each step the sources whose cap lies under their share are clamped, and what is left is
+    spread over the others; the level only rises, so it ends with the step that clamps no more.
+    """
+    level, n_before = 0.0, -1
+    while True:
+        full = F.col("cap") < F.lit(level) * F.col("weight")
+        rest = F.when(~full & (F.col("weight") > 0), F.col("weight"))
+        n, taken, weight = shares.agg(F.count_if(full), F.sum(F.when(full, F.col("cap"))), F.sum(rest)).first()
+        if not weight:
+            return float("inf")
+        if n == n_before:
+            return level
+        level, n_before = (total - (taken or 0)) / weight, n
 
 
 def plan(sizes: DataFrame, targets: DataFrame, total: float | None = None) -> DataFrame:
-    """One row for each source with a target: sizes, target, what it was allotted and whether it misses its target."""
-    shares = shares_of(sizes, targets, total)
-    sum_ = sum(s.target for s in shares)
-    rows = [
-        (s.source, s.n_docs, s.available, s.max_repeats, s.target / sum_ if sum_ else 0.0, s.target, s.allotted, s.allotted / s.available if s.available else 0.0, s.misses)
-        for s in shares
-    ]
-    return sizes.sparkSession.createDataFrame(rows, PLAN)
+    """One row for each source with a target: sizes, target, what it was allotted and whether it misses its target.
+
+    ``total`` is the size of all documents of those sources unless given. Nothing but sums comes to the driver.
+    """
+    shares = written(shares_of(sizes, targets), "shares")
+    weights, available = shares.agg(F.sum("weight"), F.sum("available")).first()
+    whole = float(available or 0) if total is None else float(total)
+    level = water_level(shares, whole)
+    share = F.col("weight") / weights if weights else F.lit(0.0)
+    allotted = F.col("cap").cast("double") if level == float("inf") else F.least(F.col("cap").cast("double"), F.lit(level) * F.col("weight"))
+    out = shares.withColumn("target_tokens", share * whole).withColumn("allotted_tokens", F.when(F.col("weight") > 0, allotted).otherwise(0.0))
+    epochs = F.when(F.col("available") > 0, F.col("allotted_tokens") / F.col("available")).otherwise(0.0)
+    return out.select(
+        "source", "n_docs", F.col("available").alias("available_tokens"), "max_repeats", share.alias("target_share"), "target_tokens", "allotted_tokens",
+        epochs.alias("epochs"), (F.col("cap") < F.col("target_tokens")).alias("misses_target"),
+    )
+
+
+def n_repeats(id_col: Column, epochs: Column, seed: int) -> Column:
+    """How often a document comes: ``floor(epochs)`` times, and once more where its seeded hash falls under the fraction."""
+    draw = F.shiftrightunsigned(F.xxhash64(id_col, F.lit(seed)), 11) / F.lit(float(1 << 53))
+    return (F.floor(epochs) + F.when(draw < epochs - F.floor(epochs), 1).otherwise(0)).cast("bigint")
 
 
 def repeats(sizes: DataFrame, plan_: DataFrame, seed: int = 42) -> DataFrame:
     """(doc_id, source, n_tokens, n_repeats) of the documents that come into the mix.
 
-    Each document comes ``floor(epochs)`` times, and once more where its seeded hash falls under the
-    fraction. The draw depends on the id and seed alone, so a lost task draws the same again.
+    The draw depends on the id and seed alone, so a lost task draws the same again.
     Repeated ids are drawn alike.
     """
-    # plan_ has one row for each source with a target: Spark broadcasts it while it is under its threshold
+    # plan_ has one row for each source with a target: Spark broadcasts it while it is under its threshold, and splits hot sources beyond
     joined = sizes.join(plan_.select("source", "epochs"), "source")
-    draw = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11) / F.lit(float(1 << 53))
-    times = F.floor("epochs") + F.when(draw < F.col("epochs") - F.floor("epochs"), 1).otherwise(0)
-    return joined.withColumn("n_repeats", times.cast("bigint")).filter("n_repeats > 0").select("doc_id", "source", "n_tokens", "n_repeats")
+    times = n_repeats(F.col("doc_id"), F.col("epochs"), seed)
+    return joined.withColumn("n_repeats", times).filter("n_repeats > 0").select("doc_id", "source", "n_tokens", "n_repeats")
 
 
 def report(sizes: DataFrame, plan_: DataFrame, seed: int = 42) -> DataFrame:
     """The plan with the tokens and share that the mix really reaches."""
     got = repeats(sizes, plan_, seed).groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("n_repeats")).alias("mixed_tokens"))
     out = plan_.join(got, "source", "left").withColumn("mixed_tokens", F.coalesce("mixed_tokens", F.lit(0)))
-    # one row for each source with a target: small by the plan's own limit
-    all_ = F.sum("mixed_tokens").over(Window.partitionBy())
-    return out.withColumn("mixed_share", F.when(all_ > 0, F.col("mixed_tokens") / all_).otherwise(0.0))
+    out = written(out, "report")
+    all_ = out.agg(F.sum("mixed_tokens")).first()[0] or 0
+    return out.withColumn("mixed_share", F.col("mixed_tokens") / F.lit(all_) if all_ else F.lit(0.0))
 
 
 def sized(df: DataFrame, **columns: str) -> DataFrame:
@@ -171,17 +148,18 @@ def sized(df: DataFrame, **columns: str) -> DataFrame:
     return written(token_counts(df, **columns), "tokens")
 
 
-def mix(df: DataFrame, targets: DataFrame, seed: int = 42, id_col: str = "doc_id", **columns: str) -> DataFrame:
+def mix(df: DataFrame, targets: DataFrame, seed: int = 42, id_col: str = "doc_id", source_col: str = "source", **columns: str) -> DataFrame:
     """The mixed collection: rows of ``df`` with ``copy_no`` from 1, each as often as it comes into the mix.
 
     Rows whose source is null or has no target stay out. A column named ``copy_no`` is replaced.
-    Ids are unique in ``df``.
+    How often a row comes follows from its source and id, so texts are not shuffled: the plan, of one row for
+    each source, is joined by source. Repeated rows each come, all alike.
     """
-    sizes = sized(df, id_col=id_col, **columns)
-    chosen = repeats(sizes, plan(sizes, targets), seed).select(F.col("doc_id").alias("_id"), "n_repeats")
+    epochs = plan(sized(df, id_col=id_col, source_col=source_col, **columns), targets).select(F.col("source").alias("_source"), F.col("epochs").alias("_epochs"))
     rest = df.drop("copy_no")
-    joined = rest.join(chosen, rest[id_col].cast("bigint") == chosen["_id"])
-    return joined.select(*[rest[c] for c in rest.columns], F.explode(F.sequence(F.lit(1), F.col("n_repeats").cast("int"))).alias("copy_no"))
+    joined = rest.join(epochs, rest[source_col].cast("string") == epochs["_source"])
+    times = n_repeats(rest[id_col].cast("bigint"), F.col("_epochs"), seed).cast("int")
+    return joined.withColumn("_times", times).filter("_times > 0").select(*[rest[c] for c in rest.columns], F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("copy_no"))
 
 
 def found(df: DataFrame, targets: DataFrame, **columns: str) -> DataFrame:

@@ -109,6 +109,15 @@ def oracle_sql() -> dict[str, str]:
             n AS (SELECT row_id, count(*) AS n FROM g GROUP BY row_id),
             o AS (SELECT a.row_id AS row_id_a, b.row_id AS row_id_b, count(*) AS o FROM g a JOIN g b ON a.g = b.g AND a.row_id < b.row_id GROUP BY ALL)
             SELECT row_id_a, row_id_b FROM o JOIN n x ON x.row_id = row_id_a JOIN n y ON y.row_id = row_id_b WHERE o >= 0.6 * (x.n + y.n - o)""",
+        "p3_classes": r"""
+            WITH RECURSIVE w AS (SELECT row_id, regexp_extract_all(lower(content), '[\p{L}\p{N}]+') AS ws FROM passages),
+            g AS (SELECT DISTINCT row_id, unnest(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) AS g FROM w WHERE len(ws) >= 5),
+            n AS (SELECT row_id, count(*) AS n FROM g GROUP BY row_id),
+            o AS (SELECT a.row_id AS a, b.row_id AS b, count(*) AS o FROM g a JOIN g b ON a.g = b.g AND a.row_id <> b.row_id GROUP BY ALL),
+            e AS (SELECT a, b FROM o JOIN n x ON x.row_id = a JOIN n y ON y.row_id = b WHERE o >= 0.8 * (x.n + y.n - o)),
+            r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+            d AS (SELECT a, count(*) AS n_links FROM e GROUP BY a)
+            SELECT a AS row_id, least(a, min(b)) AS class_id, n_links FROM r JOIN d USING (a) GROUP BY a, n_links""",
         "p4_found": f"WITH {_ENTRIES} SELECT first_id AS entry_id_first, entry_id AS entry_id_copy FROM g WHERE entry_id > first_id",
         "p4_collapsed": f"""WITH {_ENTRIES} SELECT entry_id, word, passage_id, n AS n_copies FROM g WHERE entry_id = first_id
             UNION ALL SELECT entry_id, word, passage_id, 1 FROM workbook WHERE word IS NULL OR passage_id IS NULL""",
@@ -118,4 +127,11 @@ def oracle_sql() -> dict[str, str]:
             dg AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(ws) - 10), lambda k: array_to_string(ws[k:k + 11], ' '))) AS g FROM d WHERE len(ws) >= 12),
             ig AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(ws) - 10), lambda k: array_to_string(ws[k:k + 11], ' '))) AS g FROM i WHERE len(ws) >= 12)
             SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)""",
+        # no case depends on the tokenizer, so runs of letters, of digits and of marks stand for tokens
+        "p7_found": r"""
+            WITH n AS (SELECT source, coalesce(len(regexp_extract_all(text, '\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+')), 0) AS n FROM documents WHERE source IS NOT NULL),
+            t AS (SELECT source, sum(greatest(target_weight, 0)) AS w, max(greatest(coalesce(max_repeats, 1), 0)) AS m FROM mix_targets
+                  WHERE source IS NOT NULL AND target_weight IS NOT NULL GROUP BY source),
+            a AS (SELECT t.source, w, m, coalesce(sum(n), 0) AS size FROM t LEFT JOIN n USING (source) GROUP BY ALL)
+            SELECT source FROM a WHERE size * m < w / (SELECT sum(w) FROM a) * (SELECT sum(size) FROM a)""",
     }

@@ -69,3 +69,19 @@ def test_whole_length_of_a_run(spark):
     df, it = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
     got = {(r["doc_id"], r["item_id"]): r["run_words"] for r in leakage.leaks(df, it).collect()}
     assert got == {(1, 1): 200, (2, 1): 28, (3, 1): 109, (4, 2): 40, (5, 2): 35, (6, 3): 50}
+
+
+def test_same_items_and_the_size_of_the_map(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    items = spark.createDataFrame([(1, a), (2, a), (2, b), (3, a.upper() + "!")], "item_id bigint, text string")
+    df = spark.createDataFrame([(1, a), (2, b)], "doc_id bigint, text string")
+    got = {tuple(r) for r in leakage.leaks(df, items).collect()}
+    assert got == {(1, 1, 30), (1, 2, 30), (1, 3, 30), (2, 2, 30)}
+    # a map that is far too small lets more through to the join, and changes nothing
+    assert {tuple(r) for r in leakage.leaks(df, items, max_bits=8).collect()} == got
+    assert leakage.map_bits(0, 30) == 16 and leakage.map_bits(10**6, 30) == 24 and leakage.map_bits(10**9, 30) == 30
+    fps = spark.range(5000).selectExpr("xxhash64(id) AS fp")
+    for bits in (10, 16, 22):
+        table = leakage._bit_map(fps, bits)
+        slots = {(r["fp"] & (2**64 - 1)) >> (64 - bits) for r in fps.collect()}
+        assert {int(i) for i in np.nonzero(np.unpackbits(table, bitorder="little"))[0]} == slots

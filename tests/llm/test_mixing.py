@@ -5,29 +5,52 @@ import pytest
 from lexmill.llm import mixing
 
 
-def filled(rows, total=None):
-    shares = [mixing.Share(s, w, m, 1, a) for s, w, m, a in rows]
-    mixing.fill(shares, float(sum(s.available for s in shares)) if total is None else total)
-    return {s.source: s for s in shares}
+SIZES, TARGETS = "doc_id bigint, source string, n_tokens bigint", "source string, target_weight double, max_repeats int"
 
 
-def test_water_filling():
-    got = filled([("a", 1, 1, 100), ("b", 1, 2, 10), ("c", 2, 1, 90)])
+def filled(spark, rows, total=None):
+    sizes = spark.createDataFrame([(i, s, a) for i, (s, _, _, a) in enumerate(rows)], SIZES)
+    targets = spark.createDataFrame([(s, float(w), m) for s, w, m, _ in rows], TARGETS)
+    return {r["source"]: r for r in mixing.plan(sizes, targets, total).collect()}
+
+
+def test_water_filling(spark):
+    got = filled(spark, [("a", 1, 1, 100), ("b", 1, 2, 10), ("c", 2, 1, 90)])
     # b is clamped at 20; of the 180 left a asks 60, c 120 and is clamped at 90; a gets the other 90
-    assert {k: v.allotted for k, v in got.items()} == {"a": 90.0, "b": 20.0, "c": 90.0}
-    assert {k for k, v in got.items() if v.misses} == {"b", "c"}
-    none = filled([("a", 1, 1, 0), ("b", 0, 1, 5)])
-    assert none["a"].allotted == 0 and none["a"].misses and not none["b"].misses
+    assert {k: v["allotted_tokens"] for k, v in got.items()} == {"a": 90.0, "b": 20.0, "c": 90.0}
+    assert {k for k, v in got.items() if v["misses_target"]} == {"b", "c"}
+    none = filled(spark, [("a", 1, 1, 0), ("b", 0, 1, 5)])
+    assert none["a"]["allotted_tokens"] == 0 and none["a"]["misses_target"] and not none["b"]["misses_target"]
 
 
-def test_nothing_is_lost_or_over_its_cap():
+def test_nothing_is_lost_or_over_its_cap(spark):
     rng = random.Random(2)
-    for _ in range(200):
+    for _ in range(12):
         rows = [(str(i), rng.random() * rng.choice([0, 1, 10]), rng.randint(0, 4), rng.randint(0, 1000)) for i in range(rng.randint(1, 8))]
-        got = filled(rows).values()
-        total, caps = sum(s.available for s in got), sum(s.cap for s in got if s.weight > 0)
-        assert all(s.allotted <= s.cap + 1e-6 for s in got)
-        assert sum(s.allotted for s in got) == pytest.approx(min(total, caps))
+        got = filled(spark, rows)
+        cap = {s: m * a for s, _, m, a in rows}
+        total, caps = sum(a for *_, a in rows), sum(cap[s] for s, w, _, _ in rows if w > 0)
+        assert all(v["allotted_tokens"] <= cap[s] + 1e-6 for s, v in got.items())
+        assert sum(v["allotted_tokens"] for v in got.values()) == pytest.approx(min(total, caps))
+        # the sources that are not clamped share by weight
+        levels = [got[s]["allotted_tokens"] / w for s, w, _, _ in rows if w > 0 and got[s]["allotted_tokens"] < cap[s] - 1e-6]
+        assert not levels or max(levels) == pytest.approx(min(levels))
+
+
+def test_many_sources(spark):
+    ids = spark.range(30_000)
+    sizes = ids.selectExpr("id AS doc_id", "cast(id AS string) AS source", "id % 97 AS n_tokens")
+    targets = ids.selectExpr("cast(id AS string) AS source", "1.0 + id % 13 AS target_weight", "2 AS max_repeats")
+    got = mixing.plan(sizes, targets)
+    row = got.selectExpr("sum(allotted_tokens) AS a", "sum(available_tokens) AS b", "count(*) AS n").first()
+    assert row["n"] == 30_000 and row["a"] == pytest.approx(row["b"])
+
+
+def test_the_mix_does_not_shuffle_texts(spark):
+    df = spark.createDataFrame([(i, "some text " * 5, "a") for i in range(50)], "doc_id bigint, text string, source string")
+    out = mixing.mix(df, spark.createDataFrame([("a", 1.0, 2)], TARGETS))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and out.count() == 50
 
 
 def test_mix(spark):

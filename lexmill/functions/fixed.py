@@ -167,3 +167,28 @@ MEANING_LABELS = ("한국어 뜻:", "답변:", "의미:")
 
 # fixed values: penalties of the quality score
 PENALTIES = {"duplicates": 25, "conflicts": 20, "meanings": 25, "synonyms": 10, "contexts": 15, "accuracy": 5}
+
+# fixed values: the issue sheet, its texts and labels; internal name to sheet name, in the order of the sheet
+ISSUE_COLUMNS = {
+    "issue_type": "문제유형", "severity": "심각도", "passage_id": "지문ID", "word": "단어", "idiom": "숙어", "conflicting_word": "충돌단어", "current_meaning": "현재의미",
+    "problem_type": "문제유형상세", "meaning": "의미", "context": "문맥", "description": "문제설명", "recommendation": "권장사항", "analysis": "AI분석", "suggested_meaning": "제안의미", "entry_id": "행번호",
+}
+ISSUE_LABELS = {
+    "within_passage_duplicate": "지문내중복",
+    "idiom_word_conflict": "숙어-단어충돌",
+    "missing_korean_meaning": "한글뜻누락/오류",
+    "missing_synonyms": "동의어누락",
+    "context_meaning_mismatch": "문맥-의미부적합",
+    "word_meaning_mismatch": "단어-의미불일치",
+}
+ISSUE_TEXTS = {
+    "within_passage_duplicate": "지문 %s에서 '%s' 단어가 %s번 중복됨",
+    "idiom_word_conflict": "지문 %s에서 숙어 '%s'과 단일 단어 '%s'가 중복 추출됨",
+    "resolve_conflict": "숙어 '%s'이 있으므로 단일 단어 '%s' 제거 권장",
+    "missing_korean_meaning": "'%s'의 한글 뜻이 부적절함: %s",
+    "make_meaning": "AI로 올바른 한글 뜻 생성 필요",
+    "missing_synonyms": "'%s'의 동의어가 비어있음",
+    "make_synonyms": "AI로 동의어 생성 권장",
+    "context_meaning_mismatch": "'%s'의 한글 뜻 '%s'이 문맥에 부적절함",
+    "word_meaning_mismatch": "'%s'의 한글 뜻 '%s'이 원형 단어의 의미와 불일치",
+}

@@ -141,3 +141,34 @@ def parse_json(c: Column, fields: dict[str, str]) -> Column:
         return F.nullif(found, F.lit("")).try_cast(kind)
 
     return F.struct(*[F.coalesce(parsed[k], salvaged(k, t)).alias(k) for k, t in fields.items()])
+
+
+def clean_list(c: Column, most: int = 3) -> Column:
+    """Comma text to comma text: values of two characters or more, the first ``most``, joined by a comma and a space."""
+    return F.array_join(F.slice(F.filter(to_list(c), lambda w: F.length(w) > 1), 1, most), ", ")
+
+
+def labelled_lists(c: Column) -> Column:
+    """STRUCT<synonyms, antonyms> of an answer in lines such as ``동의어: a, b`` or ``Antonyms: c``, without spaces; the last of several lines holds."""
+
+    def of(labels: str) -> Column:
+        found = F.regexp_extract_all(c, F.lit(rf"(?m)^\s*(?:{labels}):(.*)$"), F.lit(1))
+        return F.regexp_replace(F.coalesce(F.try_element_at(found, F.lit(-1)), F.lit("")), r"\s+", "")
+
+    return F.struct(of("동의어|Synonyms").alias("synonyms"), of("반의어|Antonyms").alias("antonyms"))
+
+
+def text_lists(c: Column) -> Column:
+    """STRUCT<synonyms, antonyms> of any answer with lines that name them before a colon; cleaned, the last of several lines holds."""
+
+    def of(name: str) -> Column:
+        found = F.regexp_extract_all(c, F.lit(rf"(?mi)^(?=.*{name})[^:\n]*:(.*)$"), F.lit(1))
+        last = strip(F.coalesce(F.try_element_at(found, F.lit(-1)), F.lit("")))
+        return clean_list(F.regexp_replace(last, '^"+|"+$', ""))
+
+    return F.struct(of("synonyms").alias("synonyms"), of("antonyms").alias("antonyms"))
+
+
+def md5_suffix(c: Column, n: int = 8) -> Column:
+    """The first ``n`` hexadecimal digits of the md5, as in the names of cache files."""
+    return F.substring(F.md5(c.cast("binary")), 1, n)

@@ -14,7 +14,7 @@ def workbook_rows(made: DataFrame) -> DataFrame:
     info = F.concat(F.lit("Studio: "), F.coalesce("studio_title", F.lit("")), F.lit(", Unit: "), F.coalesce("textbook_unit_id", F.lit("")))
     values = {
         "textbook_id": F.col("textbook_id"), "book_title": F.col("book_title"), "passage_id": F.col("textbook_studio_passage_id"), "seq": F.col("seq"),
-        "passage_preview": text.preview(F.col("content")), "word": F.col("original"), "base_form": F.col("base_form"),
+        "passage_preview": F.col("preview"), "word": F.col("original"), "base_form": F.col("base_form"),
         "pos": F.when(single, text.simple_pos(rules.pos_tag(F.lower("original")))).otherwise(""),
         "meaning_ko": F.concat("original", F.lit(fixed.GENERIC_MEANING)), "meaning_en": F.lit(""), "synonyms": F.lit(""), "antonyms": F.lit(""),
         "context": F.col("context"), "is_separated": F.col("is_separated"), "confidence": F.col("confidence"),
@@ -22,7 +22,7 @@ def workbook_rows(made: DataFrame) -> DataFrame:
         "synonym_confidence": F.lit(0.0), "process_method": F.lit("lexicon"),
         "inclusion_reason": F.when(F.col("kind") <= 3, "사용자DB매칭").when(F.col("kind") == 4, "참조숙어").otherwise("난이도"),
     }
-    return made.select(F.col("id").alias("row_id"), *[values[n].cast(t).alias(n) for n, _, t in fixed.WORKBOOK])
+    return made.select("row_id", *[values[n].cast(t).alias(n) for n, _, t in fixed.WORKBOOK])
 
 
 def entry_counts(wb: DataFrame) -> DataFrame:

@@ -18,13 +18,14 @@ def mine_patterns(df: DataFrame, text_col: str = "content", most: int = 200, pos
     return patterns.top(patterns.scored(counts), most)
 
 
-def check(wb: DataFrame) -> DataFrame:
-    """One row: counts of issues, score and band."""
-    return quality.score(quality.breakdown(wb)).withColumn("band", quality.band(F.col("quality_score")))
+def check(wb: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
+    """One row: counts of issues, score and band; ``verdicts`` (key, response) add the checks of contexts and meanings."""
+    judged = [quality.verdict_issues(wb, verdicts, of_context) if verdicts is not None else None for of_context in (True, False)]
+    return quality.score(quality.breakdown(wb, *judged)).withColumn("band", quality.band(F.col("quality_score")))
 
 
-def check_and_repair(wb: DataFrame, meanings: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    return check(wb), quality.repair(wb, meanings)
+def check_and_repair(wb: DataFrame, meanings: DataFrame | None = None, lists: DataFrame | None = None, verdicts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    return check(wb, verdicts), quality.repair(wb, meanings, lists)
 
 
 def refine(wb: DataFrame, candidates: DataFrame | None = None) -> DataFrame:

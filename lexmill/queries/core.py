@@ -115,10 +115,6 @@ def easy_word_anti(s: SparkSession, d: str) -> DataFrame:
     return lexicon.strangers(words, _t(s, d, "lexicon")).select("lemma", "frequency")
 
 
-def _tokens(s: SparkSession, d: str) -> DataFrame:
-    return spans.token_table(_t(s, d, "passages"), "row_id", "content")
-
-
 @query
 def user_word_hits(s: SparkSession, d: str) -> DataFrame:
     return spans.hits(_t(s, d, "passages"), _lexicon(s, d, "user_word"))
@@ -131,14 +127,12 @@ def user_idiom_hits(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def span_suppressed(s: SparkSession, d: str) -> DataFrame:
-    found = spans.hits(_t(s, d, "passages"), _lexicon(s, d, "user_word", "user_idiom", "reference_idiom"))
-    return spans.kept_apart(found, 5).select("id", "start", "end", "term")
+    return spans.hits(_t(s, d, "passages"), _lexicon(s, d, "user_word", "user_idiom", "reference_idiom"), gap=5).select("id", "start", "end", "term")
 
 
 @query
 def sentence_context(s: SparkSession, d: str) -> DataFrame:
-    found = spans.hits(_t(s, d, "passages"), _lexicon(s, d, "user_word"))
-    return spans.with_context(found, _t(s, d, "passages"), "row_id", "content").select("id", "term", "start", "context")
+    return spans.hits(_t(s, d, "passages"), _lexicon(s, d, "user_word"), with_context=True).select("id", "term", "start", "context")
 
 
 @query
@@ -149,7 +143,7 @@ def reference_idiom_first(s: SparkSession, d: str) -> DataFrame:
 @query
 def separable_hits(s: SparkSession, d: str) -> DataFrame:
     pairs = vocabulary.separable_pairs(_lexicon(s, d, "user_idiom", "reference_idiom"))
-    return spans.separable(_tokens(s, d), pairs).select("id", "verb", "particle", "start", "end", "gap", "pattern_type")
+    return spans.separable(_t(s, d, "passages"), pairs).select("id", "verb", "particle", "start", "end", "gap", "pattern_type")
 
 
 @query
@@ -158,7 +152,7 @@ def phrasal_class(s: SparkSession, d: str) -> DataFrame:
     particles = s.createDataFrame([(p,) for p in sorted({p.split()[1] for p in fixed.OPTIONAL_SEPARABLE} | {"out", "back", "away", "apart", "about"})], "particle string")
     # all pairs of two fixed lists of about 20 words
     pairs = verbs.withColumn("k", F.lit(1)).join(particles.withColumn("k", F.lit(1)), "k").drop("k")
-    found = spans.separable(_tokens(s, d), pairs)
+    found = spans.separable(_t(s, d, "passages"), pairs)
     said = rules.phrasal_class(F.col("verb"), F.col("particle"), F.col("gap") + 1)
     return found.select("id", "start", said.alias("c")).select("id", "start", "c.*")
 

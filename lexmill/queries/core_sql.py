@@ -99,15 +99,20 @@ placed AS (SELECT id, text, ts, i, lower(t) AS w, t, (sum(length(t) + length(g))
 """
 
 
-def hits(kinds: str) -> str:
-    return rf"""{PLACES}, lex AS (SELECT term, regexp_extract_all(term, '[\p{{L}}\p{{N}}_]+') AS parts FROM {kinds}),
-    first AS (SELECT * FROM lex WHERE len(parts) > 0),
-    hit AS (SELECT a.id, term, a.s AS start, a.s + length(term) AS "end"
-            FROM placed a JOIN first ON a.w = parts[1]
+def hit_cte(source: str, name: str = "hit") -> str:
+    """(id, term, start, end) of the terms of ``source``, from the tokens of PLACES."""
+    return rf"""{name}_lex AS (SELECT term, regexp_extract_all(term, '[\p{{L}}\p{{N}}_]+') AS parts FROM {source}),
+    {name}_first AS (SELECT * FROM {name}_lex WHERE len(parts) > 0 AND regexp_matches(term, '^[\p{{L}}\p{{N}}_]') AND regexp_matches(term, '[\p{{L}}\p{{N}}_]$')),
+    {name} AS (SELECT a.id, term, a.s AS start, (a.s + length(term))::INT AS "end"
+            FROM placed a JOIN {name}_first ON a.w = parts[1]
             WHERE lower(substring(a.text, a.s + 1, length(term))) = term
               AND list_transform(a.ts[a.i:a.i + len(parts) - 1], lambda x: lower(x)) = parts)"""
 
 
+def hits(kinds: str) -> str:
+    return f"{PLACES}, {hit_cte(kinds)}"
+
+
 WORDS = f"words AS (SELECT DISTINCT lower({strip('word')}) AS word FROM workbook WHERE regexp_matches(lower({strip('word')}), '^[a-z]+$'))"
 
 
@@ -174,12 +179,93 @@ KV = "kv AS (SELECT event_type AS namespace, user_id::VARCHAR AS key, event_id::
 LAST = "row_number() OVER (PARTITION BY namespace, key ORDER BY {0}created_at DESC, value_json DESC) AS nth"
 
 
-def separable_sql(pairs: str) -> str:
-    return rf"""{PLACES}, pairs AS ({pairs}),
-    v AS (SELECT a.*, verb, particle, list_position(list_transform(ts[i + 1:i + 7], lambda x: lower(x)), particle) - 1 AS gap FROM placed a JOIN pairs ON a.w = verb),
-    e AS (SELECT v.id, verb, particle, v.s AS start, b.s + length(b.t) AS "end", gap, v.text, v.ts, v.i FROM v JOIN placed b ON b.id = v.id AND b.i = v.i + gap + 1 WHERE gap >= 0),
-    sep AS (SELECT id, verb, particle, start, "end", gap, CASE WHEN gap = 0 THEN 'continuous' WHEN gap = 1 AND lower(ts[i + 1]) IN ({quoted(fixed.GAP_PRONOUNS)}) THEN 'separated_pronoun'
-            WHEN gap >= 3 THEN 'separated_long_noun' ELSE 'separated_noun' END AS pattern_type FROM e WHERE NOT regexp_matches(substring(text, start + 1, "end" - start), '[.!?;:]'))"""
+def separable_sql(pairs: str, name: str = "sep") -> str:
+    return rf"""
+    sraw AS (SELECT row_id AS id, regexp_extract_all(content, '[\p{{L}}\p{{N}}_]+') AS ts, regexp_split_to_array(content, '[\p{{L}}\p{{N}}_]+') AS gs FROM passages WHERE content IS NOT NULL),
+    sone AS (SELECT id, unnest(ts) AS t, unnest(gs[1:len(ts)]) AS g, generate_subscripts(ts, 1) AS i FROM sraw),
+    stok AS (SELECT id, i, lower(t) AS w, length(t) AS n, sum(length(t) + length(g)) OVER o - length(t) AS s, sum(length(regexp_replace(g, '[^.!?;:]', '', 'g'))) OVER o AS marks,
+             lead(lower(t)) OVER o AS following FROM sone WINDOW o AS (PARTITION BY id ORDER BY i)),
+    pairs AS ({pairs}),
+    v AS (SELECT stok.*, verb, particle FROM stok JOIN pairs ON w = verb),
+    p AS (SELECT v.id, v.verb, v.particle, v.s AS start, b.s + b.n AS "end", b.i - v.i - 1 AS gap, v.following, v.marks AS before, b.marks AS behind,
+                 row_number() OVER (PARTITION BY v.id, v.i, v.verb, v.particle ORDER BY b.i) AS nth
+          FROM v JOIN stok b ON b.id = v.id AND b.w = v.particle AND b.i BETWEEN v.i + 1 AND v.i + 7),
+    {name} AS (SELECT id, verb, particle, start::INT AS start, "end"::INT AS "end", gap::INT AS gap, CASE WHEN gap = 0 THEN 'continuous' WHEN gap = 1 AND following IN ({quoted(fixed.GAP_PRONOUNS)}) THEN 'separated_pronoun'
+            WHEN gap >= 3 THEN 'separated_long_noun' ELSE 'separated_noun' END AS pattern_type FROM p WHERE nth = 1 AND before = behind)"""
+
+
+def kept_apart(source: str, gap: int, name: str) -> str:
+    """Of (id, term, start, end): longest term first, each whose start is ``gap`` or more from all kept before."""
+    near = f"len(list_filter(acc, lambda a: abs(a.start - x[1].start) < {gap})) > 0"
+    return (
+        f"{name}_l AS (SELECT id, list({{'term': term, 'start': start, 'end': \"end\"}} ORDER BY -length(term), term, start, \"end\") AS l FROM {source} GROUP BY id), "
+        f"{name}_k AS (SELECT id, unnest(list_reduce(list_transform(l, lambda x: [x]), lambda acc, x: CASE WHEN {near} THEN acc ELSE list_concat(acc, x) END)) AS k FROM {name}_l), "
+        f'{name} AS (SELECT id, k.term AS term, k.start AS start, k."end" AS "end" FROM {name}_k)'
+    )
+
+
+def workbook_sql(full: bool) -> str:
+    """The whole program: matches of all kinds, rows, then conflicts and duplicates repaired."""
+    easy = terms("easy")
+    pairs = (
+        f"SELECT DISTINCT string_split(term, ' ')[1] AS verb, string_split(term, ' ')[2] AS particle FROM {terms('user_idiom')} "
+        f"WHERE len(string_split(term, ' ')) = 2 AND string_split(term, ' ')[2] IN ({quoted(fixed.PARTICLES)})"
+    )
+    parts = [
+        PLACES,
+        separable_sql(pairs),
+        "sepm AS (SELECT id, verb || ' ' || particle AS term, start, \"end\" FROM sep)",
+        kept_apart("sepm", 6, "k1"),
+        f"plain AS (SELECT term FROM {terms('user_idiom')} WHERE term NOT IN (SELECT verb || ' ' || particle FROM pairs))",
+        hit_cte("plain", "h2"),
+        kept_apart("h2", 5, "k2"),
+        hit_cte(terms("user_word"), "h3"),
+        kept_apart("h3", 3, "k3"),
+    ]
+    every = [
+        "SELECT id, 1 AS kind, start, \"end\", CASE WHEN \"end\" - start > length(term) THEN replace(term, ' ', ' ~ ') ELSE term END AS base_form, \"end\" - start > length(term) AS is_separated FROM k1",
+        "SELECT id, 2, start, \"end\", term, false FROM k2",
+        "SELECT id, 3, start, \"end\", term, false FROM k3",
+    ]
+    if full:
+        parts += [
+            f"r4 AS (SELECT row_id AS id, term, instr(lower(content), term) - 1 AS start, instr(lower(content), term) - 1 + length(term) AS \"end\" FROM passages, "
+            f"(SELECT term FROM {terms('reference_idiom')} WHERE term <> '' ORDER BY term LIMIT 50) WHERE contains(lower(content), term))",
+            kept_apart("r4", 10, "k4"),
+            rf"k5 AS (SELECT id, w AS term, s AS start, s + length(t) AS \"end\" FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY i) AS nth FROM placed "
+            rf"WHERE regexp_matches(t, '^\p{{L}}{{3,}}$') AND NOT regexp_matches(t, '^\p{{Lu}}') AND w NOT IN (SELECT term FROM {easy})) WHERE nth <= 10 AND length(t) >= 5)".replace('\\"', '"'),
+        ]
+        every += ["SELECT id, 4, start, \"end\", term, false FROM k4", "SELECT id, 5, start, \"end\", term, false FROM k5"]
+    types = {1: "separable", 2: "idiom_exact", 3: "word_exact", 4: "reference_idiom", 5: "difficult_word"}
+    confidence = {1: 0.9, 2: 0.95, 3: 1.0, 4: 0.9, 5: 0.8}
+
+    def of_kind(values: dict) -> str:
+        return "CASE kind " + " ".join(f"WHEN {k} THEN {v!r}" for k, v in values.items()) + " END"
+
+    tag = f"CASE {pos_case('lower(original)')} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in fixed.SIMPLE_POS.items()) + f" ELSE '{fixed.OTHER_POS}' END"
+    context = strip("regexp_extract(left(content, start), '[^.]*$') || substring(content, start + 1, \"end\" - start) || regexp_extract(substring(content, \"end\" + 1), '^[^.]*')")
+    made = {
+        "textbook_id": "textbook_id::DOUBLE", "book_title": "book_title", "passage_id": "textbook_studio_passage_id", "seq": "seq",
+        "passage_preview": "CASE WHEN length(content) > 100 THEN left(content, 100) || '...' ELSE content END", "word": "original", "base_form": "base_form",
+        "pos": f"CASE WHEN kind IN (3, 5) THEN {tag} ELSE '' END", "meaning_ko": f"original || '{fixed.GENERIC_MEANING}'", "meaning_en": "''", "synonyms": "''", "antonyms": "''",
+        "context": context, "is_separated": "is_separated", "confidence": f"{of_kind(confidence)}::DOUBLE", "user_db_match": "kind <= 3", "match_type": of_kind(types),
+        "pattern_info": "'Studio: ' || coalesce(studio_title, '') || ', Unit: ' || coalesce(textbook_unit_id, '')", "contextual_meaning": "''", "synonym_confidence": "0.0::DOUBLE",
+        "process_method": "'lexicon'", "inclusion_reason": "CASE WHEN kind <= 3 THEN '사용자DB매칭' WHEN kind = 4 THEN '참조숙어' ELSE '난이도' END",
+    }
+    key = f"lower({strip('word')})"
+    parts += [
+        f"every AS ({' UNION ALL '.join(every)})",
+        f"joined AS (SELECT e.*, p.*, row_number() OVER (PARTITION BY id ORDER BY kind, start, \"end\", base_form) AS seq, substring(content, start + 1, \"end\" - start) AS original "
+        f"FROM every e JOIN passages p ON p.row_id = e.id WHERE length({strip('content')}) >= 10)",
+        "wb AS (SELECT row_id, " + ", ".join(f"{e} AS {n}" for n, e in made.items()) + " FROM joined)",
+        f"wkeys AS (SELECT DISTINCT passage_id, {key} AS w FROM wb WHERE passage_id IS NOT NULL)",
+        r"wparts AS (SELECT DISTINCT passage_id, unnest(regexp_split_to_array(w, '\s+')) AS part FROM wkeys WHERE contains(w, ' '))",
+        f"kept AS (SELECT * FROM wb WHERE NOT EXISTS (SELECT 1 FROM wparts WHERE wparts.passage_id = wb.passage_id AND part = {key}))",
+    ]
+    return (
+        f"WITH {', '.join(parts)} SELECT row_id, {', '.join(made)} FROM kept "
+        "QUALIFY passage_id IS NULL OR row_number() OVER (PARTITION BY passage_id, word ORDER BY length(context) DESC, row_id, seq) = 1"
+    )
 
 
 def oracle_sql() -> dict[str, str]:
@@ -247,6 +333,7 @@ def oracle_sql() -> dict[str, str]:
         f"WITH {separable_sql(grid)} SELECT id, start, CASE WHEN {optional} THEN 'optional_separable' WHEN {must} THEN 'mandatory_separable' WHEN gap > 0 THEN 'actually_separated' ELSE 'continuous' END AS pattern_type, "
         f"verb || ' ' || particle AS base_form, CASE WHEN NOT {optional} AND ({must} OR gap > 0) THEN verb || ' ~ ' || particle ELSE verb || ' ' || particle END AS display_form, NOT {optional} AND ({must} OR gap > 0) AS is_separated FROM sep"
     )
+    out["vocabulary_workbook_lexicon"], out["vocabulary_workbook_full"] = workbook_sql(False), workbook_sql(True)
     out["phonetic_complexity"] = (
         f"WITH {WORDS} SELECT word, round(0.5 * coalesce(list_sum(list_transform(regexp_extract_all(word, '[bcdfghjklmnpqrstvwxyz]+'), lambda r: length(r) - 1)), 0)::DOUBLE "
         f"+ 0.3 * ({' + '.join(f'contains(word, {chr(39)}{g}{chr(39)})::INT' for g in fixed.DIGRAPHS)})::DOUBLE, 4) AS complexity FROM words"
@@ -334,7 +421,9 @@ def oracle_sql() -> dict[str, str]:
     out["repair_conflicts"] = (
         f"WITH {CONFLICTS} SELECT entry_id, word, passage_id FROM workbook o WHERE NOT EXISTS (SELECT 1 FROM parts WHERE parts.passage_id = o.passage_id AND part = lower({strip('o.word')}) AND NOT contains(lower({strip('o.word')}), ' '))"
     )
-    out["repair_duplicates"] = "SELECT entry_id, word, passage_id FROM workbook QUALIFY row_number() OVER (PARTITION BY passage_id, word ORDER BY coalesce(length(context), -1) DESC, entry_id) = 1"
+    out["repair_duplicates"] = (
+        "SELECT entry_id, word, passage_id FROM workbook QUALIFY passage_id IS NULL OR word IS NULL OR row_number() OVER (PARTITION BY passage_id, word ORDER BY coalesce(length(context), -1) DESC, entry_id) = 1"
+    )
     out["repair_candidates"] = f"SELECT entry_id, word, synonyms FROM workbook WHERE ({MISSING} OR len(string_split(synonyms, ',')) < 2) AND NOT contains(word, ' ') ORDER BY entry_id LIMIT 20"
     out["clean_meanings"] = clean_meaning()
     out["confidence_buckets"] = "SELECT CASE WHEN confidence IS NULL THEN 'missing' WHEN confidence >= 0.7 THEN 'high' WHEN confidence >= 0.4 THEN 'medium' ELSE 'low' END AS bucket, count(*) AS n FROM workbook GROUP BY 1"

@@ -30,8 +30,9 @@ def write_patterns(top: DataFrame, path: str) -> None:
     flat.filter(F.length("category") < 30).write.mode("overwrite").partitionBy("category").parquet(f"{path}/by_category")
 
 
-def write_issues(wb: DataFrame, path: str) -> None:
-    quality.issue_table(wb).write.mode("overwrite").parquet(path)
+def write_issues(wb: DataFrame, path: str, context_issues: DataFrame | None = None, accuracy_issues: DataFrame | None = None) -> None:
+    """The issue sheet: 15 columns under their names."""
+    quality.issue_sheet(quality.issue_table(wb, context_issues, accuracy_issues)).write.mode("overwrite").parquet(path)
 
 
 def before_after(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -87,11 +87,10 @@ def test_phrasal(spark):
 
 def test_hits_and_separable(spark):
     df = spark.createDataFrame([(1, "Pick one up. He carried it out; well-known, known up"), (2, None), (3, "")], "row_id bigint, content string")
-    toks = spans.token_table(df, "row_id", "content")
     found = spans.hits(df, spark.createDataFrame([("well-known",), ("known",), (" UP ",), (None,)], "term string"))
     assert sorted((r["term"], r["start"]) for r in found.collect()) == [("known", 37), ("known", 44), ("up", 9), ("up", 50), ("well-known", 32)]
     pairs = spark.createDataFrame([("pick", "up"), ("carried", "out")], "verb string, particle string")
-    got = {(r["verb"], r["gap"], r["pattern_type"]) for r in spans.separable(toks, pairs).collect()}
+    got = {(r["verb"], r["gap"], r["pattern_type"]) for r in spans.separable(df, pairs).collect()}
     assert got == {("pick", 1, "separated_noun"), ("carried", 1, "separated_pronoun")}
     assert spans.hits(df, spark.createDataFrame([], "term string")).count() == 0
     grammar = spans.grammar_patterns(spark.createDataFrame([(1, "I spend time reading and prevent him from going")], "i bigint, t string"), "i", "t")

@@ -192,3 +192,21 @@ ISSUE_TEXTS = {
     "context_meaning_mismatch": "'%s'의 한글 뜻 '%s'이 문맥에 부적절함",
     "word_meaning_mismatch": "'%s'의 한글 뜻 '%s'이 원형 단어의 의미와 불일치",
 }
+
+# fixed values: built-in parts of the external word lists, and what the last list of easy words adds to stop words and basic words
+OXFORD_WORDS = _words(
+    "about above across act active activity add afraid after again against age ago agree air all alone along already although always among angry animal answer any "
+    "anyone anything appear area argue arm army around arrive art article ask attack aunt autumn away"
+)
+COCA_WORDS = _words(
+    "the be to of and a in that have i it for not on with he as you do at this but his by from they she or an will my one all would there their what so up out if "
+    "about who get which go me when make can like time no just him know take people into year your good some could them see other than then now look only come its "
+    "over think also back after use two how our work first well way even new want because"
+)
+GSL_WORDS = _words("the be to of and a in that have i it for not on with he as you do at this but his by")
+EXTERNAL_LISTS = {
+    "oxford": ("oxford_3000.txt", OXFORD_WORDS),
+    "coca": ("coca_2000.txt", COCA_WORDS),
+    "gsl": ("gsl_2000.txt", tuple(dict.fromkeys(BASIC_WORDS + GSL_WORDS))),
+}
+EASY_EXTRA = _words("the a an this that these those good bad big small new old young make take get go come see know")

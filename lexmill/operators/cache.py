@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Namespaces of the programs' caches.
+NAMESPACES = ("phrases", "extraction", "verdicts", "separable", "difficulty", "synonyms", "selection", "dictionary", "base_forms", "roots")
+
 SCHEMA = "namespace string, key string, value_json string, created_at timestamp"
 
 
@@ -46,3 +51,33 @@ def stats(kv: DataFrame) -> DataFrame:
 def accepted(kv: DataFrame, more_than: int = 15_000) -> bool:
     """Whether a master table is large enough to be used."""
     return kv.limit(more_than + 1).count() > more_than
+
+
+def file_name(app: str, kind: str, identifier: str = "") -> str:
+    """Name of a cache file: the application, the kind and the first eight digits of the identifier's md5."""
+    return f"{app}_{kind}_{hashlib.md5(identifier.encode()).hexdigest()[:8]}.json" if identifier else f"{app}_{kind}.json"
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """The cache table at ``path``, empty where there is none; see :func:`latest` for one row of each key."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([], SCHEMA)
+    return spark.read.schema(SCHEMA).parquet(path)
+
+
+def save(kv: DataFrame, path: str) -> None:
+    """Append rows to the cache table at ``path``, a folder for each namespace; written twice they change nothing, as the last of each key holds."""
+    kv.select("namespace", "key", "value_json", "created_at").write.mode("append").partitionBy("namespace").parquet(path)
+
+
+def compacted(kv: DataFrame, path: str) -> None:
+    """Write a new cache table with one row for each key."""
+    latest(kv).write.mode("errorifexists").partitionBy("namespace").parquet(path)
+
+
+def usage(log: DataFrame) -> DataFrame:
+    """(namespace, n_calls, n_hits, hit_rate) of a log with (namespace, hit)."""
+    one = log.groupBy("namespace").agg(F.count("*").alias("n_calls"), F.count_if(F.coalesce("hit", F.lit(False))).alias("n_hits"))
+    return one.withColumn("hit_rate", F.round(F.col("n_hits") * 100.0 / F.col("n_calls"), 2))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.functions import fixed, text
+from lexmill.functions import fixed, text, words
+from lexmill.operators import annotate
 from lexmill.session import spread, written
 
 
@@ -38,14 +42,45 @@ def union_lexicons(*parts: DataFrame) -> DataFrame:
     return rows.groupBy("term").agg(F.min("source").alias("source"))
 
 
-def word_frequencies(df: DataFrame, text_col: str, id_col: str, stopwords: DataFrame | None = None) -> DataFrame:
-    """(lemma, frequency, first_id, first_pos) of words of three letters or more that are no stop words."""
-    rows = spread(df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")))
-    words = rows.select("_id", F.posexplode(text.tokens(F.col("_t"))).alias("_pos", "lemma")).filter(F.length("lemma") >= 3)
+def _count_tokens(batches: Iterator[pa.RecordBatch], flush_at: int) -> Iterator[pa.RecordBatch]:
+    """Of each token of three letters or more its count and first place, per task."""
+    table: dict[str, list] = {}
+
+    def flush() -> pa.RecordBatch:
+        n, ids, places = zip(*table.values()) if table else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(list(table), pa.string()), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(places, pa.int32())], names=["token", "n", "id", "pos"])
+
+    for batch in batches:
+        for row_id, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for pos, token in enumerate(words.split_clean(words.clean_text(body))):
+                if len(token) < 3:
+                    continue
+                got = table.get(token)
+                if got is None:
+                    table[token] = [1, row_id, pos]
+                else:
+                    got[0] += 1
+                    if (row_id, pos) < (got[1], got[2]):
+                        got[1:] = row_id, pos
+        if len(table) >= flush_at:
+            yield flush()
+            table.clear()
+    yield flush()
+
+
+def word_frequencies(df: DataFrame, text_col: str, id_col: str, stopwords: DataFrame | None = None, flush_at: int = 500_000) -> DataFrame:
+    """(lemma, frequency, first_id, first_pos) of words of three letters or more that are no stop words.
+
+    Tokens are counted in each task; stop words are taken away from the counted tokens, and the counts
+    of the forms of a word are added up under its lemma. Rows without an id or text are left out.
+    """
+    rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("t")).filter("id IS NOT NULL AND t IS NOT NULL")
+    counted = spread(rows).mapInArrow(lambda b: _count_tokens(b, flush_at), "token string, n bigint, id bigint, pos int")
+    tokens = counted.groupBy("token").agg(F.sum("n").alias("n"), F.min(F.struct("id", "pos")).alias("f"))
     if stopwords is not None:
-        words = words.join(stopwords.select(F.col(stopwords.columns[0]).alias("lemma")), "lemma", "left_anti")
-    first = F.min(F.struct("_id", "_pos"))
-    return words.groupBy("lemma").agg(F.count("*").alias("frequency"), first.alias("_f")).select("lemma", "frequency", F.col("_f._id").alias("first_id"), F.col("_f._pos").alias("first_pos"))
+        tokens = tokens.join(stopwords.select(F.lower(text.strip(F.col(stopwords.columns[0]))).alias("token")).filter("token IS NOT NULL").distinct(), "token", "left_anti")
+    lemmas = tokens.groupBy(annotate.lemma(F.col("token")).alias("lemma")).agg(F.sum("n").alias("frequency"), F.min("f").alias("_f"))
+    return lemmas.select("lemma", "frequency", F.col("_f.id").alias("first_id"), F.col("_f.pos").alias("first_pos"))
 
 
 def ranked(freq: DataFrame) -> DataFrame:

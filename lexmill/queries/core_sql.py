@@ -81,10 +81,25 @@ def terms(*kinds: str) -> str:
     return f"(SELECT DISTINCT lower({strip('term')}) AS term FROM lexicon WHERE kind IN ({quoted(kinds)}) AND term IS NOT NULL AND NOT starts_with(term, '#'))"
 
 
+_UNDO = "CASE WHEN regexp_matches({0}, '(bb|dd|gg|mm|nn|pp|rr|tt)$') THEN left({0}, length({0}) - 1) ELSE {0} END"
+
+
+def lemma(w: str) -> str:
+    forms = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in IRREGULAR_LEMMAS.items())
+    return (
+        f"coalesce(CASE {w} {forms} END, "
+        f"CASE WHEN regexp_matches({w}, '[^aeiou]ies$') THEN left({w}, length({w}) - 3) || 'y' WHEN regexp_matches({w}, '(s|x|z|ch|sh)es$') THEN left({w}, length({w}) - 2) "
+        f"WHEN regexp_matches({w}, '[^su]s$') AND length({w}) > 3 THEN left({w}, length({w}) - 1) WHEN regexp_matches({w}, '[^aeiou]ied$') THEN left({w}, length({w}) - 3) || 'y' "
+        f"WHEN regexp_matches({w}, '[aeiouy][^aeiou]+ed$') AND length({w}) > 4 THEN {_UNDO.format(f'left({w}, length({w}) - 2)')} "
+        f"WHEN regexp_matches({w}, '[aeiouy][^aeiou]*ing$') AND length({w}) > 5 THEN {_UNDO.format(f'left({w}, length({w}) - 3)')} ELSE {w} END)"
+    )
+
+
 FREQ = (
-    f"{TOK}, places AS (SELECT row_id, unnest(ws) AS lemma, generate_subscripts(ws, 1) - 1 AS pos FROM tok), "
-    f"freq AS (SELECT lemma, count(*) AS frequency, min({{'id': row_id, 'pos': pos}}) AS f FROM places WHERE length(lemma) >= 3 "
-    f"AND lemma NOT IN (SELECT term FROM {terms('easy')}) GROUP BY lemma), "
+    f"{TOK}, places AS (SELECT row_id, unnest(ws) AS token, generate_subscripts(ws, 1) - 1 AS pos FROM tok), "
+    f"counted AS (SELECT token, count(*) AS n, min({{'id': row_id, 'pos': pos}}) AS f FROM places WHERE length(token) >= 3 "
+    f"AND token NOT IN (SELECT term FROM {terms('easy')}) GROUP BY token), "
+    f"freq AS (SELECT {lemma('token')} AS lemma, sum(n)::BIGINT AS frequency, min(f) AS f FROM counted GROUP BY 1), "
     "ranks AS (SELECT lemma, frequency, row_number() OVER (ORDER BY frequency DESC, f) AS rank, count(*) OVER () AS n FROM freq), "
     "tiers AS (SELECT lemma, frequency, rank, CASE WHEN rank <= n * 0.05::DOUBLE THEN 1.0::DOUBLE WHEN rank <= n * 0.2::DOUBLE THEN 2.0 WHEN rank <= n * 0.5::DOUBLE THEN 3.0 "
     "ELSE 4.0 + (rank - n * 0.5::DOUBLE) / (n * 0.5::DOUBLE) END AS tier FROM ranks)"
@@ -301,8 +316,8 @@ def oracle_sql() -> dict[str, str]:
     )
     out["basic_word_semi"] = f"WITH {FREQ} SELECT lemma, frequency FROM freq WHERE lemma IN ({quoted(fixed.BASIC_WORDS)})"
     out["easy_word_anti"] = (
-        f"WITH {TOK}, w AS (SELECT unnest(ws) AS lemma FROM tok) SELECT lemma, count(*) AS frequency FROM w WHERE length(lemma) >= 3 "
-        f"AND NOT EXISTS (SELECT 1 FROM lexicon WHERE lower({strip('term')}) = lemma) GROUP BY lemma"
+        f"WITH {TOK}, w AS (SELECT unnest(ws) AS token FROM tok), l AS (SELECT {lemma('token')} AS lemma FROM w WHERE length(token) >= 3) SELECT lemma, count(*) AS frequency FROM l "
+        f"WHERE NOT EXISTS (SELECT 1 FROM lexicon WHERE lower({strip('term')}) = lemma) GROUP BY lemma"
     )
     out["user_word_hits"] = f"WITH {hits(terms('user_word'))} SELECT * FROM hit"
     out["user_idiom_hits"] = f"WITH {hits(terms('user_idiom', 'reference_idiom'))} SELECT * FROM hit"
@@ -344,14 +359,7 @@ def oracle_sql() -> dict[str, str]:
     )
     out["word_difficulty"] = f"WITH {WORDS} SELECT word, CASE WHEN p <= 2 THEN 'elementary' WHEN p <= 4 THEN 'intermediate' ELSE 'advanced' END AS difficulty FROM (SELECT word, {points} AS p FROM words)"
     out["word_pos"] = f"WITH {WORDS} SELECT word, {pos_case('word')} AS pos FROM words"
-    undo = "CASE WHEN regexp_matches({0}, '(bb|dd|gg|mm|nn|pp|rr|tt)$') THEN left({0}, length({0}) - 1) ELSE {0} END"
-    out["word_lemmas"] = (
-        f"WITH {WORDS} SELECT word, coalesce(CASE word {' '.join(f'WHEN {chr(39)}{a}{chr(39)} THEN {chr(39)}{b}{chr(39)}' for a, b in IRREGULAR_LEMMAS.items())} END, "
-        "CASE WHEN regexp_matches(word, '[^aeiou]ies$') THEN left(word, length(word) - 3) || 'y' WHEN regexp_matches(word, '(s|x|z|ch|sh)es$') THEN left(word, length(word) - 2) "
-        "WHEN regexp_matches(word, '[^su]s$') AND length(word) > 3 THEN left(word, length(word) - 1) WHEN regexp_matches(word, '[^aeiou]ied$') THEN left(word, length(word) - 3) || 'y' "
-        f"WHEN regexp_matches(word, '[aeiouy][^aeiou]+ed$') AND length(word) > 4 THEN {undo.format('left(word, length(word) - 2)')} "
-        f"WHEN regexp_matches(word, '[aeiouy][^aeiou]*ing$') AND length(word) > 5 THEN {undo.format('left(word, length(word) - 3)')} ELSE word END) AS lemma FROM words"
-    )
+    out["word_lemmas"] = f"WITH {WORDS} SELECT word, {lemma('word')} AS lemma FROM words"
     out["stop_and_names"] = (
         rf"WITH raw AS (SELECT regexp_extract_all(content, '[\p{{L}}\p{{N}}_]+') AS ts FROM passages WHERE content IS NOT NULL), one AS (SELECT unnest(ts) AS t, generate_subscripts(ts, 1) AS i FROM raw) "
         rf"SELECT {pos_case('lower(t)')} AS tag, lower(t) IN (SELECT term FROM {terms('easy')}) AS is_stop, regexp_matches(t, '^\p{{Lu}}\p{{L}}+') AND i > 1 AS is_name, count(*) AS n FROM one GROUP BY 1, 2, 3"

@@ -1,6 +1,11 @@
+import hashlib
+import json
+
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
-from lexmill.operators import lexicon
+from lexmill.operators import cache, lexicon
 from lexmill.plans import pipelines
 from lexmill.sources import readers, sinks
 from lexmill.streaming import stream
@@ -28,8 +33,81 @@ def test_idiom_files(spark, tmp_path):
     (tmp_path / "i.csv").write_text("phrase\nlevel 2 idea\nTop-notch idea\na b c d e f g h i\n")
     got = sorted(r[0] for r in readers.idiom_directory(spark, str(tmp_path / "*.csv"), str(tmp_path / "*.txt")).collect())
     assert got == ["level 2 idea", "top-notch idea"]
-    summary = {r["file"].rsplit("/", 1)[1]: r["status"] for r in readers.directory_summary(spark, str(tmp_path / "*.txt")).collect()}
-    assert summary == {"i.txt": "success"}
+    (tmp_path / "e.txt").write_text("")
+    (tmp_path / "j.csv").write_text("no,Idiom\n1,by and large\n")
+    summary = {r["file"].rsplit("/", 1)[1]: (r["n_rows"], r["status"]) for r in readers.directory_summary(spark, str(tmp_path / "*.csv"), str(tmp_path / "*.txt"), (str(tmp_path / "gone.xlsx"),)).collect()}
+    assert summary == {"i.txt": (4, "success"), "e.txt": (0, "empty"), "i.csv": (3, "success"), "j.csv": (1, "success"), "gone.xlsx": (0, "failed")}
+    # the column of phrases is chosen by each file's own header; the result is sorted
+    every = [r[0] for r in readers.idiom_directory(spark, str(tmp_path / "*.csv"), str(tmp_path / "*.txt")).collect()]
+    assert every == ["by and large", "level 2 idea", "top-notch idea"]
+
+
+def test_excel_without_a_reader_is_an_error(spark, tmp_path, monkeypatch):
+    def none(*_, **__):
+        raise ImportError("no engine")
+
+    monkeypatch.setattr(pd, "read_excel", none)
+    with pytest.raises(RuntimeError):
+        readers.read_excel_sheets("x.xlsx")
+    with pytest.raises(RuntimeError):
+        readers.idiom_directory(spark, xlsx_paths=("x.xlsx",))
+    assert readers.idiom_directory(spark, xlsx_paths=("x.xlsx",), tolerant=True).count() == 0
+    monkeypatch.setattr(pd, "read_excel", lambda *_, **__: {"a": pd.DataFrame({"no": [1], "Phrase": ["by and large"]}), "b": pd.DataFrame()})
+    assert [r[0] for r in readers.idiom_directory(spark, xlsx_paths=("x.xlsx",)).collect()] == ["by and large"]
+
+
+def test_files_of_all_encodings_and_headers(spark, tmp_path):
+    """A column that only some files have is kept, whatever their encoding and order; nothing is read as one cell."""
+    (tmp_path / "a.csv").write_text("x,y\n1,2\n")
+    (tmp_path / "b.csv").write_bytes("x,z\n가,나\n\"다\n라\",3\n".encode("cp949"))
+    (tmp_path / "c.csv").write_text("z,x\n9,8\n", encoding="utf-8-sig")
+    (tmp_path / "d.csv").write_text("")
+    got = {(r["x"], r["y"], r["z"]) for r in readers.read_csv(spark, str(tmp_path / "*.csv")).collect()}
+    assert got == {("1", "2", None), ("가", None, "나"), ("다\n라", None, "3"), ("8", None, "9")}
+    (tmp_path / "e.csv").write_text("x\n" + "\n".join(map(str, range(5000))))
+    split = readers.read_csv(spark, str(tmp_path / "e.csv"), multi_line=False)
+    assert split.count() == 5000
+    with pytest.raises(ValueError):
+        readers.read_csv(spark, str(tmp_path / "d.csv"))
+
+
+def test_json_caches(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps({"metadata": {"created_at": 86400.0, "app_name": "x"}, "data": {"k:1": {"synonyms": ["a", "나"]}, "b": 2}}))
+    (tmp_path / "b.json").write_text(json.dumps({"k": "v"}, indent=2))
+    (tmp_path / "c.json").write_text("no json")
+    got = {(r["namespace"], r["key"], r["value_json"], r["created_at"].year) for n in ("a", "b", "c", "gone") for r in readers.json_cache(spark, str(tmp_path / f"{n}.json"), n).collect()}
+    assert got == {("a", "k:1", '{"synonyms":["a","나"]}', 1970), ("a", "b", "2", 1970), ("b", "k", '"v"', 1970)}
+    rows = readers.json_cache(spark, str(tmp_path / "a.json"), "synonyms")
+    path = str(tmp_path / "cache")
+    assert cache.load(spark, path).count() == 0
+    cache.save(rows, path)
+    cache.save(rows, path)
+    assert cache.load(spark, path).count() == 4 and cache.latest(cache.load(spark, path)).count() == 2
+    cache.compacted(cache.load(spark, path), str(tmp_path / "small"))
+    assert cache.load(spark, str(tmp_path / "small")).count() == 2
+    assert cache.file_name("app", "kind") == "app_kind.json" and cache.file_name("app", "kind", "id") == f"app_kind_{hashlib.md5(b'id').hexdigest()[:8]}.json"
+    log = spark.createDataFrame([("a", True), ("a", False), ("a", None), ("b", True)], "namespace string, hit boolean")
+    assert {tuple(r) for r in cache.usage(log).collect()} == {("a", 3, 1, 33.33), ("b", 1, 1, 100.0)}
+
+
+def test_word_lists(spark, tmp_path):
+    (tmp_path / "oxford_3000.txt").write_text("Alpha\n\n beta \n")
+    got = readers.external_lists(spark, str(tmp_path))
+    assert {r["term"] for r in got.filter("source = 'oxford'").collect()} == {"alpha", "beta"} and got.filter("source = 'coca'").count() > 80
+    stop = spark.createDataFrame([("The",), (None,)], "w string")
+    easy = {r[0] for r in readers.easy_words(None, stop.limit(0), stopwords=stop).collect()}
+    assert {"the", "young", "know"} <= easy and len(easy) > 100
+    assert readers.easy_words(None, stop).count() == 2
+    with pytest.raises(ValueError):
+        readers.easy_words(None)
+
+
+def test_a_limit_takes_the_same_sentences_in_every_run(spark):
+    raw = spark.createDataFrame([(str(i), "eng", f"sentence number {i}") for i in range(200, 0, -1)], "id string, lang string, sentence string").repartition(7)
+    for _ in range(2):
+        assert {r[0] for r in readers.phrases_of(raw, limit=3, id_col="id").collect()} == {f"sentence number {i}" for i in (1, 2, 3)}
+    with pytest.raises(ValueError):
+        readers.phrases_of(raw, limit=3)
 
 
 def test_lexicon(spark):

@@ -210,3 +210,7 @@ EXTERNAL_LISTS = {
     "gsl": ("gsl_2000.txt", tuple(dict.fromkeys(BASIC_WORDS + GSL_WORDS))),
 }
 EASY_EXTRA = _words("the a an this that these those good bad big small new old young make take get go come see know")
+
+# fixed values: marks of refined rows
+REFINED, REFINED_WITH_FORMS = "개선된정제_하이브리드", "개선된정제_AI원형필터링"
+CHANGED, SAME = "✓ 개선됨", "동일"

@@ -268,3 +268,9 @@ def database_filter(word: Column, user: Column, cached: Column, decided: Column)
         .when(pattern, F.struct(F.lit(True).alias("ok"), F.lit("숙어패턴").alias("reason")))
         .otherwise(F.coalesce(cached, decided))
     )
+
+
+def valid_result(result: Column) -> Column:
+    """Whether a JSON result is an object with the keys original and meaning."""
+    keys = F.coalesce(F.json_object_keys(result), F.array().cast("array<string>"))
+    return F.array_contains(keys, "original") & F.array_contains(keys, "meaning")

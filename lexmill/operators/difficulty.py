@@ -27,12 +27,12 @@ def easy(words: DataFrame, external: DataFrame, word_col: str = "word") -> DataF
     return flagged.select("word", "pos", rules.too_easy(F.col("word"), F.col("pos"), F.coalesce("_e", F.lit(False)), F.lit(False)).alias("too_easy"))
 
 
-def decisions(analysis: DataFrame, json_col: str = "response") -> DataFrame:
-    """Adds ok and reason from difficulty analyses given as JSON."""
+def decisions(analysis: DataFrame, json_col: str = "response", least: float = 7.0) -> DataFrame:
+    """Adds ok and reason from difficulty analyses given as JSON; scores from ``least`` on are difficult."""
     parsed = F.from_json(text.fenced_json(F.col(json_col)), "difficulty_score double, is_basic_vocabulary boolean, recommendation string")
     rows = analysis.withColumn("_a", parsed)
     known = F.col("_a").isNotNull() & F.col(json_col).isNotNull()
-    said = rules.difficulty_decision(known, F.col("_a.is_basic_vocabulary"), F.col("_a.difficulty_score"), F.col("_a.recommendation"))
+    said = rules.difficulty_decision(known, F.col("_a.is_basic_vocabulary"), F.col("_a.difficulty_score"), F.col("_a.recommendation"), least)
     return rows.withColumn("_s", said).select(*analysis.columns, "_s.ok", "_s.reason")
 
 

@@ -41,13 +41,3 @@ def confidence_buckets(wb: DataFrame, column: str = "confidence") -> DataFrame:
     c = F.col(column)
     bucket = F.when(c >= 0.7, "high").when(c >= 0.4, "medium").when(c.isNull(), "missing").otherwise("low")
     return wb.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
-
-
-def refinement_stats(before_after: DataFrame) -> DataFrame:
-    """One row: rows, how many changed in each field, share of rows with any change in percent."""
-    fields = ("synonyms", "antonyms", "contextual_meaning")
-    any_ = F.lit(False)
-    for f in fields:
-        any_ = any_ | F.col(f"{f}_changed")
-    share = F.coalesce(F.round(F.avg(F.when(any_, 100.0).otherwise(0.0)), 2), F.lit(0.0))
-    return before_after.agg(F.count("*").alias("n_rows"), *[F.count_if(F.col(f"{f}_changed")).alias(f"{f}_changed") for f in fields], share.alias("improvement_rate"))

@@ -71,15 +71,6 @@ def validated(records: DataFrame) -> DataFrame:
     )
 
 
-def selected(candidates: DataFrame, most_synonyms: int = 2, most_antonyms: int = 1) -> DataFrame:
-    """Final choice from API lists without a model: filtered lists, confidence 0.3 and the candidates' level."""
-    syn = enhanced(F.col("api_synonyms"), F.col("word"), most_synonyms)
-    ant = enhanced(F.col("api_antonyms"), F.col("word"), most_antonyms)
-    n = F.size(_list(F.col("api_synonyms"))) + F.size(_list(F.col("api_antonyms")))
-    level = F.when(n >= 5, "high").when(n >= 2, "medium").otherwise("low")
-    return candidates.withColumn("synonyms", syn).withColumn("antonyms", ant).withColumn("confidence", F.lit(0.3)).withColumn("api_confidence", level)
-
-
 def record_stats(records: DataFrame) -> DataFrame:
     """One row: number of records, of those with lists, coverage, averages over the non-empty, by source."""
     s, a = F.size(F.coalesce("synonyms", F.array().cast("array<string>"))), F.size(F.coalesce("antonyms", F.array().cast("array<string>")))

@@ -5,17 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.functions import rules, text
-from lexmill.operators import patterns, quality, synonyms
-from lexmill.sources import readers, sinks
+from lexmill.operators import patterns, quality, refine
+from lexmill.sources import readers
 
 
 def mine_patterns(df: DataFrame, text_col: str = "content", most: int = 200, pos: bool = True) -> DataFrame:
-    """Scored, categorised patterns of 2 to 5 words, the best of each length."""
+    """Scored, categorised patterns of 2 to 5 words, the best of each length, all sorted by score and frequency."""
     counts = patterns.ngram_counts(df, text_col)
     if pos:
         counts = patterns.pos_filter(patterns.with_pos(counts))
-    return patterns.top(patterns.scored(counts), most)
+    return patterns.top(patterns.scored(counts), most).orderBy(F.desc("educational_score"), F.desc("frequency"), "length", "pattern")
 
 
 def check(wb: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
@@ -28,33 +27,18 @@ def check_and_repair(wb: DataFrame, meanings: DataFrame | None = None, lists: Da
     return check(wb, verdicts), quality.repair(wb, meanings, lists)
 
 
-def refine(wb: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
-    """Workbook with refined synonyms and antonyms.
+def refinement(
+    wb: DataFrame, services: DataFrame | None = None, contextual: DataFrame | None = None, forms: DataFrame | None = None, answers: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(refined workbook, detail, before and after) of the rows to refine.
 
-    ``candidates`` (word, api_synonyms, api_antonyms) stands for the dictionary services; without it the
-    lists already in the workbook are filtered, deduplicated by root and cut to two and one.
+    ``services`` (word, source, synonyms, antonyms) are the answers of dictionary services, ``contextual``
+    (word, synonyms, antonyms) lists made from chosen senses, ``forms`` (word, is_base) the base-form
+    check, ``answers`` (key, response) the final selection. Without services the lists of the workbook are the candidates.
     """
-    if candidates is None:
-        rows = wb.withColumn("api_synonyms", text.to_list(F.col("synonyms"))).withColumn("api_antonyms", text.to_list(F.col("antonyms")))
-    else:
-        one = candidates.groupBy("word").agg(F.first("api_synonyms").alias("api_synonyms"), F.first("api_antonyms").alias("api_antonyms"))
-        rows = wb.join(one, "word", "left")
-    picked = synonyms.selected(rows.drop("synonyms", "antonyms", "confidence")).withColumnRenamed("confidence", "synonym_confidence_new")
-    keys = picked.select(
-        "entry_id",
-        F.array_join("synonyms", ",").alias("_s"),
-        F.array_join("antonyms", ",").alias("_a"),
-        F.when(F.size("synonyms") > 0, F.col("synonym_confidence_new")).otherwise(0.0).alias("_c"),
-        rules.word_difficulty(F.col("word")).alias("_d"),
-    )
-    out = wb.join(keys, "entry_id").withColumn("synonyms", F.col("_s")).withColumn("antonyms", F.col("_a")).withColumn("synonym_confidence", F.col("_c"))
-    return out.drop("_s", "_a", "_c", "_d")
-
-
-def refinement(wb: DataFrame, candidates: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(refined workbook, before and after)."""
-    after = refine(wb, candidates)
-    return after, sinks.before_after(wb, after)
+    lists = refine.candidates(refine.service_lists(services), contextual, forms) if services is not None else None
+    detail = refine.refined(wb, lists, answers, forms is not None)
+    return detail.select(*wb.columns), detail, refine.comparison(detail)
 
 
 def phrase_corpus(local: DataFrame | None, remote: DataFrame | None) -> DataFrame:

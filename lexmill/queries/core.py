@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.functions import fixed, rules, text
-from lexmill.operators import annotate, cache, difficulty, enrich, lexicon, packed, patterns, quality, rows, spans, synonyms
+from lexmill.operators import annotate, cache, difficulty, enrich, lexicon, packed, patterns, quality, refine, rows, spans, synonyms
 from lexmill.plans import pipelines, vocabulary
 from lexmill.queries import core_sql
 from lexmill.sources import readers, sinks
@@ -299,14 +299,42 @@ def synonym_keys(s: SparkSession, d: str) -> DataFrame:
     return r.select("record_id", text.cache_key(F.col("word"), F.col("context"), F.col("pos")).alias("key"), text.pos_letter(F.col("pos")).alias("pos_letter"))
 
 
+def _services(s: SparkSession, d: str) -> DataFrame:
+    return _t(s, d, "synonym_records").select("word", "source", "synonyms", "antonyms")
+
+
 @query
 def refined_workbook(s: SparkSession, d: str) -> DataFrame:
-    return pipelines.refine(_t(s, d, "workbook")).select("entry_id", "synonyms", "antonyms", "synonym_confidence")
+    return pipelines.refinement(_t(s, d, "workbook"))[1].select("entry_id", "synonyms", "antonyms", "synonym_confidence", "process_method", *refine.DETAIL)
 
 
 @query
 def refinement_stats(s: SparkSession, d: str) -> DataFrame:
-    return rows.refinement_stats(pipelines.refinement(_t(s, d, "workbook"))[1])
+    return refine.statistics(pipelines.refinement(_t(s, d, "workbook"))[1])
+
+
+@query
+def refined_comparison(s: SparkSession, d: str) -> DataFrame:
+    """The sheet before and after, counted by what changed."""
+    return pipelines.refinement(_t(s, d, "workbook"))[2].groupBy("동의어_변화", "반의어_변화", "처리방식").agg(F.count("*").alias("n"))
+
+
+@query
+def service_candidates(s: SparkSession, d: str) -> DataFrame:
+    out = refine.service_lists(_services(s, d))
+    return out.select("word", F.array_join("api_synonyms", ",").alias("api_synonyms"), F.array_join("api_antonyms", ",").alias("api_antonyms"))
+
+
+@query
+def guarded_roots(s: SparkSession, d: str) -> DataFrame:
+    return _candidates(s, d).select("entry_id", F.array_join(refine.guarded_root_dedup(F.col("c"), F.col("word")), ",").alias("kept"))
+
+
+@query
+def pair_filter(s: SparkSession, d: str) -> DataFrame:
+    wb = _t(s, d, "workbook").filter("word IS NOT NULL")
+    both = refine.pair_filter(text.to_list(F.col("synonyms")), text.to_list(F.col("antonyms")), F.col("word"))
+    return wb.select("entry_id", both.alias("p")).select("entry_id", F.array_join("p.synonyms", ",").alias("synonyms"), F.array_join("p.antonyms", ",").alias("antonyms"))
 
 
 @query
@@ -339,6 +367,122 @@ def issue_counts(s: SparkSession, d: str) -> DataFrame:
     return quality.issue_table(_t(s, d, "workbook")).groupBy("issue_type", "severity").agg(F.count("*").alias("n"))
 
 
+@query
+def issue_sheet(s: SparkSession, d: str) -> DataFrame:
+    return quality.issue_sheet(quality.issue_table(_t(s, d, "workbook")))
+
+
+@query
+def issue_labels(s: SparkSession, d: str) -> DataFrame:
+    return quality.issue_table(_t(s, d, "workbook")).groupBy(quality.issue_label(F.col("issue_type")).alias("label")).agg(F.count("*").alias("n"))
+
+
+@query
+def first_issues(s: SparkSession, d: str) -> DataFrame:
+    return quality.first_issues(quality.issue_table(_t(s, d, "workbook"))).select("issue_type", "passage_id", "entry_id", "word", "conflicting_word", "description")
+
+
+def _verdicts(s: SparkSession, d: str) -> DataFrame:
+    """A judge by rule: meanings of an even number of characters are wrong; every fifth length answers in plain text, every seventh not at all."""
+    wb = _t(s, d, "workbook").filter("word IS NOT NULL AND meaning_ko IS NOT NULL")
+    n = F.length("meaning_ko")
+    rows = None
+    for flag, context in (("is_appropriate", F.col("context")), ("is_accurate", None)):
+        said = F.format_string('{"%s": %s, "severity": "high", "explanation": "%d characters", "suggested_meaning": "?"}', F.lit(flag), F.when(n % 2 == 0, "false").otherwise("true"), n)
+        response = F.when(n % 7 == 0, F.lit(None).cast("string")).when(n % 5 == 0, F.when(n % 2 == 0, "no").otherwise("That is true.")).otherwise(said)
+        one = (wb if context is None else wb.filter("context IS NOT NULL")).select(quality.verdict_key(F.col("word"), F.col("meaning_ko"), context).alias("key"), response.alias("response"))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
+@query
+def verdict_issues(s: SparkSession, d: str) -> DataFrame:
+    wb, verdicts = _t(s, d, "workbook"), _verdicts(s, d)
+    both = [quality.verdict_issues(wb, verdicts, of_context).withColumn("kind", F.lit(kind)) for of_context, kind in ((True, "context"), (False, "accuracy"))]
+    return both[0].unionByName(both[1])
+
+
+@query
+def quality_score_judged(s: SparkSession, d: str) -> DataFrame:
+    return pipelines.check(_t(s, d, "workbook"), _verdicts(s, d))
+
+
+def _meanings(s: SparkSession, d: str) -> DataFrame:
+    return _t(s, d, "synonym_records").filter("contextual_meaning <> ''").select("word", F.col("contextual_meaning").alias("meaning"))
+
+
+def _comma_lists(s: SparkSession, d: str) -> DataFrame:
+    return _t(s, d, "synonym_records").select("word", F.array_join("synonyms", ",").alias("synonyms"), F.array_join("antonyms", ",").alias("antonyms"))
+
+
+@query
+def repair_synonyms(s: SparkSession, d: str) -> DataFrame:
+    return quality.repair_synonyms(_t(s, d, "workbook"), _comma_lists(s, d)).select("entry_id", "synonyms", "antonyms")
+
+
+@query
+def repaired_workbook(s: SparkSession, d: str) -> DataFrame:
+    return quality.repair(_t(s, d, "workbook"), _meanings(s, d), _comma_lists(s, d)).select("entry_id", "word", "meaning_ko", "synonyms", "antonyms")
+
+
+@query
+def enhanced_workbook(s: SparkSession, d: str) -> DataFrame:
+    return quality.enhance(_t(s, d, "workbook"), _meanings(s, d), _comma_lists(s, d)).select("entry_id", "word", "meaning_ko", "synonyms", "antonyms")
+
+
+@query
+def valid_results(s: SparkSession, d: str) -> DataFrame:
+    wb = _t(s, d, "workbook")
+    return wb.select("entry_id", rules.valid_result(F.to_json(F.struct(F.col("word").alias("original"), F.col("meaning_ko").alias("meaning")))).alias("valid"))
+
+
+@query
+def difficulty_decisions(s: SparkSession, d: str) -> DataFrame:
+    """Decisions from answers made of the words: the score is the length, basic are words in -s, included those with an e; every ninth length has no answer."""
+    w = _words(s, d)
+    n = F.length("word")
+    made = F.format_string(
+        '```json\n{"difficulty_score": %d, "is_basic_vocabulary": %s, "recommendation": "%s"}\n```',
+        n, F.when(F.col("word").endswith("s"), "true").otherwise("false"), F.when(F.col("word").contains("e"), "include").otherwise("exclude"),
+    )
+    return difficulty.decisions(w.withColumn("response", F.when(n % 9 == 0, F.lit(None).cast("string")).otherwise(made))).select("word", "ok", "reason")
+
+
+@query
+def separable_analysis(s: SparkSession, d: str) -> DataFrame:
+    """The table of separable idioms from answers made of the idioms: those of an even length are separable."""
+    idioms = _lexicon(s, d, "user_idiom", "reference_idiom").select(F.lower(text.strip(F.col("term"))).alias("idiom")).distinct()
+    made = F.format_string('{"is_separable": %s, "confidence": 0.7}', F.when(F.length("idiom") % 2 == 0, "true").otherwise("false"))
+    return spans.separable_table(idioms.withColumn("response", made)).select("idiom", "verb", "particle", "display_form", "confidence", "reason")
+
+
+@query
+def cached_words(s: SparkSession, d: str) -> DataFrame:
+    kv = _t(s, d, "synonym_records").select(F.lit("synonyms").alias("namespace"), F.lower("word").alias("key"), F.col("cache_key").alias("value_json"), F.col("created_at").cast("timestamp").alias("created_at"))
+    return cache.lookup(_words(s, d), kv, "synonyms", "word")
+
+
+@query
+def budgeted_requests(s: SparkSession, d: str) -> DataFrame:
+    return enrich.within_budget(_words(s, d).withColumnRenamed("word", "key"), 500)
+
+
+@query
+def external_lists(s: SparkSession, d: str) -> DataFrame:
+    return readers.external_lists(s, f"{d}/no_such_folder")
+
+
+@query
+def sense_counts(s: SparkSession, d: str) -> DataFrame:
+    dictionary = _t(s, d, "synonym_records").select("word", "pos", F.col("record_id").cast("int").alias("sense_no"), F.col("contextual_meaning").alias("gloss"))
+    return annotate.sense_counts(_words(s, d), dictionary)
+
+
+@query
+def refinable_rows(s: SparkSession, d: str) -> DataFrame:
+    return synonyms.to_refine(_t(s, d, "workbook")).select("entry_id")
+
+
 @query
 def repair_conflicts(s: SparkSession, d: str) -> DataFrame:
     return quality.repair_conflicts(_t(s, d, "workbook")).select("entry_id", "word", "passage_id")

@@ -456,4 +456,161 @@ def oracle_sql() -> dict[str, str]:
         f"WITH r AS (SELECT {strip('text')} AS phrase FROM documents WHERE lang = 'en'), a AS (SELECT term AS phrase, 0 AS o, 'local' AS source FROM {terms('user_idiom', 'reference_idiom')} "
         "UNION ALL SELECT phrase, 1, 'remote' FROM r WHERE length(phrase) > 0 AND len(regexp_split_to_array(phrase, '\\s+')) BETWEEN 2 AND 15) SELECT phrase, arg_min(source, o) AS source FROM a GROUP BY phrase"
     )
+    wide = r"[\p{L}\p{N}_]"
+    edge = r"[^\p{L}\p{N}_]"
+    # every mark between words stands twice, so that each match may take one on either side
+    doubled = f"d AS (SELECT row_id AS id, ' ' || regexp_replace(content, '({edge})', '\\1\\1', 'g') || ' ' AS t FROM passages WHERE content IS NOT NULL)"
+
+    def undoubled(e: str) -> str:
+        for c in (" ", r"\n", r"\t", r"\r"):
+            e = f"replace({e}, E'{c}{c}', E'{c}')"
+        return e
+
+    def found(regex: str) -> str:
+        return f"unnest(regexp_extract_all(t, '(?i){edge}({regex.replace(chr(92) + 'w', wide)}){edge}', 1))"
+
+    out["known_phrases"] = f"WITH {doubled}, m AS (SELECT id, {found('(?:' + '|'.join(fixed.KNOWN_PHRASES) + ')')} AS m FROM d) SELECT id, {undoubled('m')} AS original FROM m"
+    grammar = " UNION ALL ".join(f"SELECT id, '{name}' AS display_form, {found(regex)} AS m FROM d" for regex, name in fixed.GRAMMAR_PATTERNS)
+    out["grammar_patterns"] = f"WITH {doubled}, m AS ({grammar}) SELECT id, display_form, {undoubled('m')} AS original FROM m"
+
+    def listed(field: str) -> str:
+        return f"list_filter(list_transform(string_split(coalesce({field}, ''), ','), lambda x: {strip('x')}), lambda x: length(x) > 0)"
+
+    def missing(field: str) -> str:
+        return f"coalesce(lower({strip(field)}) IN ('', 'nan', 'none'), true)"
+
+    def best(field: str, name: str, most: int) -> str:
+        """The enhanced lists of one field, with the number of candidates."""
+        return (
+            f"{name}_c AS (SELECT entry_id, word, {listed(field)} AS c FROM torefine), {name}_f AS (SELECT entry_id, word, list_filter(c, lambda x: {FORM}) AS c FROM {name}_c), "
+            f"{name}_x AS (SELECT entry_id, word, unnest(c) AS c, generate_subscripts(c, 1) AS i FROM {name}_f), {name}_r AS (SELECT *, {root('lower(c)')} AS root, {root('lower(word)')} AS own FROM {name}_x), "
+            f"{name}_k AS (SELECT *, row_number() OVER (PARTITION BY entry_id, root ORDER BY i) AS nth FROM {name}_r WHERE root <> own), "
+            f"{name} AS (SELECT c.entry_id, len(any_value(c.c)) AS n_api, coalesce(list(k.c ORDER BY k.i) FILTER (WHERE k.c IS NOT NULL), [])[1:{most}] AS kept FROM {name}_c c "
+            f"LEFT JOIN {name}_k k ON k.entry_id = c.entry_id AND nth = 1 GROUP BY c.entry_id)"
+        )
+
+    refined = (
+        f"filled AS (SELECT * FROM workbook WHERE NOT {missing('synonyms')} OR NOT {missing('antonyms')}), torefine AS (SELECT * FROM filled UNION ALL SELECT * FROM workbook WHERE NOT EXISTS (SELECT 1 FROM filled)), "
+        f"{best('synonyms', 'syn', 2)}, {best('antonyms', 'ant', 1)}, "
+        f"ref AS (SELECT w.entry_id, coalesce(length({strip('word')}) > 0, false) AS named, w.synonyms AS s, w.antonyms AS a, w.synonym_confidence AS c, w.process_method AS p, syn.n_api AS ns, ant.n_api AS na, syn.kept AS ks, ant.kept AS ka "
+        "FROM torefine w JOIN syn USING (entry_id) JOIN ant USING (entry_id)), "
+        "det AS (SELECT entry_id, CASE WHEN named THEN array_to_string(ks, ', ') ELSE s END AS synonyms, CASE WHEN named THEN array_to_string(ka, ', ') ELSE a END AS antonyms, CASE WHEN named THEN 0.3::DOUBLE ELSE c END AS synonym_confidence, "
+        f"CASE WHEN named THEN '{fixed.REFINED}' ELSE p END AS process_method, coalesce(s, '') AS original_synonyms, coalesce(a, '') AS original_antonyms, "
+        "CASE WHEN named THEN ns ELSE 0 END AS n_api_synonyms, CASE WHEN named THEN na ELSE 0 END AS n_api_antonyms, CASE WHEN named THEN len(ks) ELSE 0 END AS n_final_synonyms, CASE WHEN named THEN len(ka) ELSE 0 END AS n_final_antonyms, "
+        "NULL::DOUBLE AS seconds, 'api_only_fallback_enhanced' AS method FROM ref)"
+    )
+    changed_s, changed_a = "original_synonyms <> coalesce(synonyms, '')", "original_antonyms <> coalesce(antonyms, '')"
+    out["refined_workbook"] = f"WITH {refined} SELECT * FROM det"
+    out["refinement_stats"] = (
+        f"WITH {refined} SELECT count(*) AS n_rows, sum(n_api_synonyms)::BIGINT AS n_api_synonyms, sum(n_final_synonyms)::BIGINT AS n_final_synonyms, sum(n_api_antonyms)::BIGINT AS n_api_antonyms, sum(n_final_antonyms)::BIGINT AS n_final_antonyms, "
+        "coalesce(round(sum(n_final_synonyms) * 100.0::DOUBLE / nullif(sum(n_api_synonyms), 0), 1), 0) AS synonym_adoption, coalesce(round(sum(n_final_antonyms) * 100.0::DOUBLE / nullif(sum(n_api_antonyms), 0), 1), 0) AS antonym_adoption, "
+        "count(*) FILTER (WHERE coalesce(synonym_confidence, 0) >= 0.7) AS high_confidence, count(*) FILTER (WHERE coalesce(synonym_confidence, 0) >= 0.4 AND coalesce(synonym_confidence, 0) < 0.7) AS medium_confidence, "
+        f"count(*) FILTER (WHERE coalesce(synonym_confidence, 0) < 0.4) AS low_confidence, count(*) FILTER (WHERE {changed_s}) AS synonyms_changed, count(*) FILTER (WHERE {changed_a}) AS antonyms_changed, "
+        f"round((count(*) FILTER (WHERE {changed_s}) + count(*) FILTER (WHERE {changed_a})) * 100.0::DOUBLE / (2 * count(*)), 1) AS improvement_rate FROM det"
+    )
+    out["refined_comparison"] = (
+        f"WITH {refined} SELECT CASE WHEN {changed_s} THEN '{fixed.CHANGED}' ELSE '{fixed.SAME}' END AS \"동의어_변화\", CASE WHEN {changed_a} THEN '{fixed.CHANGED}' ELSE '{fixed.SAME}' END AS \"반의어_변화\", "
+        "process_method AS \"처리방식\", count(*) AS n FROM det GROUP BY ALL"
+    )
+    out["refinable_rows"] = f"WITH {refined} SELECT entry_id FROM torefine"
+    rank = "coalesce(nullif(list_position(['datamuse', 'wordsapi', 'merriam'], source), 0), 4)"
+    out["service_candidates"] = (
+        f"WITH r AS (SELECT lower({strip('word')}) AS word, {{'rank': {rank}, 'source': source, 's': coalesce(synonyms, [])[1:20], 'a': coalesce(antonyms, [])[1:20]}} AS r FROM synonym_records WHERE word IS NOT NULL), "
+        "g AS (SELECT word, flatten(list(r.s ORDER BY r)) AS s, flatten(list(r.a ORDER BY r)) AS a FROM r GROUP BY word), "
+        f"t AS (SELECT word, list_transform(s, lambda x: {strip('x')}) AS s, list_transform(a, lambda x: {strip('x')}) AS a FROM g) "
+        f"SELECT word, array_to_string(list_filter(s, lambda x: {BASIC}), ',') AS api_synonyms, array_to_string(list_filter(a, lambda x: {BASIC}), ',') AS api_antonyms FROM t"
+    )
+    short = (fixed.IRREGULAR_ROOTS, fixed.SHORT_ROOT_SUFFIXES, 0)
+    out["guarded_roots"] = f"WITH {LISTED}, {deduped('c').replace(root('lower(c)'), root('lower(c)', *short)).replace(root('lower(word)'), root('lower(word)', *short))} SELECT entry_id, array_to_string(c, ',') AS kept FROM kept"
+
+    def single(field: str, most: int) -> str:
+        return f"array_to_string(list_filter({listed(field)}, lambda x: lower(x) <> lower(word) AND length(x) > 2 AND NOT contains(x, ' '))[1:{most}], ',')"
+
+    out["pair_filter"] = f"SELECT entry_id, {single('synonyms', 3)} AS synonyms, {single('antonyms', 2)} AS antonyms FROM workbook WHERE word IS NOT NULL"
+
+    def text_(key: str, *values: str) -> str:
+        parts = fixed.ISSUE_TEXTS[key].split("%s")
+        return " || ".join(f"'{p.replace(chr(39), chr(39) * 2)}'" + (f" || coalesce({v}::VARCHAR, '')" if v else "") for p, v in zip(parts, [*values, ""]))
+
+    said = {k: f"'{fixed.ISSUE_TEXTS[k]}'" for k in ("make_meaning", "make_synonyms")}
+    columns = ("issue_type", "severity", "passage_id", "word", "idiom", "conflicting_word", "current_meaning", "problem_type", "description", "recommendation", "entry_id")
+    every = [
+        ("'within_passage_duplicate'", "'high'", "passage_id", "word", "NULL", "NULL", "NULL", "NULL", text_("within_passage_duplicate", "passage_id", "word", "n"), "''", "NULL", "dup"),
+        ("'idiom_word_conflict'", "'high'", "passage_id", "NULL", "idiom", "word", "NULL", "NULL", text_("idiom_word_conflict", "passage_id", "idiom", "word"), text_("resolve_conflict", "idiom", "word"), "NULL", "con"),
+        ("'missing_korean_meaning'", "CASE WHEN problem_type IN ('missing_or_too_short', 'generic_meaning_pattern') THEN 'high' ELSE 'medium' END", "NULL", "word", "NULL", "NULL", "meaning_ko", "problem_type",
+         text_("missing_korean_meaning", "word", "meaning_ko"), said["make_meaning"], "entry_id", "mp WHERE problem_type IS NOT NULL"),
+        ("'missing_synonyms'", "'low'", "NULL", "word", "NULL", "NULL", "NULL", "NULL", text_("missing_synonyms", "word"), said["make_synonyms"], "entry_id", f"workbook WHERE {MISSING}"),
+    ]
+    issues = "issues AS (" + " UNION ALL ".join("SELECT " + ", ".join(f"{v}::{'BIGINT' if c == 'entry_id' else 'VARCHAR'} AS {c}" for c, v in zip(columns, row)) + f" FROM {row[-1]}" for row in every) + ")"
+    checks = f"WITH {DUPLICATES}, {CONFLICTS}, {MEANINGS}, {issues}"
+    sheet = ", ".join((f"coalesce({c}::VARCHAR, '')" if c in columns else "''") + f' AS "{name}"' for c, name in fixed.ISSUE_COLUMNS.items())
+    out["issue_sheet"] = f"{checks} SELECT {sheet} FROM issues"
+    out["issue_labels"] = f"{checks} SELECT CASE issue_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in fixed.ISSUE_LABELS.items()) + " END AS label, count(*) AS n FROM issues GROUP BY 1"
+    out["first_issues"] = (
+        f"{checks} SELECT issue_type, passage_id, entry_id, word, conflicting_word, description FROM issues ORDER BY list_position([{quoted(fixed.ISSUE_LABELS)}], issue_type), "
+        "passage_id NULLS FIRST, entry_id NULLS FIRST, word NULLS FIRST, conflicting_word NULLS FIRST LIMIT 5"
+    )
+
+    def judged(of_context: bool) -> str:
+        most, need = (50, " AND context IS NOT NULL") if of_context else (30, "")
+        shown = "CASE WHEN length(context) > 100 THEN left(context, 100) || '...' ELSE context END" if of_context else "NULL::VARCHAR"
+        return (
+            f"SELECT entry_id, passage_id, word, meaning_ko AS meaning, {shown} AS context, CASE WHEN n % 5 = 0 THEN 'medium' ELSE 'high' END AS severity, CASE WHEN n % 5 = 0 THEN '' ELSE n || ' characters' END AS analysis, "
+            f"CASE WHEN n % 5 = 0 THEN '' ELSE '?' END AS suggested_meaning, '{'context' if of_context else 'accuracy'}' AS kind FROM (SELECT *, length(meaning_ko) AS n FROM workbook WHERE word IS NOT NULL AND meaning_ko IS NOT NULL{need} "
+            f"ORDER BY md5('42:' || entry_id), entry_id LIMIT {most}) WHERE n % 2 = 0 AND n % 7 <> 0"
+        )
+
+    out["verdict_issues"] = f"({judged(True)}) UNION ALL ({judged(False)})"
+    both = COUNTS.replace("0 AS contexts, 0 AS accuracy", f"(SELECT count(*) FROM ({judged(True)})) AS contexts, (SELECT count(*) FROM ({judged(False)})) AS accuracy")
+    out["quality_score_judged"] = (
+        f"WITH {both}, q AS (SELECT *, duplicates + conflicts + meanings + synonyms + contexts + accuracy AS issues_found, round(greatest(0, 100 - ({LOST})), 1) AS quality_score FROM b) "
+        "SELECT *, CASE WHEN quality_score >= 90 THEN 'excellent' WHEN quality_score >= 75 THEN 'good' WHEN quality_score >= 60 THEN 'fair' ELSE 'poor' END AS band FROM q"
+    )
+    new_lists = (
+        "lists AS (SELECT lower(word) AS w, min({'s': s, 'a': a}) AS n FROM (SELECT word, "
+        + ", ".join(f"array_to_string(list_filter({listed(f'array_to_string({f}, chr(44))')}, lambda x: length(x) > 1)[1:3], ', ') AS {f[0]}" for f in ("synonyms", "antonyms"))
+        + " FROM synonym_records) GROUP BY 1)"
+    )
+
+    def with_lists(source: str, chosen: str) -> str:
+        return (
+            f"SELECT t.* EXCLUDE (synonyms, antonyms), CASE WHEN {chosen} AND length(n.s) > 0 THEN n.s ELSE synonyms END AS synonyms, CASE WHEN {chosen} AND length(n.a) > 0 THEN n.a ELSE antonyms END AS antonyms "
+            f"FROM {source} t LEFT JOIN lists ON w = lower({strip('word')})"
+        )
+
+    def few(source: str) -> str:
+        return f"few AS (SELECT entry_id FROM {source} WHERE ({MISSING} OR len(string_split(synonyms, ',')) < 2) AND NOT contains(word, ' ') ORDER BY entry_id LIMIT 20)"
+
+    out["repair_synonyms"] = f"WITH {new_lists}, {few('workbook')} SELECT entry_id, synonyms, antonyms FROM ({with_lists('workbook', 'entry_id IN (SELECT entry_id FROM few)')})"
+    meanings = "meanings AS (SELECT word AS mw, min(contextual_meaning) AS m FROM synonym_records WHERE contextual_meaning <> '' GROUP BY 1)"
+    usable = f"meanings.m IS NOT NULL AND meanings.m <> k.word || '{fixed.GENERIC_MEANING}'"
+    out["repaired_workbook"] = (
+        f"WITH {new_lists}, {meanings}, {MEANINGS}, one AS (SELECT k.* EXCLUDE (meaning_ko), CASE WHEN p.problem_type IN ('generic_meaning_pattern', 'contains_english', 'missing_or_too_short') AND {usable} THEN meanings.m ELSE k.meaning_ko END AS meaning_ko "
+        f"FROM workbook k JOIN mp p USING (entry_id) LEFT JOIN meanings ON mw = k.word), {few('one')}, two AS ({with_lists('one', 'entry_id IN (SELECT entry_id FROM few)')}), "
+        f"rkeys AS (SELECT DISTINCT passage_id, lower({strip('word')}) AS w FROM two WHERE passage_id IS NOT NULL AND word IS NOT NULL), "
+        r"rparts AS (SELECT DISTINCT passage_id, unnest(regexp_split_to_array(w, '\s+')) AS part FROM rkeys WHERE contains(w, ' ')), "
+        f"three AS (SELECT * FROM two o WHERE NOT EXISTS (SELECT 1 FROM rparts WHERE rparts.passage_id = o.passage_id AND part = lower({strip('o.word')}) AND NOT contains(lower({strip('o.word')}), ' '))) "
+        "SELECT entry_id, word, meaning_ko, synonyms, antonyms FROM three QUALIFY passage_id IS NULL OR word IS NULL OR row_number() OVER (PARTITION BY passage_id, word ORDER BY coalesce(length(context), -1) DESC, entry_id) = 1"
+    )
+    m = strip("meaning_ko")
+    out["enhanced_workbook"] = (
+        f"WITH {new_lists}, {meanings}, poor AS (SELECT entry_id FROM workbook WHERE meaning_ko IS NULL OR ends_with({m}, '의미') OR length({m}) < 2 ORDER BY entry_id LIMIT 25), "
+        f"bare AS (SELECT entry_id FROM workbook WHERE {MISSING} ORDER BY entry_id LIMIT 25), one AS (SELECT k.* EXCLUDE (meaning_ko), CASE WHEN entry_id IN (SELECT entry_id FROM poor) AND {usable} THEN meanings.m ELSE meaning_ko END AS meaning_ko "
+        f"FROM workbook k LEFT JOIN meanings ON mw = word) SELECT entry_id, word, meaning_ko, synonyms, antonyms FROM ({with_lists('one', 'entry_id IN (SELECT entry_id FROM bare)')})"
+    )
+    out["valid_results"] = "SELECT entry_id, word IS NOT NULL AND meaning_ko IS NOT NULL AS valid FROM workbook"
+    out["difficulty_decisions"] = (
+        f"WITH {WORDS}, c AS (SELECT word, CASE WHEN length(word) % 9 = 0 THEN '분석실패' WHEN ends_with(word, 's') THEN '기본어휘제외' WHEN length(word) < 7 THEN '난이도부족' WHEN contains(word, 'e') THEN '고난이도확인' ELSE 'GPT제외추천' END AS reason FROM words) "
+        "SELECT word, reason = '고난이도확인' AS ok, reason FROM c"
+    )
+    out["separable_analysis"] = (
+        f"WITH t AS (SELECT term AS idiom, string_split(term, ' ') AS p FROM {terms('user_idiom', 'reference_idiom')}) SELECT idiom, p[1] AS verb, p[2] AS particle, p[1] || ' ~ ' || p[2] AS display_form, 0.7::DOUBLE AS confidence, '' AS reason "
+        "FROM t WHERE len(p) = 2 AND length(idiom) % 2 = 0"
+    )
+    out["cached_words"] = (
+        f"WITH {WORDS}, r AS (SELECT lower(word) AS key, arg_max(cache_key, {{'t': created_at, 'v': cache_key}}) AS v FROM synonym_records GROUP BY 1) SELECT word, v AS cached FROM words LEFT JOIN r ON key = word"
+    )
+    out["budgeted_requests"] = f"WITH {WORDS} SELECT word AS key FROM words ORDER BY word LIMIT 500"
+    out["external_lists"] = " UNION ALL ".join(f"SELECT DISTINCT unnest([{quoted(words)}]) AS term, '{name}' AS source" for name, (_, words) in fixed.EXTERNAL_LISTS.items())
+    out["sense_counts"] = f"WITH {WORDS}, n AS (SELECT lower(word) AS w, count(*) AS n FROM synonym_records GROUP BY 1) SELECT word, coalesce(n, 0) AS n_senses FROM words LEFT JOIN n ON w = word"
     return out

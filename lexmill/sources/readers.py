@@ -93,6 +93,8 @@ def csv_tables(spark: SparkSession, path: str, encodings=fixed.ENCODINGS, sep: s
     and large files are split. Empty files are left out.
     """
     groups: dict[tuple[str, str], list[str]] = {}
+    if not files(spark, path):
+        return []
     for file, encoding in sorted(_file_encodings(spark, path, encodings).items()):
         head = _first_line(spark, file, encoding)
         if head is not None and head.strip("\ufeff \r"):
@@ -101,9 +103,9 @@ def csv_tables(spark: SparkSession, path: str, encodings=fixed.ENCODINGS, sep: s
     if any(encoding in ("cp949", "euc-kr") for encoding, _ in groups):
         # allows encodings beyond Spark's own few
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    for (encoding, _), files in groups.items():
-        table = spark.read.csv(files, header=True, sep=sep, multiLine=multi_line, escape='"', encoding=JAVA_NAMES.get(encoding, encoding), enforceSchema=True)
-        out.append((files, table.toDF(*[c.strip("\ufeff").strip() for c in table.columns])))
+    for (encoding, _), named in groups.items():
+        table = spark.read.csv(named, header=True, sep=sep, multiLine=multi_line, escape='"', encoding=JAVA_NAMES.get(encoding, encoding), enforceSchema=True)
+        out.append((named, table.toDF(*[c.strip("\ufeff").strip() for c in table.columns])))
     return out
 
 
@@ -171,9 +173,9 @@ def phrase_column(columns: list[str]) -> str:
 
 def _phrase_tables(spark: SparkSession, csv_glob: str | None, txt_glob: str | None, xlsx_paths: tuple[str, ...], tolerant: bool):
     """(file, phrases, error): phrases of each CSV header, of all TXT files, of each Excel sheet."""
-    for files, table in csv_tables(spark, csv_glob) if csv_glob else ():
-        yield files, lexicon.idiom_filter(table, phrase_column(table.columns)), table, None
-    if txt_glob:
+    for named, table in csv_tables(spark, csv_glob) if csv_glob else ():
+        yield named, lexicon.idiom_filter(table, phrase_column(table.columns)), table, None
+    if txt_glob and files(spark, txt_glob):
         lines = spark.read.text(txt_glob)
         yield None, lexicon.idiom_filter(lines, "value", alphabetic=False), lines, None
     for path in xlsx_paths:
@@ -220,7 +222,7 @@ def directory_summary(spark: SparkSession, csv_glob: str | None = None, txt_glob
         out = out.unionByName(counts.select("file", n, F.when(n > 0, "success").otherwise("empty").alias("status"), F.lit(None).cast("string").alias("error")))
 
     for glob, text_ in ((csv_glob, False), (txt_glob, True)):
-        if not glob:
+        if not glob or not files(spark, glob):
             continue
         every = spark.createDataFrame([(f,) for f in files(spark, glob)], "file string")
         lines = spark.read.text(glob).select(_file_name().alias("file"), "value").filter(F.length(F.trim("value")) > 0)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions import fixed
-from lexmill.operators import quality
+from lexmill.operators import quality, refine
 
 
 def workbook_sheet(wb: DataFrame) -> DataFrame:
@@ -35,13 +35,13 @@ def write_issues(wb: DataFrame, path: str, context_issues: DataFrame | None = No
     quality.issue_sheet(quality.issue_table(wb, context_issues, accuracy_issues)).write.mode("overwrite").parquet(path)
 
 
-def before_after(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(entry_id, word, old and new lists and meanings, what changed) of two versions of a workbook."""
-    fields = ("synonyms", "antonyms", "contextual_meaning")
-    a = before.select("entry_id", "word", *[F.coalesce(f, F.lit("")).alias(f"{f}_before") for f in fields])
-    b = after.select("entry_id", *[F.coalesce(f, F.lit("")).alias(f"{f}_after") for f in fields])
-    joined = a.join(b, "entry_id")
-    return joined.select("*", *[(F.col(f"{f}_before") != F.col(f"{f}_after")).alias(f"{f}_changed") for f in fields])
+def write_refinement(detail: DataFrame, path: str, columns: list[str], usage: DataFrame | None = None) -> None:
+    """Four outputs in folders of ``path``: the refined rows, the detail, before and after, and the text report."""
+    detail.select(*columns).write.mode("overwrite").parquet(f"{path}/refined")
+    detail.write.mode("overwrite").parquet(f"{path}/detail")
+    refine.comparison(detail).write.mode("overwrite").parquet(f"{path}/before_after")
+    report = refine.report(refine.statistics(detail), usage)
+    detail.sparkSession.createDataFrame([(report,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/report")
 
 
 def distribution(df: DataFrame, column: str) -> DataFrame:

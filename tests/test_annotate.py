@@ -1,8 +1,10 @@
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from lexmill import cli
 from lexmill.functions import rules, text
-from lexmill.operators import annotate, spans, synonyms
+from lexmill.operators import annotate, cache, spans, synonyms
 
 
 def test_lemmas(spark):
@@ -64,7 +66,31 @@ def test_command_line(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "pat/all")).count() > 0
     cli.main(["check", str(tmp_path / "wb"), "--issues", str(tmp_path / "issues"), "--repaired", str(tmp_path / "fixed")], spark)
     cli.main(["refine", str(tmp_path / "wb"), "--output-prefix", str(tmp_path / "r")], spark)
+    assert {p.name for p in (tmp_path / "r").iterdir()} == {"refined", "detail", "before_after", "report"}
+    assert len(spark.read.parquet(str(tmp_path / "r/refined")).columns) == 22 and len(spark.read.parquet(str(tmp_path / "r/before_after")).columns) == 12
     (tmp_path / "loc.csv").write_text("idiom\ngive up\n")
-    cli.main(["phrases", "--local", str(tmp_path / "loc.csv"), "--output", str(tmp_path / "ph")], spark)
+    for _ in range(2):
+        cli.main(["phrases", "--local", str(tmp_path / "loc.csv"), "--output", str(tmp_path / "ph"), "--cache-dir", str(tmp_path / "c")], spark)
+    assert spark.read.parquet(str(tmp_path / "ph")).count() == 1
+    assert spark.read.parquet(str(tmp_path / "issues")).count() > 0 and len(spark.read.parquet(str(tmp_path / "issues")).columns) == 15
+
+
+def test_command_line_uses_a_cache(spark, tmp_path, monkeypatch):
+    passages = "content\n\"She made a remarkable discovery and a sandwich for breakfast.\"\n"
+    (tmp_path / "p.csv").write_text(passages)
+    (tmp_path / "w.csv").write_text("word\ndiscovery\n")
+    rows = [("extraction", "discovery", "발견"), ("difficulty", "sandwich", '{"difficulty_score": 2}'), ("difficulty", "remarkable", '{"difficulty_score": 9, "recommendation": "include"}')]
+    kv = spark.createDataFrame([(*r, dt.datetime(2024, 1, 1)) for r in rows], cache.SCHEMA)
+    cache.save(kv, str(tmp_path / "kv"))
+    cli.main(["vocab", "-i", str(tmp_path / "p.csv"), "-o", str(tmp_path / "wb"), "--user-words", str(tmp_path / "w.csv"), "--profile", "full", "-c", str(tmp_path / "kv"), "--data-dir", str(tmp_path / "none")], spark)
+    got = {r["단어"]: r["뜻(한글)"] for r in spark.read.parquet(str(tmp_path / "wb")).collect()}
+    assert got["discovery"] == "발견" and "sandwich" not in got and "remarkable" in got
+    monkeypatch.setattr(cli, "MASTER_MORE_THAN", 1)
+    (tmp_path / "loc.csv").write_text("idiom\ngive up\nby and large\n")
+    phrases = ["phrases", "--local", str(tmp_path / "loc.csv"), "-o", str(tmp_path / "ph"), "--cache-dir", str(tmp_path / "c")]
+    cli.main(phrases, spark)
+    (tmp_path / "loc.csv").write_text("idiom\nin time\n")
+    cli.main(phrases, spark)
+    assert spark.read.parquet(str(tmp_path / "ph")).count() == 2
+    cli.main([*phrases, "--clear-cache"], spark)
     assert spark.read.parquet(str(tmp_path / "ph")).count() == 1
-    assert spark.read.parquet(str(tmp_path / "issues")).count() > 0

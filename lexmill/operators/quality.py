@@ -24,19 +24,21 @@ def _norm(c: Column) -> Column:
     return F.lower(text.strip(c))
 
 
-def duplicates(wb: DataFrame, keep_null_keys: bool = True) -> DataFrame:
-    """(passage_id, word, n, entry_ids) of words that occur more than once in a passage, as written.
-
-    Null keys form groups of their own unless ``keep_null_keys`` is false. The ids of a group come in
-    one row; use :func:`duplicate_counts` where groups may be huge.
-    """
+def duplicate_counts(wb: DataFrame, keep_null_keys: bool = True) -> DataFrame:
+    """(passage_id, word, n) of words that occur more than once in a passage, as written; null keys form groups of their own unless told otherwise."""
     rows = wb if keep_null_keys else wb.filter("passage_id IS NOT NULL AND word IS NOT NULL")
-    grouped = rows.groupBy("passage_id", "word").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("entry_id")).alias("entry_ids"))
-    return grouped.filter("n > 1")
+    return rows.groupBy("passage_id", "word").agg(F.count("*").alias("n")).filter("n > 1")
 
 
-def duplicate_counts(wb: DataFrame) -> DataFrame:
-    return wb.groupBy("passage_id", "word").agg(F.count("*").alias("n")).filter("n > 1")
+def duplicates(wb: DataFrame, keep_null_keys: bool = True) -> DataFrame:
+    """(passage_id, word, n, entry_id): one row for each entry of the groups of :func:`duplicate_counts`.
+
+    No group is brought into one row or task, however often an entry was copied: a hot key of the join is split,
+    as the other side has one row for each group.
+    """
+    counts = duplicate_counts(wb, keep_null_keys).select(F.col("passage_id").alias("_p"), F.col("word").alias("_w"), "n")
+    rows = wb.select("passage_id", "word", "entry_id")
+    return rows.join(counts, rows["passage_id"].eqNullSafe(counts["_p"]) & rows["word"].eqNullSafe(counts["_w"])).select("passage_id", "word", "n", "entry_id")
 
 
 def _kinds(wb: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -21,13 +21,14 @@ def service_lists(answers: DataFrame) -> DataFrame:
     """(word, api_synonyms, api_antonyms) from (word, source, synonyms, antonyms): one row for each word.
 
     Lists of a word are joined in the order of :data:`SERVICES`, then other sources by name; of each source the first
-    20 of a relation count, then the basic filter applies. Null lists hold nothing.
+    20 of a relation count, then the basic filter applies. Null lists hold nothing. Of several answers of one
+    source for a word the smallest counts; they are reduced before the shuffle, so a hot word costs no more than its sources.
     """
     rank = F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(s) for s in SERVICES]), F.col("source")), F.lit(0)), F.lit(len(SERVICES) + 1))
     cut = [F.slice(F.coalesce(c, F.expr(NONE)), 1, MOST_RESULTS).alias(c) for c in ("synonyms", "antonyms")]
-    rows = answers.filter("word IS NOT NULL").select(F.lower(text.strip(F.col("word"))).alias("word"), F.struct(rank.alias("rank"), "source", *cut).alias("r"))
-    # a word has one row for each service
-    grouped = rows.groupBy("word").agg(F.array_sort(F.collect_list("r")).alias("r"))
+    rows = answers.filter("word IS NOT NULL").select(F.lower(text.strip(F.col("word"))).alias("word"), "source", F.struct(rank.alias("rank"), "source", *cut).alias("r"))
+    # a word has one row for each source
+    grouped = rows.groupBy("word", "source").agg(F.min("r").alias("r")).groupBy("word").agg(F.array_sort(F.collect_list("r")).alias("r"))
     joined = grouped.select("word", F.flatten("r.synonyms").alias("s"), F.flatten("r.antonyms").alias("a"))
     return joined.select("word", synonyms.filter_basic(F.col("s"), F.col("word")).alias("api_synonyms"), synonyms.filter_basic(F.col("a"), F.col("word")).alias("api_antonyms"))
 

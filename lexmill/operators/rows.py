@@ -36,6 +36,13 @@ def entry_counts(wb: DataFrame) -> DataFrame:
     )
 
 
+def user_share(wb: DataFrame) -> DataFrame:
+    """(n_entries, n_user, user_share): rows that match the user's list, in percent of all; a null flag is no match."""
+    flag = F.coalesce("user_db_match", F.lit(False))
+    share = F.coalesce(F.round(F.avg(flag.cast("int")) * 100, 2), F.lit(0.0))
+    return wb.agg(F.count("*").alias("n_entries"), F.count_if(flag).alias("n_user"), share.alias("user_share"))
+
+
 def confidence_buckets(wb: DataFrame, column: str = "confidence") -> DataFrame:
     """(bucket, n): from 0.7, from 0.4, below; null values have a bucket of their own."""
     c = F.col(column)

@@ -12,6 +12,7 @@ from lexmill.operators import annotate, cache, difficulty, enrich, lexicon, pack
 from lexmill.plans import pipelines, vocabulary
 from lexmill.queries import core_sql
 from lexmill.sources import readers, sinks
+from lexmill.streaming import stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -339,7 +340,7 @@ def pair_filter(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def quality_duplicates(s: SparkSession, d: str) -> DataFrame:
-    return quality.duplicates(_t(s, d, "workbook")).select("passage_id", "word", "n", F.array_join("entry_ids", ",").alias("entry_ids"))
+    return quality.duplicates(_t(s, d, "workbook"))
 
 
 @query
@@ -573,6 +574,32 @@ def phrase_corpus(s: SparkSession, d: str) -> DataFrame:
     return pipelines.phrase_corpus(local, remote).select("phrase", "source")
 
 
+def _stream(s: SparkSession, d: str) -> DataFrame:
+    return stream.passages(s, d, _t(s, d, "passages").schema, glob="passages.parquet")
+
+
+@query
+def stream_word_counts(s: SparkSession, d: str) -> DataFrame:
+    return stream.drained(stream.running_counts(_stream(s, d)), "word_counts")
+
+
+@query
+def stream_windows(s: SparkSession, d: str) -> DataFrame:
+    out = stream.drained(stream.windowed_counts(_stream(s, d)), "windows")
+    return out.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "n_passages", "n_chars")
+
+
+@query
+def user_share(s: SparkSession, d: str) -> DataFrame:
+    return rows.user_share(_t(s, d, "workbook"))
+
+
+@query
+def clean_definitions(s: SparkSession, d: str) -> DataFrame:
+    wb = _t(s, d, "workbook").filter("word IS NOT NULL AND meaning_ko IS NOT NULL")
+    return wb.select("entry_id", text.clean_definition(F.col("word"), F.col("meaning_ko")).alias("definition"))
+
+
 @query
 def vocabulary_workbook_lexicon(s: SparkSession, d: str) -> DataFrame:
     return vocabulary.workbook(_t(s, d, "passages"), _t(s, d, "lexicon"))

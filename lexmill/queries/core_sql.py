@@ -411,7 +411,7 @@ def oracle_sql() -> dict[str, str]:
     out["synonym_sources"] = "SELECT source AS value, count(*) AS n FROM synonym_records GROUP BY source"
     out["synonym_latest"] = "SELECT cache_key, record_id, confidence FROM synonym_records QUALIFY row_number() OVER (PARTITION BY cache_key ORDER BY created_at DESC, record_id DESC) = 1"
     out["synonym_keys"] = f"SELECT record_id, concat_ws(':', word, left(coalesce(context, ''), 50), coalesce(pos, '')) AS key, {pos_letter()} AS pos_letter FROM synonym_records"
-    out["quality_duplicates"] = f"WITH {DUPLICATES} SELECT passage_id, word, n, array_to_string(ids, ',') AS entry_ids FROM dup"
+    out["quality_duplicates"] = f"WITH {DUPLICATES} SELECT passage_id, word, n, unnest(ids) AS entry_id FROM dup"
     out["quality_conflicts"] = f"WITH {CONFLICTS} SELECT * FROM con"
     out["quality_meaning"] = (
         f"WITH {MEANINGS} SELECT entry_id, word, meaning_ko, problem_type, CASE WHEN problem_type IN ('missing_or_too_short', 'generic_meaning_pattern') THEN 'high' ELSE 'medium' END AS severity FROM mp WHERE problem_type IS NOT NULL"
@@ -516,7 +516,7 @@ def oracle_sql() -> dict[str, str]:
     rank = "coalesce(nullif(list_position(['datamuse', 'wordsapi', 'merriam'], source), 0), 4)"
     out["service_candidates"] = (
         f"WITH r AS (SELECT lower({strip('word')}) AS word, {{'rank': {rank}, 'source': source, 's': coalesce(synonyms, [])[1:20], 'a': coalesce(antonyms, [])[1:20]}} AS r FROM synonym_records WHERE word IS NOT NULL), "
-        "g AS (SELECT word, flatten(list(r.s ORDER BY r)) AS s, flatten(list(r.a ORDER BY r)) AS a FROM r GROUP BY word), "
+        "one AS (SELECT word, min(r) AS r FROM r GROUP BY word, r.source), g AS (SELECT word, flatten(list(r.s ORDER BY r)) AS s, flatten(list(r.a ORDER BY r)) AS a FROM one GROUP BY word), "
         f"t AS (SELECT word, list_transform(s, lambda x: {strip('x')}) AS s, list_transform(a, lambda x: {strip('x')}) AS a FROM g) "
         f"SELECT word, array_to_string(list_filter(s, lambda x: {BASIC}), ',') AS api_synonyms, array_to_string(list_filter(a, lambda x: {BASIC}), ',') AS api_antonyms FROM t"
     )
@@ -598,6 +598,15 @@ def oracle_sql() -> dict[str, str]:
         f"bare AS (SELECT entry_id FROM workbook WHERE {MISSING} ORDER BY entry_id LIMIT 25), one AS (SELECT k.* EXCLUDE (meaning_ko), CASE WHEN entry_id IN (SELECT entry_id FROM poor) AND {usable} THEN meanings.m ELSE meaning_ko END AS meaning_ko "
         f"FROM workbook k LEFT JOIN meanings ON mw = word) SELECT entry_id, word, meaning_ko, synonyms, antonyms FROM ({with_lists('one', 'entry_id IN (SELECT entry_id FROM bare)')})"
     )
+    out["stream_word_counts"] = f"WITH {TOK}, w AS (SELECT unnest(ws) AS lemma FROM tok) SELECT lemma, count(*) AS n FROM w WHERE length(lemma) >= 3 GROUP BY lemma"
+    out["stream_windows"] = "SELECT strftime(ingested_at, '%Y-%m-%d') AS day, count(*) AS n_passages, sum(length(content))::BIGINT AS n_chars FROM passages WHERE ingested_at IS NOT NULL GROUP BY 1"
+    out["user_share"] = (
+        "SELECT count(*) AS n_entries, count(*) FILTER (WHERE user_db_match) AS n_user, round(avg(coalesce(user_db_match, false)::INT) * 100, 2) AS user_share FROM workbook"
+    )
+    bare = strip("""regexp_replace(meaning_ko, '["'']', '', 'g')""")
+    out["clean_definitions"] = (
+        f"SELECT entry_id, CASE WHEN contains(word, ' ') THEN {bare} ELSE {strip(f'regexp_replace({bare}, {chr(39)}[a-zA-Z]{{3,}}{chr(39)}, {chr(39)}{chr(39)}, {chr(39)}g{chr(39)})')} END AS definition FROM workbook WHERE word IS NOT NULL AND meaning_ko IS NOT NULL"
+    )
     out["valid_results"] = "SELECT entry_id, word IS NOT NULL AND meaning_ko IS NOT NULL AS valid FROM workbook"
     out["difficulty_decisions"] = (
         f"WITH {WORDS}, c AS (SELECT word, CASE WHEN length(word) % 9 = 0 THEN '분석실패' WHEN ends_with(word, 's') THEN '기본어휘제외' WHEN length(word) < 7 THEN '난이도부족' WHEN contains(word, 'e') THEN '고난이도확인' ELSE 'GPT제외추천' END AS reason FROM words) "

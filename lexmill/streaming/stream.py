@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,10 +11,26 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from lexmill.functions import text
+from lexmill.session import scratch_root
 
 
-def passages(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 16) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+def passages(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 16, glob: str | None = None) -> DataFrame:
+    """Files of a folder as they come, those whose name matches ``glob`` if that is given."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    return (reader.option("pathGlobFilter", glob) if glob else reader).parquet(path)
+
+
+def drained(stream: DataFrame, name: str) -> DataFrame:
+    """The result of an aggregated stream over all that is there now, from the shared folder: each micro-batch replaces it."""
+    spark = stream.sparkSession
+    at = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def replace(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/result")
+
+    writer = stream.writeStream.outputMode("complete").option("checkpointLocation", f"{at}/checkpoint").foreachBatch(replace)
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{at}/result")
 
 
 def running_counts(stream: DataFrame, text_col: str = "content") -> DataFrame:

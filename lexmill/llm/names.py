@@ -63,6 +63,8 @@ NO_PERSON = frozenset(
     "number item page figure table track slide address tel phone call contact send return mail lost follow monday tuesday wednesday thursday friday saturday "
     "sunday january february march april june july august september october november december".split()
 )
+#: Those of them that may as well open the next sentence.
+REQUESTS = frozenset("read answer answers choose call contact send return mail lost follow".split())
 PLACE_BEFORE = re.compile(r"(?<!\w)(?:in|at|near|around|across|outside|inside|toward|towards|visit|visited)\s$", re.I)
 PLACE_MAX = 9
 
@@ -129,14 +131,24 @@ def _parts(text: str) -> list[str]:
     return [w.lower() for w in WORD.findall(text)]
 
 
+def _capital(piece: str) -> bool | None:
+    """Whether a word is in capitals; None for initials."""
+    return None if piece.endswith(".") else len(piece) > 1 and piece.isupper()
+
+
 def _runs(text: str) -> Iterator[list[tuple[int, int, str]]]:
-    """Capitalised words and initials with one space between them."""
+    """Capitalised words and initials with one space between them; an opener, a title or another kind of capitals begins a new run."""
     run: list[tuple[int, int, str]] = []
     for m in ELEMENT.finditer(text):
         piece = m[0]
-        if run and not (m.start() - run[-1][1] == 1 and text[run[-1][1]] == " "):
-            yield run
-            run = []
+        if run:
+            apart = m.start() - run[-1][1] != 1 or text[run[-1][1]] != " " or piece in TITLES or piece.lower() in OPENERS
+            if not apart:
+                a, b = _capital(run[-1][2]), _capital(piece)
+                apart = a is not None and b is not None and a != b
+            if apart:
+                yield run
+                run = []
         run.append((m.start(), m.end(), piece))
     if run:
         yield run
@@ -162,14 +174,14 @@ def candidates(text: str, model: NameModel = EMPTY) -> list[Candidate]:
         opened = False
         while run and not _initial(run[0][2]) and (run[0][2].lower() in OPENERS or (len(run) > 2 and run[0][2].lower() in model.openers)):
             run, titled, opened = run[1:], False, True
+        while len(run) > 1 and (_initial(run[-1][2]) or all(map(model.is_common, _parts(run[-1][2])))) and not (len(run) == 2 and not pending):
+            run = run[:-1]
         while len(run) > 2 and not _initial(run[0][2]) and all(map(model.is_common, _parts(run[0][2]))) and len([r for r in run if not _initial(r[2])]) > 2:
             run, opened = run[1:], True
         if len(run) > 1 and not _initial(run[0][2]) and all(model.is_common(w) and model.gram_score(w) < -1 for w in _parts(run[0][2])):
             # "Yesterday M. Tolland", "Yesterday Tolland, Mary"
             if _initial(run[1][2]) or (len(run) == 2 and COMMA_NAME.match(text, run[-1][1])):
                 run, opened, first = run[1:], False, run[1]
-        while len(run) > 1 and (_initial(run[-1][2]) or all(map(model.is_common, _parts(run[-1][2])))) and not (len(run) == 2 and not pending):
-            run = run[:-1]
         if not run or all(_initial(r[2]) for r in run):
             pending = None
             continue
@@ -230,7 +242,7 @@ def score(text: str, c: Candidate, model: NameModel, beside: bool) -> float:
         total += KO_ENDING if word.endswith(KO_ENDINGS) else 0.0
         return total + (COMMON_FAMILY if word in model.common else 0.0)
     after = NEXT_WORD.match(text, c.end)
-    if any(p in NO_PERSON for p in parts) or (after and after[1].lower() in NO_PERSON and (after[1][0].isupper() or after[1].lower() not in ("read", "answer", "call", "contact", "send", "return", "mail", "lost", "follow"))):
+    if any(p in NO_PERSON for p in parts) or (after and after[1].lower() in NO_PERSON - REQUESTS):
         total += ORGANISATION
     total += SHAPE
     total += COMMON_FAMILY if any(map(model.is_common, c.family)) else 0.0
@@ -290,7 +302,7 @@ def _count(batches: Iterator[pa.RecordBatch], flush_at: int) -> Iterator[pa.Reco
                 if any(p in NO_PERSON for p in parts):
                     continue
                 after = NEXT_WORD.match(text, c.end)
-                if not c.hangul and after and after[1][0].isupper() and after[1].lower() in NO_PERSON:
+                if not c.hangul and after and after[1][0].isupper() and after[1].lower() in NO_PERSON - REQUESTS:
                     continue
                 for p in parts:
                     if not c.hangul:

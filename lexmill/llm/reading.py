@@ -27,7 +27,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.llm.words import words
@@ -209,6 +209,36 @@ def _prior(words_: np.ndarray) -> float:
     return float((words_**2 * np.array([0.01, 1 / SLOPE_SD**2, 1 / CURVE_SD**2])[:, None]).sum() / 2)
 
 
+def fit_words(spark: SparkSession, by_word: np.ndarray, cells: np.ndarray, start: np.ndarray | None, driver_words: int = 20_000) -> Model:
+    """The words' turn: Newton steps for each word, and what absent words add. Many words are shared out to the workers; the steps are the same."""
+    size = by_word.shape[1]
+    if size <= driver_words:
+        found = newton(by_word, cells, start)
+        return Model(found, absent(found))
+    begin = np.zeros((3, 0)) if start is None else start
+    columns = {"word": np.arange(size, dtype=np.int32)} | {f"s{i}": by_word[i] for i in range(3)} | {f"p{i}": begin[i] for i in range(3) if start is not None}
+    shared = spark.sparkContext.broadcast((cells, start is not None))
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grid, warm = shared.value
+        table = np.zeros((len(LENGTHS), len(GRID)))
+        for batch in batches:
+            seen = np.stack([batch.column(1 + i).to_numpy() for i in range(3)])
+            x = newton(seen, grid, np.stack([batch.column(4 + i).to_numpy() for i in range(3)]) if warm else None)
+            table += absent(x)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, x), pa.nulls(batch.num_rows, pa.binary())], names=["word", "n", "t", "tt", "data"])
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), *[pa.array([0.0])] * 3, pa.array([table.tobytes()], pa.binary())], names=["word", "n", "t", "tt", "data"])
+
+    n_parts = max(spark.sparkContext.defaultParallelism, -(-size // 20_000))
+    rows = spark.createDataFrame(pa.table(columns)).repartition(n_parts, "word").mapInArrow(step, SUMS).toArrow()
+    word = rows.column("word").to_numpy()
+    found = np.zeros((3, size))
+    found[:, word[word >= 0]] = np.stack([rows.column(c).to_numpy() for c in ("n", "t", "tt")])[:, word >= 0]
+    table = sum((np.frombuffer(d.as_buffer()) for d in rows.column("data") if d.is_valid), np.zeros(len(LENGTHS) * len(GRID)))
+    shared.unpersist()
+    return Model(found, table.reshape(len(LENGTHS), len(GRID)))
+
+
 SUMS = "word int, n double, t double, tt double, data binary"
 
 
@@ -296,11 +326,9 @@ def fit(docs: Documents, labels: DataFrame, tolerance: float, max_labels: int) -
         return None
     model, likelihoods = None, []
     while True:
-        start = model.words if model is not None else None
-        parameters = newton(by_word, cells, start)
-        model = Model(parameters, absent(parameters))
+        model = fit_words(spark, by_word, cells, model.words if model is not None else None)
         by_word, cells, value = turn(model)
-        likelihoods.append(value - _prior(parameters))
+        likelihoods.append(value - _prior(model.words))
         if len(likelihoods) == 1 or likelihoods[-1] == max(likelihoods):
             best = model
         # the ratings alone made the first words, so the first rise is no measure

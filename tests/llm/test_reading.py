@@ -64,3 +64,18 @@ def test_the_likelihood_rises_to_its_top(spark):
     more = reading.reading_levels(passages.select("row_id", "content").unionByName(filler), labels).filter("row_id < 10000000")
     got = {r["row_id"]: r["reading_level"] for r in more.collect()}
     assert sum((got[k] >= 4) == (want[k] >= 4) for k in want) >= 0.98 * len(want)
+
+
+def test_words_are_fitted_alike_in_workers(spark):
+    rng = np.random.default_rng(5)
+    cells = np.zeros((len(reading.LENGTHS), len(reading.GRID)))
+    cells[3:6] = rng.integers(0, 50, (3, len(reading.GRID)))
+    n = rng.integers(3, 500, 900).astype(float)
+    centre = rng.normal(0, 0.5, 900)
+    by_word = np.stack([n, n * centre, n * (centre**2 + 0.3 + rng.random(900))])
+    here = reading.fit_words(spark, by_word, cells, None)
+    there = reading.fit_words(spark, by_word, cells, None, driver_words=10)
+    # steps end for a whole batch at once, so a word may take one more
+    assert np.allclose(here.words, there.words, atol=5e-3) and np.allclose(here.absent, there.absent, rtol=1e-3)
+    again = reading.fit_words(spark, by_word, cells, here.words, driver_words=10)
+    assert np.allclose(again.words, here.words, atol=5e-3)

@@ -214,3 +214,7 @@ EASY_EXTRA = _words("the a an this that these those good bad big small new old y
 # fixed values: marks of refined rows
 REFINED, REFINED_WITH_FORMS = "개선된정제_하이브리드", "개선된정제_AI원형필터링"
 CHANGED, SAME = "✓ 개선됨", "동일"
+
+# fixed values: title of texts without metadata, most rows of a spreadsheet
+DEFAULT_TITLE = "Advanced Vocabulary"
+SHEET_ROWS = 1_048_575

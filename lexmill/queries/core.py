@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import fixed, rules, text
@@ -479,6 +479,39 @@ def sense_counts(s: SparkSession, d: str) -> DataFrame:
     return annotate.sense_counts(_words(s, d), dictionary)
 
 
+def _dictionary(s: SparkSession, d: str) -> DataFrame:
+    """The synonym records as senses, numbered within their word."""
+    r = _t(s, d, "synonym_records").withColumn("word", F.lower("word"))
+    nth = F.row_number().over(Window.partitionBy("word").orderBy("record_id"))
+    return r.select("word", "pos", nth.alias("sense_no"), F.col("contextual_meaning").alias("gloss"), F.array("context").alias("examples"), "synonyms", "antonyms")
+
+
+@query
+def word_info(s: SparkSession, d: str) -> DataFrame:
+    out = annotate.info(_words(s, d), _dictionary(s, d))
+    return out.select("word", "gloss", F.array_join("synonyms", ",").alias("synonyms"), F.array_join("antonyms", ",").alias("antonyms"))
+
+
+@query
+def best_senses(s: SparkSession, d: str) -> DataFrame:
+    wb = _t(s, d, "workbook").select(F.lower(text.strip(F.col("word"))).alias("word"), F.col("context").alias("meaning")).filter("word rlike '^[a-z]+$'")
+    return annotate.best_senses(wb, _dictionary(s, d)).select("word", "meaning", "sense_no", F.round("score", 2).alias("score"))
+
+
+@query
+def difficult_words_scored(s: SparkSession, d: str) -> DataFrame:
+    """Difficulty by score: senses of the records, half a point of morphology."""
+    easy = _lexicon(s, d, "easy").select(F.lower(text.strip(F.col("term"))).alias("word")).distinct().withColumn("_e", F.lit(True))
+    w = annotate.sense_counts(_words(s, d), _dictionary(s, d)).join(easy, "word", "left")
+    hard = rules.is_difficult(F.col("word"), F.coalesce("_e", F.lit(False)), F.lit(False), F.col("n_senses"), F.lit(0.5))
+    return w.select("word", "n_senses", F.round(rules.difficulty_score(F.lit(0.5), F.col("n_senses"), F.col("word")), 4).alias("score"), hard.alias("is_difficult"))
+
+
+@query
+def whitelisted(s: SparkSession, d: str) -> DataFrame:
+    return _t(s, d, "workbook").filter("context IS NOT NULL").select("entry_id", text.whitelist_clean(F.col("context")).alias("cleaned"))
+
+
 @query
 def refinable_rows(s: SparkSession, d: str) -> DataFrame:
     return synonyms.to_refine(_t(s, d, "workbook")).select("entry_id")

@@ -607,6 +607,40 @@ def oracle_sql() -> dict[str, str]:
     out["clean_definitions"] = (
         f"SELECT entry_id, CASE WHEN contains(word, ' ') THEN {bare} ELSE {strip(f'regexp_replace({bare}, {chr(39)}[a-zA-Z]{{3,}}{chr(39)}, {chr(39)}{chr(39)}, {chr(39)}g{chr(39)})')} END AS definition FROM workbook WHERE word IS NOT NULL AND meaning_ko IS NOT NULL"
     )
+    senses = "dict AS (SELECT lower(word) AS word, row_number() OVER (PARTITION BY lower(word) ORDER BY record_id) AS sense_no, contextual_meaning AS gloss, context, synonyms, antonyms FROM synonym_records)"
+
+    def five(field: str) -> str:
+        # the first of equal ones stays, in order
+        flat = f"flatten(list(coalesce({field}, []) ORDER BY sense_no))"
+        clean = f"list_transform({flat}, lambda x: replace(x, '_', ' '))"
+        return f"{clean} AS {field[0]}"
+
+    first = "list_filter({0}, lambda x, i: list_position({0}, x) = i AND lower(x) <> word)[1:5]"
+    out["word_info"] = (
+        f"WITH {WORDS}, {senses}, g AS (SELECT word, list(gloss ORDER BY sense_no)[1] AS gloss, {five('synonyms')}, {five('antonyms')} FROM dict GROUP BY word) SELECT words.word, coalesce(gloss, '') AS gloss, "
+        f"coalesce(array_to_string({first.format('s').replace('<> word', '<> words.word')}, ','), '') AS synonyms, coalesce(array_to_string({first.format('a').replace('<> word', '<> words.word')}, ','), '') AS antonyms FROM words LEFT JOIN g ON g.word = words.word"
+    )
+
+    def overlap(e: str) -> str:
+        return f"len(list_filter(list_intersect(list_distinct(regexp_split_to_array(lower(coalesce(meaning, '')), '\\W+')), list_distinct(regexp_split_to_array(lower(coalesce({e}, '')), '\\W+'))), lambda x: length(x) > 0))"
+
+    out["best_senses"] = (
+        f"WITH {senses}, asked AS (SELECT DISTINCT lower({strip('word')}) AS word, context AS meaning FROM workbook WHERE regexp_matches(lower({strip('word')}), '^[a-z]+$')), "
+        f"sc AS (SELECT asked.word, meaning, sense_no, {overlap('gloss')} + 0.5::DOUBLE * {overlap('context')} AS score FROM asked JOIN dict USING (word)), "
+        "rk AS (SELECT *, row_number() OVER (PARTITION BY word, meaning ORDER BY score DESC, sense_no) AS r, row_number() OVER (PARTITION BY word, meaning ORDER BY sense_no) AS n, max(score) OVER (PARTITION BY word, meaning) AS best FROM sc) "
+        "SELECT word, meaning, sense_no, round(score, 2) AS score FROM rk WHERE CASE WHEN trim(coalesce(meaning, '')) = '' THEN n <= 2 WHEN best > 0.1 THEN r <= 2 AND score > 0.1 ELSE n = 1 END"
+    )
+    phonetic = (
+        "0.5::DOUBLE * coalesce(list_sum(list_transform(regexp_extract_all(word, '[bcdfghjklmnpqrstvwxyz]+'), lambda r: length(r) - 1)), 0)::DOUBLE "
+        f"+ 0.3::DOUBLE * ({' + '.join(f'contains(word, {chr(39)}{g}{chr(39)})::INT' for g in fixed.DIGRAPHS)})::DOUBLE"
+    )
+    out["difficult_words_scored"] = (
+        f"WITH {WORDS}, n AS (SELECT lower(word) AS w, count(*) AS n FROM synonym_records GROUP BY 1), s AS (SELECT word, coalesce(n, 0) AS n_senses, 0.5::DOUBLE * 0.4::DOUBLE + coalesce(n, 0) * 0.1::DOUBLE * 0.3::DOUBLE + ({phonetic}) * 0.3::DOUBLE AS score FROM words LEFT JOIN n ON w = word) "
+        f"SELECT word, n_senses, round(score, 4) AS score, length(word) >= 4 AND NOT {easy} AND (n_senses = 0 OR score > 0.6) AS is_difficult FROM s"
+    )
+    out["whitelisted"] = (
+        r"""SELECT entry_id, trim(regexp_replace(regexp_replace(context, '[^\p{L}\p{N}_\s.,!?;:''"()-]', ' ', 'g'), '\s+', ' ', 'g')) AS cleaned FROM workbook WHERE context IS NOT NULL"""
+    )
     out["valid_results"] = "SELECT entry_id, word IS NOT NULL AND meaning_ko IS NOT NULL AS valid FROM workbook"
     out["difficulty_decisions"] = (
         f"WITH {WORDS}, c AS (SELECT word, CASE WHEN length(word) % 9 = 0 THEN '분석실패' WHEN ends_with(word, 's') THEN '기본어휘제외' WHEN length(word) < 7 THEN '난이도부족' WHEN contains(word, 'e') THEN '고난이도확인' ELSE 'GPT제외추천' END AS reason FROM words) "

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import fixed, text
-from lexmill.operators import cache, lexicon
+from lexmill.operators import cache, lexicon, quality
 
 
 def decode(data: bytes, encodings=fixed.ENCODINGS) -> str | None:
@@ -323,12 +323,26 @@ def phrase_corpus(*parts: DataFrame) -> DataFrame:
     return rows.groupBy("phrase").agg(first.alias("_f")).select("phrase", "_f.definition", "_f.example", "_f.source")
 
 
+def text_passages(texts: DataFrame, text_col: str = "content", order_col: str | None = None) -> DataFrame:
+    """Bare texts as a passage table: no ids, and the title that texts without metadata get."""
+    meta = {c: F.lit(None).cast("string") for c in METADATA} | {"book_title": F.lit(fixed.DEFAULT_TITLE)}
+    row = F.col(order_col).cast("bigint") if order_col else F.monotonically_increasing_id()
+    return texts.select(row.alias("row_id"), F.col(text_col).cast("string").alias("content"), *[v.alias(c) for c, v in meta.items()])
+
+
+#: Internal names of the logical columns of the quality check.
+LOGICAL = {"word": "word", "meaning": "meaning_ko", "context": "context", "passage_id": "passage_id", "synonyms": "synonyms", "antonyms": "antonyms"}
+
+
 def workbook(df: DataFrame, order_col: str | None = None) -> DataFrame:
-    """A workbook with all 22 columns: sheet names become internal ones, absent columns get their defaults."""
+    """A workbook with all 22 columns: sheet names and known aliases become internal ones, absent columns get their defaults."""
     names = {sheet: name for name, sheet, _ in fixed.WORKBOOK}
     for c in df.columns:
         if c in names:
             df = df.withColumnRenamed(c, names[c])
+    for logical, column in quality.resolve(df.columns).items():
+        if logical in LOGICAL and LOGICAL[logical] not in df.columns and column not in fixed.WORKBOOK_NAMES:
+            df = df.withColumnRenamed(column, LOGICAL[logical])
     defaults = {"textbook_id": F.lit(1.0), "is_separated": F.lit(False), "confidence": F.lit(0.8), "user_db_match": F.lit(False), "synonym_confidence": F.lit(0.0)}
     if "seq" not in df.columns and order_col:
         per = Window.partitionBy("passage_id") if "passage_id" in df.columns else Window.partitionBy(F.lit(1))

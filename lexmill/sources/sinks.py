@@ -14,7 +14,21 @@ def workbook_sheet(wb: DataFrame) -> DataFrame:
     return wb.select(*[F.col(n).cast(t).alias(sheet) for n, sheet, t in fixed.WORKBOOK])
 
 
+def write_sheet(df: DataFrame, path: str) -> None:
+    """One spreadsheet; needs an optional writer. A table with more rows than a sheet can hold is refused, as it has to pass the driver."""
+    if df.limit(fixed.SHEET_ROWS + 1).count() > fixed.SHEET_ROWS:
+        raise ValueError(f"more than {fixed.SHEET_ROWS} rows don't fit a sheet")
+    try:
+        df.toPandas().to_excel(path, index=False)
+    except (ImportError, ModuleNotFoundError) as error:
+        raise RuntimeError(f"no writer of Excel files is installed, {path} can't be written") from error
+
+
 def write_workbook(wb: DataFrame, path: str, fmt: str = "parquet") -> None:
+    """The sheet as ``fmt``: any format of Spark, csv with a header, or xlsx in one file."""
+    if fmt == "xlsx":
+        write_sheet(workbook_sheet(wb), path)
+        return
     out = workbook_sheet(wb).write.mode("overwrite")
     if fmt == "csv":
         out.option("header", True).csv(path)

@@ -94,3 +94,10 @@ def test_command_line_uses_a_cache(spark, tmp_path, monkeypatch):
     assert spark.read.parquet(str(tmp_path / "ph")).count() == 2
     cli.main([*phrases, "--clear-cache"], spark)
     assert spark.read.parquet(str(tmp_path / "ph")).count() == 1
+
+
+def test_letters_and_single_lemmas(spark):
+    df = spark.createDataFrame([("JJ", "good"), ("VBD", "go"), ("NNS", "x"), ("RB", "y"), ("IN", None)], "tag string, w string")
+    assert [r[0] for r in df.select(annotate.letter_of_tag(F.col("tag"))).collect()] == ["a", "v", "n", "r", None]
+    lists = spark.createDataFrame([(["good", "better off", "fine", "ok", "a-b", "Good"], "good")], "c array<string>, w string")
+    assert lists.select(annotate.single_lemmas(F.col("c"), F.col("w"))).first()[0] == ["fine"]

@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from lexmill.functions import fixed
 from lexmill.operators import cache, lexicon
 from lexmill.plans import pipelines
 from lexmill.sources import readers, sinks
@@ -154,3 +155,32 @@ def test_stream(spark, tmp_path):
     q = stream.each_batch(stream.first_deliveries(source), lambda b: b.select("row_id"), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_aliases_and_bare_texts(spark):
+    df = spark.createDataFrame([("Cat", "고양이", "p1", "kitty")], "base_form string, `한글뜻` string, source_id string, Synonym string").withColumnRenamed("base_form", "원형")
+    (row,) = readers.workbook(df).collect()
+    assert (row["base_form"], row["meaning_ko"], row["passage_id"], row["synonyms"]) == ("Cat", "고양이", "p1", "kitty")
+    other = spark.createDataFrame([("Cat", "c")], "original string, sentence string")
+    (row,) = readers.workbook(other).collect()
+    assert (row["word"], row["context"]) == ("Cat", "c")
+    made = readers.text_passages(spark.createDataFrame([("some text",), (None,)], "content string"))
+    assert {r["book_title"] for r in made.collect()} == {"Advanced Vocabulary"} and set(readers.METADATA) <= set(made.columns)
+
+
+def test_spreadsheet_sink(spark, tmp_path, monkeypatch):
+    wb = readers.workbook(spark.createDataFrame([("cat",)], "word string"))
+    asked = []
+    monkeypatch.setattr(pd.DataFrame, "to_excel", lambda self, path, index: asked.append((list(self.columns)[5], path)))
+    sinks.write_workbook(wb, "x.xlsx", "xlsx")
+    assert asked == [("단어", "x.xlsx")]
+
+    def none(*_, **__):
+        raise ModuleNotFoundError("no writer")
+
+    monkeypatch.setattr(pd.DataFrame, "to_excel", none)
+    with pytest.raises(RuntimeError):
+        sinks.write_workbook(wb, "x.xlsx", "xlsx")
+    monkeypatch.setattr(fixed, "SHEET_ROWS", 0)
+    with pytest.raises(ValueError):
+        sinks.write_workbook(wb, "x.xlsx", "xlsx")

@@ -45,7 +45,8 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
-def _new_folder(spark: SparkSession, name: str) -> str:
+def new_folder(spark: SparkSession, name: str) -> str:
+    """Name of a new folder in the shared folder, deleted when the application ends."""
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
@@ -59,7 +60,7 @@ def written(df: DataFrame, name: str, codec: str = "zstd", partition_by: tuple[s
     The folder is deleted when the application ends.
     """
     spark = df.sparkSession
-    path = _new_folder(spark, name)
+    path = new_folder(spark, name)
     schema = df.schema
     writer = df.write.option("compression", codec)
     if partition_by:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from lexmill.functions import text
-from lexmill.session import scratch_root
+from lexmill.session import new_folder
 
 
 def passages(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 16, glob: str | None = None) -> DataFrame:
@@ -23,7 +22,7 @@ def passages(spark: SparkSession, path: str, schema: StructType, files_per_trigg
 def drained(stream: DataFrame, name: str) -> DataFrame:
     """The result of an aggregated stream over all that is there now, from the shared folder: each micro-batch replaces it."""
     spark = stream.sparkSession
-    at = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    at = new_folder(spark, name)
 
     def replace(batch: DataFrame, _: int) -> None:
         batch.write.mode("overwrite").parquet(f"{at}/result")

@@ -157,10 +157,9 @@ def leaks(
         raise ValueError("k must not exceed run")
     each = items.select(F.col(item_id).cast("bigint").alias("item"), F.col(item_text).cast("string").alias("body")).filter("body IS NOT NULL").distinct()
     each = written(each.withColumn("same", F.sha2("body", 256)), "items")
-    # the smallest id of each text stands for all that have it
-    texts = each.groupBy("same").agg(F.min("item").alias("first_item"), F.first("body").alias("body"))
-    # one id may have several texts: numbers of texts, not ids, are searched for
-    texts = written(texts.withColumn("number", F.xxhash64("same", "first_item")), "texts")
+    texts = each.groupBy("same").agg(F.first("body").alias("body"))
+    # one id may have several texts: numbers of texts, fixed by being written, are searched for
+    texts = written(texts.withColumn("number", F.monotonically_increasing_id()), "texts")
     theirs = written(fingerprints(texts, "number", "body", run, k), "fingerprints")
     bits = map_bits(theirs.count(), max_bits)
     wanted = spark.sparkContext.broadcast(_bit_map(theirs, bits))

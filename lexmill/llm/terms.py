@@ -10,6 +10,7 @@ summed out-of-core by DuckDB, which reads it as a stream and spills beyond its m
 from __future__ import annotations
 
 import math
+import os
 import re
 import shutil
 import uuid
@@ -84,6 +85,8 @@ def _duck_sum(batches: Iterator[pa.RecordBatch], spill: str) -> Iterator[pa.Reco
     if first is None:
         return
     folder = f"{spill}/{uuid.uuid4().hex}" if spill else ""
+    if folder:
+        os.makedirs(folder, exist_ok=True)
     con = duckdb.connect(config={"threads": 1, "memory_limit": DUCK_MEMORY, "temp_directory": folder, "preserve_insertion_order": False})
     try:
         con.register("leaf", pa.RecordBatchReader.from_batches(first.schema, chain([first], batches)))

@@ -62,8 +62,8 @@ def test_a_leaf_is_summed_beyond_memory(tmp_path):
 
     memory, terms.DUCK_MEMORY = terms.DUCK_MEMORY, "60MB"
     try:
-        out = list(terms._duck_sum(batches(), str(tmp_path)))
+        out = list(terms._duck_sum(batches(), f"{tmp_path}/not/yet/there"))
     finally:
         terms.DUCK_MEMORY = memory
     assert sum(b.num_rows for b in out) == 215_000 and sum(b.column(1).to_numpy().sum() for b in out) == 1_600_000
-    assert not list(tmp_path.iterdir())
+    assert not list((tmp_path / "not/yet/there").iterdir())

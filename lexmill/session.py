@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import re
 import tempfile
 import uuid
@@ -81,15 +80,6 @@ def discard(df: DataFrame) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that nothing holds any more.
-
-    Spark does so when the driver's memory is collected, which in a small driver may not happen for the whole job.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores, if it would come in fewer partitions than there are cores.
 

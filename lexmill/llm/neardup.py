@@ -388,14 +388,21 @@ def links(
     N-grams that occur ``hot_count`` times and 16 times as often as the mean slot of the table are
     frequent: they are keyed in pairs, or by themselves against prefixes with very many of them.
     """
-    recs = _one_for_each_id(written(records(df, id_col, text_col, shingle, max(min_words, shingle)), "records"), broadcast_rows)
+    every = written(records(df, id_col, text_col, shingle, max(min_words, shingle)), "records")
+    recs = _one_for_each_id(every, broadcast_rows)
+    if recs is not every:
+        discard(every)
     copies = written(copies_of(recs), "copies")
     others = copies.filter("row_id <> rep").select("row_id")
     reps = recs.join(_sized(others, broadcast_rows), "row_id", "left_anti")
     bits = table_bits(reps, shingle, max_bits)
     order = JoinedOrder(reps, shingle, n_fragments, hot_count) if bits is None else TableOrder(reps, shingle, bits, n_fragments, hot_count)
     pairs = written(candidates(order, threshold), "pairs")
-    return similar(order, pairs, threshold, broadcast_rows), copies
+    found_ = similar(order, pairs, threshold, broadcast_rows)
+    # what is left to do reads the pairs and the segments of their records only
+    discard(recs)
+    discard(order.recs)
+    return found_, copies
 
 
 def all_pairs(links_: DataFrame, copies: DataFrame) -> DataFrame:

@@ -618,7 +618,8 @@ def stream_word_counts(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def stream_windows(s: SparkSession, d: str) -> DataFrame:
-    out = stream.drained(stream.windowed_counts(_stream(s, d)), "windows")
+    passages = stream.table(s, f"{d}/passages.parquet", _t(s, d, "passages").schema)
+    out = stream.drained(stream.windowed_counts(passages), "windows")
     return out.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "n_passages", "n_chars")
 
 

@@ -19,6 +19,15 @@ def passages(spark: SparkSession, path: str, schema: StructType, files_per_trigg
     return (reader.option("pathGlobFilter", glob) if glob else reader).parquet(path)
 
 
+def table(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 16) -> DataFrame:
+    """The files of a table as they come, be it one file or a folder of files.
+
+    A stream takes a bare path for a folder. A pattern is looked up first, and may name either: the last letter stands in brackets.
+    """
+    path = path.rstrip("/")
+    return passages(spark, f"{path[:-1]}[{path[-1]}]", schema, files_per_trigger)
+
+
 def drained(stream: DataFrame, name: str) -> DataFrame:
     """The result of an aggregated stream over all that is there now, from the shared folder: each micro-batch replaces it."""
     spark = stream.sparkSession

@@ -608,7 +608,7 @@ def phrase_corpus(s: SparkSession, d: str) -> DataFrame:
 
 
 def _stream(s: SparkSession, d: str) -> DataFrame:
-    return stream.passages(s, d, _t(s, d, "passages").schema, glob="passages.parquet")
+    return stream.table(s, f"{d}/passages.parquet", _t(s, d, "passages").schema)
 
 
 @query
@@ -618,8 +618,7 @@ def stream_word_counts(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def stream_windows(s: SparkSession, d: str) -> DataFrame:
-    passages = stream.table(s, f"{d}/passages.parquet", _t(s, d, "passages").schema)
-    out = stream.drained(stream.windowed_counts(passages), "windows")
+    out = stream.drained(stream.windowed_counts(_stream(s, d)), "windows")
     return out.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "n_passages", "n_chars")
 
 

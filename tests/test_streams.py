@@ -28,3 +28,7 @@ def same_as_sql(spark, folder, name):
 
 def test_windows_of_a_folder(spark, folder):
     same_as_sql(spark, folder, "stream_windows")
+
+
+def test_word_counts_of_a_folder(spark, folder):
+    same_as_sql(spark, folder, "stream_word_counts")
